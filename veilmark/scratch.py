@@ -6,6 +6,8 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+_INFER = "spark.sql.constraintPropagation.enabled"
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The session's shared folder; a temporary one is set only where the session names none (local tests)."""
@@ -20,6 +22,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and go on from the files.
 
-    The files are dropped by Spark's cleaner once nothing refers to them."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    The files are dropped by Spark's cleaner once nothing refers to them. What is inferred about the rows is not carried
+    over: in loops that would grow with every round, and with it the time to plan."""
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    known = spark.conf.get(_INFER, "true")
+    spark.conf.set(_INFER, "false")
+    try:
+        return df.checkpoint(eager=True)
+    finally:
+        spark.conf.set(_INFER, known)
