@@ -7,9 +7,9 @@
    false mark changes the order, not the result.
 3. Prefix entries travel as packed arrays by ranges of the hash. Entries of a marked number are folded to one a task before.
    Small groups give pairs, which sizes and prefix positions prune; large groups give stars.
-4. Pairs are bounded from above by the bit counts of the two signatures. What large groups connect is cut into tiles: size
-   bands, as only sets whose sizes are within the threshold can be similar, each dealt into blocks; a pair of blocks is one
-   task, which bounds all its pairs by bit counts. Both then intersect sorted arrays exactly.
+4. Pairs are bounded from above by the bit counts of the two signatures. What stars and the pairs that are left connect is
+   cut into tiles: size bands, as only sets whose sizes are within the threshold can be similar, each dealt into blocks of
+   bounded size. A pair of blocks is one task, which bounds its pairs by bit counts and intersects sorted arrays exactly.
 """
 
 from __future__ import annotations
@@ -31,7 +31,8 @@ RUN_DOCS = 2048
 MARK_BITS = 24
 #: Numbers in more documents than this are handled by tiles; in fewer, by pairs.
 GROUP = 32
-BLOCK = 256
+#: Numbers in a block of a tile, 16 MB of them, and at least one document.
+BLOCK = 2 << 20
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -257,40 +258,32 @@ def _arrays(n: int):
 
 
 def _verify(sim: Similarity):
-    """Links of one unit. A pair unit has one document with role 0 and those to compare it with; a tile has roles 0 and 1 for
-    its two blocks, or 2 where both are the same. Within a tile, documents already connected aren't compared again."""
+    """Links of one tile: roles are 0 and 1 for its two blocks, or 2 where both are the same. All pairs are bounded by bit
+    counts; documents that are connected already aren't compared again."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, role = np.asarray(table.column("doc")), np.asarray(table.column("role"))
-        tile = bool(table.column("tile")[0].as_py())
         sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("numbers")]
         size = np.array([len(s) for s in sets])
-        left = np.flatnonzero(role != 1)
-        right = np.flatnonzero(role != 0)
-        out = []
-        sigs, counts, bits = [], None, 0
-        if tile:
-            raw = [np.frombuffer(signature(s), np.uint8) for s in sets]
-            bits = min(map(len, raw))
-            sigs = np.stack([fold(x, bits) for x in raw]).view(np.uint64)
-            counts = np.bitwise_count(sigs).sum(axis=1, dtype=np.int64)
+        left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
+        raw = [np.frombuffer(signature(s), np.uint8) for s in sets]
+        bits = min(map(len, raw))
+        sigs = np.stack([fold(x, bits) for x in raw]).view(np.uint64)
+        counts = np.bitwise_count(sigs).sum(axis=1, dtype=np.int64)
         group = np.arange(len(doc))
+        out = []
         for i in left.tolist():
             js = right[right > i] if role[i] == 2 else right
-            js = js[(doc[js] != doc[i]) & sim.sizes_fit(size[i], size[js])]
-            if tile and len(js):
-                js = js[group[js] != group[i]]
-                shared = np.bitwise_count(sigs[js] & sigs[i]).sum(axis=1, dtype=np.int64)
-                most = np.minimum(size[i] - (counts[i] - shared), size[js] - (counts[js] - shared))
-                ok = sim.enough(most, size[i], size[js])
-                js = js[ok][np.argsort(-most[ok], kind="stable")]
-            for j in js.tolist():
-                if tile and group[j] == group[i]:
-                    continue
-                if sim.enough(common(sets[i], sets[j]), size[i], size[j]):
+            js = js[(group[js] != group[i]) & (doc[js] != doc[i]) & sim.sizes_fit(size[i], size[js])]
+            if not len(js):
+                continue
+            shared = np.bitwise_count(sigs[js] & sigs[i]).sum(axis=1, dtype=np.int64)
+            most = np.minimum(size[i] - (counts[i] - shared), size[js] - (counts[js] - shared))
+            ok = sim.enough(most, size[i], size[js])
+            for j in js[ok][np.argsort(-most[ok], kind="stable")].tolist():
+                if group[j] != group[i] and sim.enough(common(sets[i], sets[j]), size[i], size[j]):
                     out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
-                    if tile:
-                        group[group == group[j]] = group[i]
+                    group[group == group[j]] = group[i]
         found = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": found[:, 0], "b": found[:, 1]})
 
@@ -350,11 +343,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     left = heads.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = heads.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     bounded = cut(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_within_bound(sim), "a long, b long"))
-    # 4. tiles over what large groups connect
-    stars = connected_components(found.where("kind = 1").select("a", "b"))
+    # 4. tiles over what stars and bounded pairs connect
+    stars = connected_components(found.where("kind = 1").select("a", "b").unionByName(bounded))
     step = math.log(100 / percent) if percent < 100 else 1e-6
-    banded = stars.join(heads.select(F.col("doc").alias("node"), "n").hint("merge"), "node").withColumn("band", F.floor(F.log("n") / step + 1e-9).cast("int"))
-    counts = cut(banded.groupBy("component", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("weight")))
+    sized = stars.join(heads.select(F.col("doc").alias("node"), "n").hint("merge"), "node")
+    whole = cut(sized.groupBy("component").agg(F.sum("n").alias("numbers"), F.count(F.lit(1)).alias("weight")))
+    sized = join_counted(sized, whole, ["component"], max(1, n_classes), "weight", "node")
+    #: what fits one block is one tile
+    banded = sized.withColumn("band", F.when(F.col("numbers") <= BLOCK, 0).otherwise(F.floor(F.log("n") / step + 1e-9)).cast("int")).drop("numbers")
+    counts = cut(banded.groupBy("component", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("weight")))
     above = counts.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = counts.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     plan = cut(counts.join(above.hint("merge"), ["component", "band"], "left").join(below.hint("merge"), ["component", "band"], "left"))
@@ -363,16 +360,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     name = lambda c, b, s, c2, s2: F.concat_ws(":", F.lit("t"), c, b, s, c2, s2)
     span = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
     here = placed.withColumn("s", block)
-    tile = lambda lo_band, lo_s, hi_band, hi_s, role: F.struct(name(F.col("component"), lo_band, lo_s, hi_band, hi_s).alias("unit"), role.cast("int").alias("role"), F.lit(True).alias("tile"))
+    tile = lambda lo_band, lo_s, hi_band, hi_s, role: F.struct(name(F.col("component"), lo_band, lo_s, hi_band, hi_s).alias("unit"), role.cast("int").alias("role"))
     band, s = F.col("band"), F.col("s")
     own = F.transform(span(F.col("blocks")), lambda o: tile(band, F.least(s, o), band, F.greatest(s, o), F.when(s == o, 2).when(s < o, 0).otherwise(1)))
     up = F.transform(span(F.col("above")), lambda o: tile(band, s, band + 1, o, F.lit(0)))
     down = F.transform(span(F.col("below")), lambda o: tile(band - 1, o, band, s, F.lit(1)))
     tiles = here.select(F.col("node").alias("doc"), F.explode(F.concat(own, up, down)).alias("u"))
-    of_pairs = bounded.select(F.explode(F.array(*[F.struct(F.col(c).alias("doc"), F.struct(F.concat(F.lit("p:"), F.col("a")).alias("unit"), F.lit(r).alias("role"), F.lit(False).alias("tile")).alias("u")) for c, r in (("a", 0), ("b", 1))])).alias("x")).select("x.doc", "x.u").distinct()
-    wanted = tiles.unionByName(of_pairs).groupBy("doc").agg(F.collect_list("u").alias("units"))
-    arrays = once.join(wanted.hint("merge"), "doc").mapInArrow(_arrays(words_in_gram), "doc long, units array<struct<unit:string,role:int,tile:boolean>>, numbers binary")
-    units = arrays.select("doc", F.explode("units").alias("u"), "numbers").select("doc", "u.unit", "u.role", "u.tile", "numbers")
+    wanted = tiles.groupBy("doc").agg(F.collect_list("u").alias("units"))
+    arrays = once.join(wanted.hint("merge"), "doc").mapInArrow(_arrays(words_in_gram), "doc long, units array<struct<unit:string,role:int>>, numbers binary")
+    units = arrays.select("doc", F.explode("units").alias("u"), "numbers").select("doc", "u.unit", "u.role", "numbers")
     links = cut(units.groupBy("unit").applyInArrow(_verify(sim), "a long, b long").distinct())
     # 5. groups
     reach = connected_components(links.unionByName(member.where("doc <> rep").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")))
