@@ -4,7 +4,9 @@ Encoding. A sequence of tokens is the BPE encoding of its bytes exactly when eve
 out as themselves. So each prefix of a piece has one last token, found by walking a trie of the vocabulary from every
 boundary that can still matter. A state of the transducer is the set of those walks with the tokens on which they still
 differ; tokens that all walks share are emitted. Walks are no longer than the longest token, which bounds the lookahead.
-States and transitions are made when first met and kept, up to a limit.
+Transitions that are met again and again are made into states
+and kept, up to a limit; from one that isn't there yet, the rest of the piece is followed through the machine
+as it is, longest arc first.
 
 Decoding. Tokens may end inside a character. The decoder is in the state of the bytes that are pending; for each state and
 token it keeps which bytes are complete and which state follows.
@@ -13,7 +15,10 @@ token it keeps which bytes are complete and which state follows.
 from __future__ import annotations
 
 import base64
+import gc
 import re
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -24,6 +29,8 @@ from pyspark.sql import DataFrame
 
 _ROOT = 0
 _NEVER = 1 << 62
+#: Times that a transition is met before it is made.
+HOT = 2
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -48,7 +55,7 @@ def merge_tree(token: bytes, ranks: dict[bytes, int]) -> tuple:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.start = 1 + max(self.bytes_of, default=0)  # stands for no token yet
@@ -70,6 +77,7 @@ class Transducer:
 
     def reset(self) -> None:
         """Forget all states; they are made again when met."""
+        self.met: dict[int, int] = {}
         self.ids: dict[tuple, int] = {}
         self.walks: list[tuple] = []
         self.step: dict[int, tuple[int, tuple[int, ...]]] = {}
@@ -128,15 +136,58 @@ class Transducer:
         out = self.step[s << 8 | byte] = self.state(tuple(walks)), first[1:same]
         return out
 
+    def arcs(self, data: bytes, at: int) -> list[tuple[int, int]]:
+        """Tokens that begin at ``at`` and where they end, the longest last."""
+        kids, token, node, found = self.kids, self.token, _ROOT, []
+        for i in range(at, len(data)):
+            if (node := kids[node].get(data[i], -1)) < 0:
+                break
+            if token[node] >= 0:
+                found.append((token[node], i + 1))
+        return found
+
+    def follow(self, last: int, data: bytes) -> list[int]:
+        """The tokens after ``last`` of what is left of a piece: the machine as it is before it is determinised, longest arc
+        first; an arc that leads nowhere is taken back and not tried again."""
+        fits, size = self.fits, len(data)
+        out, ends, left, dead = [last], [0], [self.arcs(data, 0)], set()
+        while ends[-1] < size:
+            arcs = left[-1]
+            while arcs:
+                t, end = arcs.pop()
+                key = out[-1] << 20 | t
+                ok = fits.get(key)
+                if (self.joins(out[-1], t) if ok is None else ok) and (t, end) not in dead:
+                    out.append(t)
+                    ends.append(end)
+                    left.append(self.arcs(data, end))
+                    break
+            else:
+                if len(out) == 1:
+                    raise ValueError("the vocabulary can't encode this piece")
+                dead.add((out.pop(), ends.pop()))
+                left.pop()
+        return out[1:]
+
     def encode(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
         if len(self.walks) > self.max_states:
             self.reset()
         s, out = 0, []
-        get = self.step.get
-        for byte in piece:
-            s, certain = get(s << 8 | byte) or self.advance(s, byte)
+        get, met = self.step.get, self.met
+        for i, byte in enumerate(piece):
+            key = s << 8 | byte
+            if (to := get(key)) is None:
+                n = met.get(key, 0)
+                if n < HOT:  # made only for what comes again
+                    if len(met) > 4 * self.max_states:
+                        met.clear()
+                    met[key] = n + 1
+                    certain = sum(len(self.bytes_of[t]) for t in out)
+                    return [*out, *self.follow(self.walks[s][0][0][0], piece[certain:])]
+                to = self.advance(s, byte)
+            s, certain = to
             if certain:
                 out += certain
         return [*out, *self.walks[s][-1][0][1:]]
@@ -166,15 +217,27 @@ class Encoder:
     space gives its last character to what follows, and a match has a space at its start only. So texts are cut there and
     what lies between is looked up whole; a text with white space on both sides of a space is matched as it is."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 300_000):
         #: White_Space is what \s means to the tokenizer's own engine; the regex module would add U+001C to U+001F
         same = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.split = regex.compile(same).findall
         self.runs = re.compile(r"\s \s").search
         self.transducer = Transducer(ranks)
-        encode = self.transducer.encode
-        self.pieces = Pieces(lambda piece: np.array(encode(piece.encode()), "<u4").tobytes(), limit)
-        self.spaced = Pieces(lambda part: self.matched(" " + part), limit)
+        self.pieces = Pieces(self.ids, limit)
+        self.spaced = Pieces(self.after_blank, limit)
+
+    def ids(self, piece: str) -> bytes:
+        found = array("I", self.transducer.encode(piece.encode()))
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
+
+    def after_blank(self, part: str) -> bytes:
+        first, *more = self.split(" " + part)
+        if not more:
+            return self.ids(first)
+        head = self.spaced[first[1:]] if first[:1] == " " and len(first) > 1 else self.pieces[first]
+        return head + b"".join(map(self.pieces.__getitem__, more))
 
     def matched(self, text: str) -> bytes:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
@@ -235,7 +298,10 @@ class StreamDecoder:
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, pattern: str) -> Encoder:
-    return Encoder(load_ranks(path), pattern)
+    encoder = Encoder(load_ranks(path), pattern)
+    gc.freeze()  # the vocabulary stays; the collector need not walk it again and again
+    gc.set_threshold(100_000, 50, 50)
+    return encoder
 
 
 @lru_cache(maxsize=2)
