@@ -4,7 +4,7 @@
    A phrase picked at two places or more is a sign of a recurring passage.
 2. Documents with such phrases are gathered in shards. A shard's phrases are compiled into one Aho-Corasick automaton, and all
    its documents are streamed through, which finds every occurrence of every phrase.
-3. Windows around the occurrences are confirmed: those whose 128-bit hash starts at two places or more recur.
+3. Windows around the occurrences are confirmed: those whose 96-bit hash starts at two places or more recur.
 4. Words that a recurring window covers go.
 
 Both counts are of hashes dealt by range. What occurs twice within a batch is known to recur there and then; it is sent on
@@ -45,8 +45,9 @@ def _pack(keys: list[np.ndarray], row: np.ndarray, check: np.ndarray, pos: np.nd
     used, at = np.unique(where, return_index=True)
     many = (times > 1).astype(np.uint8)
     for u, i, j in zip(used.tolist(), at.tolist(), [*at[1:].tolist(), len(starts)]):
-        s = starts[i:j]
-        rows.append((u, j - i, b"".join([k[s].tobytes() for k in keys] + [row[s].tobytes(), check[s].tobytes(), pos[s].tobytes(), many[i:j].tobytes()])))
+        by = np.lexsort((pos[starts[i:j]], row[starts[i:j]]))  # a document's entries side by side compress
+        s, flags = starts[i:j][by], many[i:j][by]
+        rows.append((u, j - i, b"".join([k[s].tobytes() for k in keys] + [row[s].tobytes(), check[s].tobytes(), pos[s].tobytes(), flags.tobytes()])))
     known = np.repeat(times > 1, times)
     if known.any():
         r, c, p = row[known], check[known], pos[known]
@@ -71,7 +72,7 @@ def _split(blob: bytes, k: int, kinds: list) -> list[np.ndarray]:
 
 def _recurring(n_keys: int):
     """(row, check, places) of entries whose key occurs at two places or more, from buckets that come one after another."""
-    kinds = [np.uint64] * n_keys + [np.int64, np.int32, np.int32, np.uint8]
+    kinds = [np.uint64, np.uint32][:n_keys] + [np.int64, np.int32, np.int32, np.uint8]
 
     def solve(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
         known = [_split(x, -k, kinds[n_keys:-1]) for k, x in blobs if k < 0]
@@ -193,7 +194,9 @@ def _windows(window: int, phrase: int, buckets: int):
                 np.add.at(mark, hi[hi > lo], -1)
                 start = np.flatnonzero(np.cumsum(mark) > 0)
                 doc = np.searchsorted(w.of_doc, start, side="right") - 1
-                keys = [ngram_hashes(w.hash, window, seed)[start] for seed in (1, 2)] if len(start) else [np.zeros(0, np.uint64)] * 2
+                none = np.zeros(0, np.uint64)
+                first, second = (ngram_hashes(w.hash, window, seed)[start] if len(start) else none for seed in (1, 2))
+                keys = [first, (second >> np.uint64(32)).astype(np.uint32)]
                 yield from _pack(keys, row[doc], check[doc], (start - w.of_doc[doc]).astype(np.int32), buckets)
 
     return run
@@ -203,7 +206,7 @@ def recurring_starts(source: DataFrame, window: int, phrase: int, n_rows: int) -
     """(row, check, places): starts of recurring windows, in parts, as packed 32-bit integers; ``source`` has row, check, text."""
     if not 1 <= phrase <= window:
         raise ValueError("a phrase is a part of a window")
-    buckets = max(8, 1 << math.ceil(math.log2(max(1, n_rows / 512))))
+    buckets = max(8, 1 << math.ceil(math.log2(max(1, n_rows / 4096))))
     deal = lambda df, n: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_recurring(n), "row long, check int, places binary")
     signs = deal(source.mapInArrow(_phrases(window, phrase, buckets), _ENTRY), 1).groupBy("row", "check").agg(F.collect_list("places").alias("places"))
     marked = source.join(signs.hint("merge"), ["row", "check"]).select("row", "check", "text", "places")
