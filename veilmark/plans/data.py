@@ -286,7 +286,7 @@ def j07_repeats(spark, sf):
 
 @query("j08_label_closure", "SELECT p || '-' || t AS label FROM (SELECT DISTINCT l_returnflag AS t FROM lineitem), (VALUES ('B'), ('I')) AS x(p)")
 def j08_closure(spark, sf):
-    return table(spark, sf, "lineitem").select("l_returnflag").distinct().select(F.concat(F.explode(F.array(F.lit("B"), F.lit("I"))), F.lit("-"), F.col("l_returnflag")).alias("label"))
+    return table(spark, sf, "lineitem").select("l_returnflag").distinct().select(F.explode(F.array(*[F.concat(F.lit(p), "l_returnflag") for p in ("B-", "I-")])).alias("label"))
 
 
 @query("j10_consistency", "SELECT count(*) AS n FROM lineitem WHERE abs(l_extendedprice * (1 - l_discount) - round(l_extendedprice * (1 - l_discount), 2)) > 0.004")

@@ -240,18 +240,18 @@ _DS = _MASS + ", pr AS (SELECT a.record, (a.mask & b.mask) AS mask, a.mass * b.m
 
 
 def fused(spark, sf):
-    return masses(spark, sf).where("rules IS NOT NULL").withColumn("f", R.combine(F.col("detector"), F.col("rules")))
+    return masses(spark, sf).where("rules IS NOT NULL AND detector IS NOT NULL").withColumn("f", R.combine(F.col("detector"), F.col("rules")))
 
 
-@query("k06_dempster_combination", f"WITH {_DS} SELECT record, round(conflict, 7) AS conflict FROM k")
+@query("k06_dempster_combination", f"WITH {_DS} SELECT record, round(conflict, 6) AS conflict FROM k")
 def k06(spark, sf):
-    return fused(spark, sf).select("record", F.round("f.conflict", 7).alias("conflict"))
+    return fused(spark, sf).select("record", F.round("f.conflict", 6).alias("conflict"))
 
 
-@query("k07_belief", f"WITH {_DS} SELECT record, round(coalesce(sum(mass) FILTER (WHERE mask = 8), 0), 7) AS belief_critical, round(coalesce(sum(mass) FILTER (WHERE mask & 8 <> 0), 0), 7) AS plausibility_critical, round(coalesce(sum(mass) FILTER (WHERE mask = 15), 0), 7) AS ignorance, round(sum(mass / bit_count(mask) * (((mask >> 1) & 1) / 3.0 + ((mask >> 2) & 1) * 2 / 3.0 + ((mask >> 3) & 1))), 7) AS score FROM co GROUP BY record")
+@query("k07_belief", f"WITH {_DS} SELECT record, round(coalesce(sum(mass) FILTER (WHERE mask = 8), 0), 6) AS belief_critical, round(coalesce(sum(mass) FILTER (WHERE mask & 8 <> 0), 0), 6) AS plausibility_critical, round(coalesce(sum(mass) FILTER (WHERE mask = 15), 0), 6) AS ignorance, round(sum(mass / bit_count(mask) * (((mask >> 1) & 1) / 3.0 + ((mask >> 2) & 1) * 2 / 3.0 + ((mask >> 3) & 1))), 6) AS score FROM co GROUP BY record")
 def k07(spark, sf):
     b = R.belief_summary(F.col("f.mass"))
-    return fused(spark, sf).select("record", *[F.round(b[c], 7).alias(c) for c in ("belief_critical", "plausibility_critical", "ignorance", "score")])
+    return fused(spark, sf).select("record", *[F.round(b[c], 6).alias(c) for c in ("belief_critical", "plausibility_critical", "ignorance", "score")])
 
 
 @query("k05_mass_validation", f"WITH {_MASS} SELECT count(DISTINCT record) AS records, 0::BIGINT AS bad FROM ms")
