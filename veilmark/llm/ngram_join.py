@@ -9,7 +9,8 @@
    Small groups give pairs, which sizes and prefix positions prune; large groups give stars.
 4. Pairs are bounded from above by the bit counts of the two signatures. What stars and the pairs that are left connect is
    cut into tiles: size bands, as only sets whose sizes are within the threshold can be similar, each dealt into blocks of
-   bounded size. A pair of blocks is one task, which bounds its pairs by bit counts and intersects sorted arrays exactly.
+   bounded size. Tiles of signatures bound all pairs by bit counts; what these leave connected goes into tiles again, where
+   sorted arrays are intersected exactly.
 """
 
 from __future__ import annotations
@@ -30,9 +31,9 @@ from veilmark.scratch import cut
 RUN_DOCS = 2048
 MARK_BITS = 24
 #: Numbers in more documents than this are handled by tiles; in fewer, by pairs.
-GROUP = 32
-#: Numbers in a block of a tile, 16 MB of them, and at least one document.
-BLOCK = 2 << 20
+GROUP = 4
+#: Numbers of the sets in a block: of a tile of arrays, 16 MB, and of a tile of signatures, 1 MB; at least one document.
+BLOCK, SIGNED_BLOCK = 2 << 20, 4 << 20
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -257,16 +258,18 @@ def _arrays(n: int):
     return run
 
 
-def _verify(sim: Similarity):
-    """Links of one tile: roles are 0 and 1 for its two blocks, or 2 where both are the same. All pairs are bounded by bit
-    counts; documents that are connected already aren't compared again."""
+def _within_tile(sim: Similarity, exact: bool):
+    """Edges of one tile: roles are 0 and 1 for its two blocks, or 2 where both are the same. All pairs are bounded by bit
+    counts; with ``exact``, those within the bound are decided by their sorted arrays. What is connected already isn't compared again."""
 
     def run(table: pa.Table) -> pa.Table:
         doc, role = np.asarray(table.column("doc")), np.asarray(table.column("role"))
-        sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("numbers")]
-        size = np.array([len(s) for s in sets])
+        if exact:
+            sets = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("numbers")]
+            size, raw = np.array([len(s) for s in sets]), [np.frombuffer(signature(s), np.uint8) for s in sets]
+        else:
+            size, raw = np.asarray(table.column("n")), [np.frombuffer(x.as_py(), np.uint8) for x in table.column("sig")]
         left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
-        raw = [np.frombuffer(signature(s), np.uint8) for s in sets]
         bits = min(map(len, raw))
         sigs = np.stack([fold(x, bits) for x in raw]).view(np.uint64)
         counts = np.bitwise_count(sigs).sum(axis=1, dtype=np.int64)
@@ -281,7 +284,7 @@ def _verify(sim: Similarity):
             most = np.minimum(size[i] - (counts[i] - shared), size[js] - (counts[js] - shared))
             ok = sim.enough(most, size[i], size[js])
             for j in js[ok][np.argsort(-most[ok], kind="stable")].tolist():
-                if group[j] != group[i] and sim.enough(common(sets[i], sets[j]), size[i], size[j]):
+                if group[j] != group[i] and (not exact or sim.enough(common(sets[i], sets[j]), size[i], size[j])):
                     out.append((min(doc[i], doc[j]), max(doc[i], doc[j])))
                     group[group == group[j]] = group[i]
         found = np.array(out, np.int64).reshape(-1, 2)
@@ -290,6 +293,32 @@ def _verify(sim: Similarity):
     return run
 
 
+def _tiles(groups: DataFrame, heads: DataFrame, block: int, percent: int, n_classes: int) -> DataFrame:
+    """(doc, u: struct<unit, role>) of every tile that a document of ``groups`` (node, component) is in.
+
+    A component of up to ``block`` numbers is one tile. A larger one is cut into size bands, and these into blocks dealt by
+    hash; each pair of blocks of one band or of two side by side is a tile."""
+    step = math.log(100 / percent) if percent < 100 else 1e-6
+    sized = groups.join(heads.select(F.col("doc").alias("node"), "n").hint("merge"), "node")
+    whole = cut(sized.groupBy("component").agg(F.sum("n").alias("numbers"), F.count(F.lit(1)).alias("weight")))
+    sized = join_counted(sized, whole, ["component"], max(1, n_classes), "weight", "node")
+    banded = sized.withColumn("band", F.when(F.col("numbers") <= block, 0).otherwise(F.floor(F.log("n") / step + 1e-9)).cast("int")).drop("numbers")
+    counts = cut(banded.groupBy("component", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("weight")))
+    above = counts.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
+    below = counts.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
+    plan = cut(counts.join(above.hint("merge"), ["component", "band"], "left").join(below.hint("merge"), ["component", "band"], "left"))
+    placed = join_counted(banded, plan, ["component", "band"], max(1, n_classes), "weight", "node")
+    here = placed.withColumn("s", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    span = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
+    unit = lambda *parts: F.concat_ws(":", F.col("component"), *parts)
+    tile = lambda lo_band, lo_s, hi_band, hi_s, role: F.struct(unit(lo_band, lo_s, hi_band, hi_s).alias("unit"), role.cast("int").alias("role"))
+    band, s = F.col("band"), F.col("s")
+    own = F.transform(span(F.col("blocks")), lambda o: tile(band, F.least(s, o), band, F.greatest(s, o), F.when(s == o, 2).when(s < o, 0).otherwise(1)))
+    up = F.transform(span(F.col("above")), lambda o: tile(band, s, band + 1, o, F.lit(0)))
+    down = F.transform(span(F.col("below")), lambda o: tile(band - 1, o, band, s, F.lit(1)))
+    return here.select(F.col("node").alias("doc"), F.explode(F.concat(own, up, down)).alias("u"))
+
+
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words_in_gram: int = 5, percent: int = 75) -> DataFrame:
     """(doc_id, n_shingles, component_id): of each document its set's size and the least id that links reach.
 
@@ -343,33 +372,15 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     left = heads.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = heads.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
     bounded = cut(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_within_bound(sim), "a long, b long"))
-    # 4. tiles over what stars and bounded pairs connect
-    stars = connected_components(found.where("kind = 1").select("a", "b").unionByName(bounded))
-    step = math.log(100 / percent) if percent < 100 else 1e-6
-    sized = stars.join(heads.select(F.col("doc").alias("node"), "n").hint("merge"), "node")
-    whole = cut(sized.groupBy("component").agg(F.sum("n").alias("numbers"), F.count(F.lit(1)).alias("weight")))
-    sized = join_counted(sized, whole, ["component"], max(1, n_classes), "weight", "node")
-    #: what fits one block is one tile
-    banded = sized.withColumn("band", F.when(F.col("numbers") <= BLOCK, 0).otherwise(F.floor(F.log("n") / step + 1e-9)).cast("int")).drop("numbers")
-    counts = cut(banded.groupBy("component", "band").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias("blocks"), F.count(F.lit(1)).alias("weight")))
-    above = counts.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
-    below = counts.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
-    plan = cut(counts.join(above.hint("merge"), ["component", "band"], "left").join(below.hint("merge"), ["component", "band"], "left"))
-    placed = join_counted(banded, plan, ["component", "band"], max(1, n_classes), "weight", "node")
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    name = lambda c, b, s, c2, s2: F.concat_ws(":", F.lit("t"), c, b, s, c2, s2)
-    span = lambda k: F.when(k > 0, F.sequence(F.lit(0), k - 1)).otherwise(F.array().cast("array<int>"))
-    here = placed.withColumn("s", block)
-    tile = lambda lo_band, lo_s, hi_band, hi_s, role: F.struct(name(F.col("component"), lo_band, lo_s, hi_band, hi_s).alias("unit"), role.cast("int").alias("role"))
-    band, s = F.col("band"), F.col("s")
-    own = F.transform(span(F.col("blocks")), lambda o: tile(band, F.least(s, o), band, F.greatest(s, o), F.when(s == o, 2).when(s < o, 0).otherwise(1)))
-    up = F.transform(span(F.col("above")), lambda o: tile(band, s, band + 1, o, F.lit(0)))
-    down = F.transform(span(F.col("below")), lambda o: tile(band - 1, o, band, s, F.lit(1)))
-    tiles = here.select(F.col("node").alias("doc"), F.explode(F.concat(own, up, down)).alias("u"))
-    wanted = tiles.groupBy("doc").agg(F.collect_list("u").alias("units"))
+    # 4. tiles over what stars and bounded pairs connect: by signatures, then what these leave by arrays
+    loose = connected_components(found.where("kind = 1").select("a", "b").unionByName(bounded))
+    rough = _tiles(loose, heads, SIGNED_BLOCK, percent, n_classes).select("doc", "u.unit", "u.role").join(heads.hint("merge"), "doc")
+    near = rough.groupBy("unit").applyInArrow(_within_tile(sim, False), "a long, b long")
+    tight = connected_components(near)
+    wanted = _tiles(tight, heads, BLOCK, percent, n_classes).groupBy("doc").agg(F.collect_list("u").alias("units"))
     arrays = once.join(wanted.hint("merge"), "doc").mapInArrow(_arrays(words_in_gram), "doc long, units array<struct<unit:string,role:int>>, numbers binary")
     units = arrays.select("doc", F.explode("units").alias("u"), "numbers").select("doc", "u.unit", "u.role", "numbers")
-    links = cut(units.groupBy("unit").applyInArrow(_verify(sim), "a long, b long").distinct())
+    links = cut(units.groupBy("unit").applyInArrow(_within_tile(sim, True), "a long, b long").distinct())
     # 5. groups
     reach = connected_components(links.unionByName(member.where("doc <> rep").groupBy("doc").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).where("a <> b").select("a", "b")))
     merged = member.join(reach.select(F.col("node").alias("rep"), "component").hint("merge"), "rep", "left").groupBy("doc").agg(F.min(F.coalesce("component", "rep")).alias("component_id"))
