@@ -187,6 +187,7 @@ def test_similar_with_many_tiles(spark, monkeypatch):
             w[r.randrange(len(w))] = f"x{r.randrange(1000)}"
         docs.append((i, " ".join(w[: r.randrange(80, 121)])))
     monkeypatch.setattr(ngram_join, "BLOCK", 600)
+    monkeypatch.setattr(ngram_join, "SIGNED_BLOCK", 900)
     got = ngram_join.similar_groups(frame(spark, docs))
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.similar(docs), key=str)
 
