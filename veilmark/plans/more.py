@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from veilmark.functions import probs as P
 from veilmark.operators import classifier, corpus, cues, evidence, groups, labeling, labelmodel, metrics, spans
@@ -13,12 +14,12 @@ from veilmark.plans.labels import _votes
 from veilmark.plans.registry import query
 from veilmark.plans.scores import _OK, _POL, policies, risks
 
-_GROUPS = "gg AS (SELECT source || (doc_id // 7)::VARCHAR AS g, count(*) AS n FROM documents WHERE doc_id % 3 <> 1 GROUP BY 1), go AS (SELECT g, n, row_number() OVER (ORDER BY sha256(concat_ws('|', 'w1', g)), g) AS i FROM gg), gt AS (SELECT i, CASE WHEN n <= 100 THEN n ELSE 0 END AS s, n <= 100 AS taken FROM go WHERE i = 1 UNION ALL SELECT go.i, CASE WHEN gt.s + go.n <= 100 THEN gt.s + go.n ELSE gt.s END, gt.s + go.n <= 100 FROM gt JOIN go ON go.i = gt.i + 1)"
+_GROUPS = "gg AS (SELECT source || (doc_id // 7)::VARCHAR AS g, count(*) AS n FROM documents GROUP BY 1), go AS (SELECT g, n, row_number() OVER (ORDER BY sha256(concat_ws('|', 'w1', g)), g) AS i FROM gg), gt AS (SELECT i, CASE WHEN n <= 100 THEN n ELSE 0 END AS s, n <= 100 AS taken FROM go WHERE i = 1 UNION ALL SELECT go.i, CASE WHEN gt.s + go.n <= 100 THEN gt.s + go.n ELSE gt.s END, gt.s + go.n <= 100 FROM gt JOIN go ON go.i = gt.i + 1)"
 
 
 @query("f04_whole_group_sample", f"WITH RECURSIVE {_GROUPS} SELECT g, n FROM go JOIN gt USING (i) WHERE taken")
 def f04(spark, sf):
-    d = docs(spark, sf).where("doc_id % 3 <> 1").select(F.concat("source", F.floor(F.col("doc_id") / 7).cast("string")).alias("g"))
+    d = docs(spark, sf).select(F.concat("source", F.floor(F.col("doc_id") / 7).cast("string")).alias("g"))
     return corpus.whole_group_sample(d, "g", 100, "w1").groupBy("g").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -29,11 +30,14 @@ def f05(spark, sf):
     return got.groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f07_quota_split", "SELECT kind, split, k::BIGINT AS n FROM (VALUES ('a'), ('b')) AS s(kind), (VALUES ('train', 56), ('validation', 8), ('calibration', 8), ('test', 8)) AS t(split, k)")
+@query("f07_quota_split", "SELECT source, split, (n // 20 * 20 * k // 10)::BIGINT AS n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source), (VALUES ('train', 7), ('validation', 1), ('calibration', 1), ('test', 1)) AS t(split, k) WHERE n >= 20")
 def f07(spark, sf):
-    d = docs(spark, sf).where("doc_id < 160").select("doc_id", F.when(F.col("doc_id") < 80, "a").otherwise("b").alias("kind"), F.floor(F.col("doc_id") / 2).alias("g"))
-    got = corpus.quota_split(d, "kind", "g", {"train": 7, "validation": 1, "calibration": 1, "test": 1}, "q1")
-    return got.groupBy("kind", "split").agg(F.count(F.lit(1)).alias("n"))
+    by = Window.partitionBy("source")
+    d = docs(spark, sf).select("doc_id", "source", F.row_number().over(by.orderBy("doc_id")).alias("r"), F.count(F.lit(1)).over(by).alias("n"))
+    #: each source is capped at a multiple of the smallest quota, as the operator asks for, and comes in pairs
+    d = d.where(F.col("r") <= F.floor(F.col("n") / 20) * 20).withColumn("g", F.concat_ws(":", "source", F.floor((F.col("r") - 1) / 2).cast("string")))
+    got = corpus.quota_split(d, "source", "g", {"train": 7, "validation": 1, "calibration": 1, "test": 1}, "q1")
+    return got.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("f14_reference_set", "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY sha256(concat_ws('|', 'r1', doc_id::VARCHAR)), doc_id) AS r FROM documents) SELECT doc_id, CASE WHEN r % 3 = 0 THEN 'evaluation' ELSE 'calibration' END AS part FROM r WHERE r <= greatest(1, 300 // (SELECT count(*) FROM (SELECT DISTINCT lang, source FROM documents)))")
@@ -101,10 +105,13 @@ def e20(spark, sf):
     return v.groupBy(F.size("votes").alias("width")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("record_id").alias("ids"))
 
 
-@query("h06_train_only_fit", "WITH " + em_cte("sensitivity", 3, base=votes_cte("sensitivity").rpartition("FROM ev)")[0] + "FROM ev WHERE record_id % 10 < 7)") + " SELECT " + ", ".join(f"round(t{j}, 7) AS t{j}" for j in range(7)) + " FROM th")
+_FIT = "('0x' || substr(sha256(concat_ws(chr(1), 'h6', record_id::VARCHAR)), 1, 13))::BIGINT / 4503599627370496.0 < 0.7"
+
+
+@query("h06_train_only_fit", "WITH " + em_cte("sensitivity", 3, base=votes_cte("sensitivity").rpartition("FROM ev)")[0] + "FROM ev WHERE " + _FIT + ")") + " SELECT " + ", ".join(f"round(t{j}, 7) AS t{j}" for j in range(7)) + " FROM th")
 def h06(spark, sf):
     v, m = _votes(spark, sf, "sensitivity")
-    _, fit = labelmodel.fit(v.where("record_id % 10 < 7"), "votes", m, 3)
+    _, fit = labelmodel.fit(corpus.group_split(v, "record_id", None, "h6", {"train": 0.7, "validation": 0.15, "test": 0.15}).where("split = 'train'"), "votes", m, 3)
     return v.limit(1).select(*[F.lit(round(t, 7)).alias(f"t{j}") for j, t in enumerate(fit["theta"])])
 
 
@@ -158,11 +165,11 @@ def j05(spark, sf):
     return split(spark, sf).join(table(spark, sf, "labels").select("doc_id"), "doc_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k10_policy_grid", "SELECT 'eps' || e || '_cov' || c || '_types' || (row_number() OVER (ORDER BY e, c) - 1) AS policy_id FROM (VALUES (1), (2)) AS a(e), (VALUES ('0.5'), ('1')) AS b(c), nation WHERE n_nationkey = 0")
+@query("k10_policy_grid", "SELECT n_nationkey, 'eps' || e || '_cov' || c || '_types' || (row_number() OVER (PARTITION BY n_nationkey ORDER BY e, c) - 1) AS policy_id FROM (VALUES (1), (2)) AS a(e), (VALUES ('0.5'), ('1')) AS b(c), nation")
 def k10(spark, sf):
-    #: a row of nation stands for one deployment
+    #: each nation is a deployment with the whole grid
     grid = R.candidates(spark, [1.0, 2.0], [0.5, 1.0], [["*"]])
-    return table(spark, sf, "nation").where("n_nationkey = 0").crossJoin(F.broadcast(grid)).select("policy_id")
+    return table(spark, sf, "nation").crossJoin(F.broadcast(grid)).select("n_nationkey", "policy_id")
 
 
 @query("k12_constraint_margins", f"WITH {_POL} SELECT record_id, policy_id, round(privacy - required, 9) AS privacy_margin, round(utility - 0.6, 9) AS utility_margin FROM rq, prof")
@@ -232,12 +239,12 @@ def b20(spark, sf):
     return d.select("doc_id", F.size("w").alias("n"), (spans.rebuilt_text(F.col("w"), F.col("b")) == F.coalesce("text", F.lit(""))).alias("same"))
 
 
-@query("b33_record_inspection", "WITH " + em_cte("sensitivity", 3) + " SELECT record_id, round(p0, 7) AS low, round(p1, 7) AS medium, round(p2, 7) AS high FROM vt JOIN post ON " + " AND ".join(f"vt.v{j} = post.v{j}" for j in range(7)) + " WHERE record_id % 50 = 0")
+@query("b33_record_inspection", "WITH " + em_cte("sensitivity", 3) + " SELECT record_id, round(p0, 7) AS low, round(p1, 7) AS medium, round(p2, 7) AS high FROM vt JOIN post ON " + " AND ".join(f"vt.v{j} = post.v{j}" for j in range(7)))
 def b33(spark, sf):
     v, m = _votes(spark, sf, "sensitivity")
     patterns, _ = labelmodel.fit(v, "votes", m, 3)
     names = labeling.TAXONOMY["sensitivity"]
-    got = labelmodel.apply(v, "votes", patterns).where("record_id % 50 = 0").withColumn("by", F.map_from_arrays(F.array(*map(F.lit, names)), "probabilities"))
+    got = labelmodel.apply(v, "votes", patterns).withColumn("by", F.map_from_arrays(F.array(*map(F.lit, names)), "probabilities"))
     return got.select("record_id", *[F.round(F.col("by")[n], 7).alias(n) for n in names])
 
 

@@ -174,7 +174,7 @@ def b21(spark, sf):
     return g.groupBy(S.span_errors(F.col("spans"), F.rpad(F.lit(""), 60, " ")).alias("error")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("b28_prefix_trim", "SELECT c_custkey, 'password: ' || c_name AS text, length('password: ') AS start FROM customer WHERE c_custkey % 3 = 0")
+@query("b28_prefix_trim", "SELECT c_custkey, 'password: ' || c_name AS text, length('password: ') AS start FROM customer")
 def b28(spark, sf):
-    c = table(spark, sf, "customer").where("c_custkey % 3 = 0").withColumn("text", F.concat(F.lit("password: "), "c_name"))
+    c = table(spark, sf, "customer").withColumn("text", F.concat(F.lit("password: "), "c_name"))
     return c.select("c_custkey", "text", F.length(F.regexp_extract("text", r"(?i)^(?:password|secret|pin)\s*(?:is|:|=)\s*", 0)).alias("start"))
