@@ -25,6 +25,8 @@ SAMPLE = 1000
 #: Windows of one training text, evenly spread; scoring has no such bound.
 TRAIN_WINDOWS = 24
 WINDOW, STRIDE = 48, 36
+#: Batches that a fit takes at least; small samples are gone through more often.
+STEPS = 300
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_SLOTS = 8, 12, 8, 4096
 VOCABULARY, MIN_DOCS = 8192, 3
 _CHUNK = 2048
@@ -214,7 +216,8 @@ def fit(texts: list[str], labels: np.ndarray, share: float = 0.5, seed: int = 7,
     doc = np.repeat(np.arange(len(texts)), np.diff(w.of_doc))
     seen = np.unique(np.stack([w.hash, doc.astype(np.uint64)], axis=1), axis=0)[:, 0] if len(w) else np.zeros(0, np.uint64)
     found, docs = np.unique(seen, return_counts=True)
-    found, docs = found[docs >= MIN_DOCS], docs[docs >= MIN_DOCS]
+    least = max(MIN_DOCS, len(texts) // 200)
+    found, docs = found[docs >= least], docs[docs >= least]
     vocabulary = np.sort(found[np.argsort(-docs, kind="stable")[:VOCABULARY]])
     p = init(len(vocabulary), seed)
     model = {"vocabulary": vocabulary, "params": p, "scale": 1.0, "shift": -10.0}
@@ -229,14 +232,22 @@ def fit(texts: list[str], labels: np.ndarray, share: float = 0.5, seed: int = 7,
     stride = np.maximum(1, -(-batch.n_windows // TRAIN_WINDOWS))[batch.doc]
     m1, m2 = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}
     step = 0
+    # one text in five is not trained on but for the line from logits to scores, if both classes are there
+    aside = np.arange(len(labels)) % 5 == 4
+    if len(set(labels[aside])) < 2 or len(set(labels[~aside])) < 2:
+        aside[:] = False
+    trained = ~aside[batch.doc]
+    n_train = int((i % stride == 0).sum())
+    size = min(size, max(16, n_train // 40))
+    epochs = max(epochs, -(-STEPS // max(1, n_train // size)))
     for epoch in range(epochs):
         use = (i + epoch) % stride == 0
         y = labels[batch.doc].astype(np.float32)
-        if epoch >= 2:  # of toxic texts, windows near the highest count as toxic and the others are left out
+        if epoch >= 0.4 * epochs:  # of toxic texts, windows near the highest count as toxic and the others are left out
             logits = window_logits(batch, p)
             top = _top(batch, logits)[batch.doc]
             use = np.where(y > 0, (logits >= top - 1) | (logits > 2), use)
-        some = np.flatnonzero(use)
+        some = np.flatnonzero(use & trained)
         part = max(1e-6, float(y[some].mean()))
         balance = np.where(y > 0, 0.5 / part, 0.5 / max(1e-6, 1 - part))
         r.shuffle(some)
@@ -248,22 +259,28 @@ def fit(texts: list[str], labels: np.ndarray, share: float = 0.5, seed: int = 7,
             for k in p:
                 m1[k] += 0.1 * (g[k] - m1[k])
                 m2[k] += 0.001 * (g[k] * g[k] - m2[k])
+                if k in ("word", "char"):
+                    p[k] *= np.float32(1 - 0.05 * a)
                 p[k] -= (a * m1[k] / (np.sqrt(m2[k]) + 1e-8)).astype(np.float32)
     top = _top(batch, window_logits(batch, p)).astype(np.float64)
+    if aside.any():
+        top, labels = top[aside], labels[aside]
     each = np.where(labels == 1, share / labels.mean(), (1 - share) / (1 - labels.mean()))
-    line = np.array([1.0, 0.0])
-    x = np.stack([top, np.ones(len(top))], axis=1)
-    for _ in range(25):  # Newton steps to the line from a text's highest logit to its own, kept from growing without end
-        q = _sigmoid(x @ line)
-        grad = x.T @ (each * (q - labels)) + 0.1 * (line - [1.0, 0.0])
-        line = line - np.linalg.solve((x.T * (each * q * (1 - q))) @ x + 0.1 * np.eye(2), grad)
-    scale, shift = map(float, line)
+    # the line from a text's highest logit to its own, on a standard scale, kept from growing without end
+    mean, spread = float(top.mean()), float(top.std()) or 1.0
+    z, slope, base = (top - mean) / spread, 1.0, 0.0
+    for _ in range(4000):
+        e = each * (_sigmoid(slope * z + base) - labels) / each.sum()
+        slope, base = slope - 0.5 * (float((e * z).sum()) + 0.001 * slope), base - 0.5 * float(e.sum())
+    scale, shift = slope / spread, base - slope * mean / spread
     return model | {"scale": scale, "shift": shift}
 
 
 def score_texts(column: pa.Array, model: dict) -> np.ndarray:
     batch = Batch(column, model["vocabulary"])
-    return _sigmoid(model["scale"] * _top(batch, window_logits(batch, model["params"])).astype(np.float64) + model["shift"])
+    out = _sigmoid(model["scale"] * _top(batch, window_logits(batch, model["params"])).astype(np.float64) + model["shift"])
+    out[batch.doc[batch.size == 0]] = 0.0  # a text without words
+    return out
 
 
 def held_out(id_col: str = "doc_id") -> Column:
@@ -295,7 +312,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str =
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text, 0 to 1. Null and empty texts get the score of a text without words."""
+    """``docs`` with the score of each whole text, 0 to 1. Texts without words, null ones too, get 0."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by the constants above
     cols = [c for c in docs.columns if c != score_col]
 
