@@ -156,22 +156,51 @@ def attacked(value: Column, kind: Column, attack: str) -> Column:
     raise ValueError(f"unknown attack {attack}")
 
 
+def pattern_spans(text: Column, pattern: str, kind: str) -> Column:
+    """Spans of every match of a pattern that doesn't look around itself.
+
+    A match lies where its value first occurs after the match before: an earlier place would have matched itself."""
+    start = F.struct(F.array().cast(SPAN).alias("spans"), F.lit(0).alias("at"))
+
+    def step(acc, v):
+        at = F.call_function("locate", v, text, acc["at"] + 1) - 1
+        span = F.struct(at.alias("start"), (at + F.length(v)).alias("end"), F.lit(kind).alias("type"))
+        return F.struct(F.concat(acc["spans"], F.array(span)).cast(SPAN).alias("spans"), (at + F.length(v)).alias("at"))
+
+    return F.aggregate(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), start, step, lambda acc: acc["spans"])
+
+
 def attack_records(df: DataFrame, id_col: str, text_col: str, spans_col: str, attacks=ATTACKS) -> DataFrame:
-    """A row for each record and attack that changes it: (id, parent_id, attack, text, spans). Spans are sorted and don't overlap."""
+    """A row for each record and attack that changes it: (id, parent_id, attack, text, spans, parent_spans, entity_changed). Spans are sorted and don't overlap."""
     rows = df.select(F.col(id_col).alias("parent_id"), F.col(text_col).alias("t"), F.col(spans_col).alias("s"), F.explode(F.array(*map(F.lit, attacks))).alias("attack"))
 
     def value(s):
         v = F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"])
         return F.coalesce(*[F.when(F.col("attack") == a, attacked(v, s["type"], a)) for a in attacks])
 
-    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"), F.lit(False).alias("changed"))
+    start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"), F.array().cast("array<boolean>").alias("changed"))
 
     def step(acc, s):
         new = value(s)
         text = F.concat(acc["text"], F.substring(F.col("t"), acc["at"] + 1, s["start"] - acc["at"]))
         span = F.struct(F.length(text).alias("start"), (F.length(text) + F.length(new)).alias("end"), s["type"].alias("type"))
-        return F.struct(F.concat(text, new).alias("text"), s["end"].alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"), (acc["changed"] | (new != F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"]))).alias("changed"))
+        return F.struct(F.concat(text, new).alias("text"), s["end"].alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"), F.concat(acc["changed"], F.array(new != F.substring(F.col("t"), s["start"] + 1, s["end"] - s["start"]))).alias("changed"))
 
-    done = rows.withColumn("r", F.aggregate("s", start, step)).where("r.changed")
+    done = rows.withColumn("r", F.aggregate("s", start, step)).where(F.exists("r.changed", lambda c: c))
     text = F.concat(F.col("r.text"), F.expr("substring(t, r.at + 1)"))
-    return done.select(F.substring(F.sha2(F.concat_ws("\u0001", F.col("parent_id").cast("string"), "attack"), 256), 1, 24).alias("record_id"), "parent_id", "attack", text.alias("text"), F.col("r.spans").alias("spans"))
+    return done.select(F.substring(F.sha2(F.concat_ws("\u0001", F.col("parent_id").cast("string"), "attack"), 256), 1, 24).alias("record_id"), "parent_id", "attack", text.alias("text"), F.col("r.spans").alias("spans"), F.col("s").alias("parent_spans"), F.col("r.changed").alias("entity_changed"))
+
+
+def attack_scores(attacked: DataFrame, detected: Column, attacks=ATTACKS) -> DataFrame:
+    """Of each attack, over rows of ``attack_records`` whose clean spans were all found: strict scores of the spans
+    ``detected`` in the new text, the changed entities and those no longer found. The clean F1 is 1, of all rows and of the pairs."""
+    found = lambda s: F.array_contains(F.col("_found"), s)
+    lost = F.filter(F.zip_with("spans", "entity_changed", lambda s, c: c & ~found(s)), lambda x: x)
+    rows = attacked.withColumn("_found", detected.cast(SPAN)).select("attack", F.size(F.filter("spans", found)).alias("tp"), F.size("spans").alias("gold"), F.size("_found").alias("found"), F.size(F.filter("entity_changed", lambda c: c)).alias("eligible"), F.size(lost).alias("lost"))
+    sums = prf(rows.select("attack", "tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("gold") - F.col("tp")).alias("fn")), ["attack"])
+    counts = rows.groupBy("attack").agg(F.count(F.lit(1)).alias("records"), F.sum("eligible").alias("eligible"), F.sum("lost").alias("lost"))
+    names = attacked.sparkSession.createDataFrame([(a,) for a in attacks], "attack string")
+    #: one row an attack
+    j = names.join(sums.join(counts, "attack"), "attack", "left")
+    status = F.when(F.col("records").isNull(), "no_applicable_entities").otherwise("scored")
+    return j.select("attack", status.alias("status"), "records", "tp", "fp", "fn", "f1", "eligible", "lost", (F.col("lost") / F.col("eligible")).alias("success_rate"), (1 - F.col("f1")).alias("degradation"))

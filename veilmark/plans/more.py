@@ -251,13 +251,17 @@ def b33(spark, sf):
 _ATT = "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}"
 
 
+#: the SQL takes the first address of a document only; the query takes all
 @query("i07_attack_robustness", f"WITH m AS (SELECT doc_id, regexp_extract(text, '{_ATT}', 0) AS v FROM documents WHERE regexp_matches(text, '{_ATT}')), a AS (SELECT 'email_obfuscation' AS attack, replace(replace(v, '@', ' [at] '), '.', ' [dot] ') AS w, v FROM m UNION ALL SELECT 'character_substitution', translate(v, 'aeo', 'аео'), v FROM m) SELECT attack, count(*) FILTER (WHERE w <> v) AS changed, count(*) FILTER (WHERE w <> v AND NOT regexp_full_match(w, '{_ATT}')) AS missed FROM a GROUP BY attack")
 def i07(spark, sf):
-    d = docs(spark, sf).where(F.col("text").rlike(_ATT)).select("doc_id", F.regexp_extract("text", f"({_ATT})", 1).alias("v"))
+    d = docs(spark, sf).where(F.col("text").rlike(_ATT)).select("doc_id", "text", spans.pattern_spans(F.col("text"), _ATT, "EMAIL").alias("spans"))
     kinds = ("email_obfuscation", "character_substitution")
-    long = d.select("v", F.explode(F.array(*[F.struct(F.lit(a).alias("attack"), spans.attacked(F.col("v"), F.lit("EMAIL"), a).alias("w")) for a in kinds])).alias("x")).select("v", "x.*")
-    changed = F.col("w") != F.col("v")
-    return long.groupBy("attack").agg(F.count_if(changed).alias("changed"), F.count_if(changed & ~F.col("w").rlike(f"^(?:{_ATT})$")).alias("missed"))
+    r = spans.attack_records(d, "doc_id", "text", "spans", kinds)
+    x = r.select("attack", "text", F.explode(F.arrays_zip("spans", "entity_changed")).alias("x"))
+    w = F.substring(F.col("text"), F.col("x.spans.start") + 1, F.col("x.spans.end") - F.col("x.spans.start"))
+    changed = F.col("x.entity_changed")
+    n = x.groupBy("attack").agg(F.count_if(changed).alias("changed"), F.count_if(changed & ~w.rlike(f"^(?:{_ATT})$")).alias("missed"))
+    return spark.createDataFrame([(k,) for k in kinds], "attack string").join(n, "attack", "left").fillna(0)
 
 
 @query("i17_temperature_by_head")

@@ -161,11 +161,30 @@ def b25(spark, sf):
 _MAIL = "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}"
 
 
+def addressed(spark, sf):
+    """Documents with an address, and the spans of all their addresses."""
+    d = table(spark, sf, "documents").where(F.col("text").rlike(_MAIL))
+    return d.select("doc_id", "text", S.pattern_spans(F.col("text"), _MAIL, "EMAIL").alias("spans"))
+
+
+#: the SQL takes the first address of a document only; the query takes all
 @query("b27_email_attack", f"WITH m AS (SELECT doc_id, regexp_extract(text, '{_MAIL}', 0) AS v FROM documents WHERE regexp_matches(text, '{_MAIL}')) SELECT doc_id, replace(replace(v, '@', ' [at] '), '.', ' [dot] ') AS obfuscated, length(replace(replace(v, '@', ' [at] '), '.', ' [dot] ')) - length(v) AS grown FROM m")
 def b27(spark, sf):
-    d = table(spark, sf, "documents").where(F.col("text").rlike(_MAIL)).select("doc_id", F.regexp_extract("text", f"({_MAIL})", 1).alias("v"))
-    new = S.attacked(F.col("v"), F.lit("EMAIL"), "email_obfuscation")
-    return d.select("doc_id", new.alias("obfuscated"), (F.length(new) - F.length("v")).alias("grown"))
+    r = S.attack_records(addressed(spark, sf), "doc_id", "text", "spans", ["email_obfuscation"])
+    x = r.select("parent_id", "text", F.explode(F.arrays_zip("spans", "parent_spans")).alias("x"))
+    n, before = F.col("x.spans.end") - F.col("x.spans.start"), F.col("x.parent_spans.end") - F.col("x.parent_spans.start")
+    return x.select(F.col("parent_id").alias("doc_id"), F.substring(F.col("text"), F.col("x.spans.start") + 1, n).alias("obfuscated"), (n - before).alias("grown"))
+
+
+@query("b27_attack_records")
+def b27_records(spark, sf):
+    return S.attack_records(addressed(spark, sf), "doc_id", "text", "spans")
+
+
+@query("i07_attack_scores")
+def i07_scores(spark, sf):
+    #: the pattern both marks and detects the addresses
+    return S.attack_scores(b27_records(spark, sf), S.pattern_spans(F.col("text"), _MAIL, "EMAIL"))
 
 
 @query("b21_span_validation", "WITH " + _GOLD + " SELECT CASE WHEN e > 60 THEN 'range' END AS error, count(*) AS n FROM gold GROUP BY ALL")
