@@ -80,3 +80,27 @@ def test_every_attacked_address_is_counted(spark, folder):
     assert got == scores and {a for a, x in scores.items() if x[0] != "scored"} == {"whitespace", "phone_formatting"}
     got = {r["attack"]: (r["changed"], r["missed"]) for r in query("i07_attack_robustness")(spark, folder).collect()}
     assert got == {a: short[a] for a in ("email_obfuscation", "character_substitution")}
+
+
+def test_budget_keeps_anchors(spark):
+    df = spark.createDataFrame([(i, 10, i >= 98) for i in range(100)], "rank long, cost long, rare boolean")
+    got = corpus.budget_prefix(df, "rank", "cost", 45, F.col("rare")).collect()
+    assert sorted((r["rank"], r["spent"]) for r in got) == [(0, 30), (1, 40), (98, 10), (99, 20)]
+    assert corpus.budget_prefix(df, "rank", "cost", 20, F.col("rare")).count() == 2
+    with pytest.raises(ValueError):
+        corpus.budget_prefix(df, "rank", "cost", 19, F.col("rare"))
+
+
+def test_budget_sums_in_more_than_one_task(spark, capsys):
+    costs = [None if i % 4 == 0 else i % 7 for i in range(9000)]
+    df = spark.createDataFrame(list(enumerate(costs)), "id long, cost long").repartition(7)
+    got = corpus.budget_prefix(df, "id", "cost", 20000)
+    want, spent = {}, None
+    for i, c in enumerate(costs):
+        spent = spent if c is None else (spent or 0) + c
+        if spent is not None and spent <= 20000:
+            want[i] = spent
+    assert {r["id"]: r["spent"] for r in got.collect()} == want
+    capsys.readouterr()
+    got.explain()
+    assert "Window [sum(_cost" in (plan := capsys.readouterr().out) and "[_cell" in plan.split("Window [sum(_cost", 1)[1].split("\n")[0]

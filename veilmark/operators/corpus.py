@@ -128,19 +128,25 @@ def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
     return parts.join(F.broadcast(offsets), "_pid").withColumn("rank", F.col("_at") - F.col("_base") + F.col("_offset") + 1).drop("_pid", "_at", "_base", "_offset")
 
 
-def budget_prefix(ranked: DataFrame, rank: str, cost: str, budget: float) -> DataFrame:
-    """The largest prefix by rank whose cost is within the budget."""
-    w = Window.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("spent", F.sum(cost).over(w)).where(F.col("spent") <= budget)
+def budget_prefix(ranked: DataFrame, rank: str, cost: str, budget: float, anchor: Column | None = None) -> DataFrame:
+    """The largest prefix by rank whose cost is within the budget, with ``spent`` up to each row.
+
+    Rows of ``anchor`` come first and are mandatory: an error if they do not fit. No two ranks are equal."""
+    first = F.when(anchor, 0).otherwise(1) if anchor is not None else F.lit(1)
+    rows = ranked.select(F.struct("*").alias("_row"), first.alias("_first"), F.col(rank).alias("_by"), F.col(cost).alias("_cost"))
+    sums = running_sum(rows, ["_first", "_by"], "_cost", "spent")
+    if anchor is not None and (need := sums.where("_first = 0").agg(F.max("spent")).first()[0]) is not None and need > budget:
+        raise ValueError(f"anchors cost {need}, over the budget of {budget}")
+    return sums.where(F.col("spent") <= budget).select("_row.*", "spent")
 
 
 def running_sum(df: DataFrame, order: list[str], value: str, out: str = "running") -> DataFrame:
     """``df`` with the sum of ``value`` up to each row of a total order, by cells of ranks and the cells' own sums."""
     cells = global_rank(df, order).withColumn("_cell", F.floor((F.col("rank") - 1) / 4096))
     sums = cells.groupBy("_cell").agg(F.sum(value).alias("_s"))
-    before = sums.select("_cell", (F.sum("_s").over(Window.orderBy("_cell")) - F.col("_s")).alias("_before"))
+    before = sums.select("_cell", F.sum("_s").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
     run = F.sum(value).over(Window.partitionBy("_cell").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return cells.withColumn("_run", run).join(before.hint("merge"), "_cell").withColumn(out, F.col("_before") + F.col("_run")).drop("_cell", "_run", "_before", "rank")
+    return cells.withColumn("_run", run).join(before.hint("merge"), "_cell").withColumn(out, F.coalesce(F.col("_before") + F.col("_run"), "_before", "_run")).drop("_cell", "_run", "_before", "rank")
 
 
 def whole_group_sample(df: DataFrame, group: str, limit: int, seed: str) -> DataFrame:

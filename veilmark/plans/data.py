@@ -136,7 +136,14 @@ def f06_balanced(spark, sf):
 
 @query("f11_budget_prefix", "SELECT doc_id, spent FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS spent FROM documents) WHERE spent <= 100000")
 def f11_budget(spark, sf):
-    return corpus.budget_prefix(docs(spark, sf), "doc_id", "n_chars", 100000).select("doc_id", "spent")
+    return corpus.budget_prefix(docs(spark, sf).select("doc_id", "n_chars"), "doc_id", "n_chars", 100000).select("doc_id", "spent")
+
+
+@query("f11_anchored_prefix", "SELECT doc_id, spent FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY CASE WHEN lang = 'es' AND doc_id % 50 = 0 THEN 0 ELSE 1 END, doc_id)::BIGINT AS spent FROM documents) WHERE spent <= (SELECT sum(n_chars) // 2 FROM documents)")
+def f11_anchored(spark, sf):
+    d = docs(spark, sf).select("doc_id", "lang", "n_chars")
+    half = (d.agg(F.sum("n_chars")).first()[0] or 0) // 2
+    return corpus.budget_prefix(d, "doc_id", "n_chars", half, (F.col("lang") == "es") & (F.col("doc_id") % 50 == 0)).select("doc_id", "spent")
 
 
 @query("f12_nested_subsets", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN lang = 'es' AND doc_id < 200 THEN 0 ELSE 1 END, sha256(concat_ws('|', 'n1', doc_id::VARCHAR))) AS rank, count(*) OVER () AS n, count(*) FILTER (WHERE lang = 'es' AND doc_id < 200) OVER () AS a FROM documents) SELECT doc_id, f AS fraction, rank FROM r, (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1.0::DOUBLE)) AS t(f) WHERE rank <= greatest(a, ceil(n * f))")
