@@ -1,9 +1,10 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
 Inputs. Each word gives a vector of its own, if it is in the vocabulary of the training sample, and the mean of the vectors of
-its character pairs. Both are projected once for each distinct word of a batch. Windows of ``WINDOW`` words, ``STRIDE`` apart
-and so overlapping, cover every text to its end; the network runs over all windows of a batch at once and attention pools
-its states. A text's logit is that of its highest window, after a line fitted on the sample (a longer text has more chances).
+its character pairs. Both are projected once for each distinct word of a batch. Windows of ``WINDOW`` words, each half over
+the one before, cover every text to its end, so any ``STRIDE`` words in a row are whole in one of them; the network runs over
+all windows of a batch at once and attention pools its states. A text's logit is that of its highest window, after a line
+fitted on the sample (a longer text has more chances).
 
 Fitting. At most ``SAMPLE`` labelled rows of each class, those with the least MD5 of their id, are collected; labels are known
 for whole texts, so windows of toxic texts count as toxic at first and then only those the network itself finds so.
@@ -18,18 +19,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.llm.hashing import slices, text_bytes, words
+from veilmark.llm.hashing import LOWER, slices, text_bytes, words
 
 #: Labelled rows of each class to learn from.
 SAMPLE = 1000
-#: Windows of one training text, evenly spread; scoring has no such bound.
+#: Windows of one training text that a pass over the sample reads, evenly spread and others in each pass, so that a few very
+#: long texts don't outweigh the rest; the passes that pick the toxic windows of a text, and scoring, read all of them.
 TRAIN_WINDOWS = 24
-WINDOW, STRIDE = 48, 36
+WINDOW, STRIDE = 32, 16
 #: Batches that a fit takes at least; small samples are gone through more often.
 STEPS = 300
 HIDDEN, WORD_DIM, CHAR_DIM, CHAR_SLOTS = 8, 12, 8, 4096
 VOCABULARY, MIN_DOCS = 8192, 3
-_CHUNK = 2048
+_CHUNK = 1024
 
 Params = dict[str, np.ndarray]
 
@@ -48,21 +50,21 @@ class Batch:
     def __init__(self, column: pa.Array, vocabulary: np.ndarray):
         raw, at = text_bytes(column)
         w = words(raw, at, lower=True)
-        distinct, first, self.word = np.unique(w.hash, return_index=True, return_inverse=True)
+        distinct, first, word = np.unique(w.hash, return_index=True, return_inverse=True)
+        self.word = word.astype(np.int32)
         place = np.minimum(np.searchsorted(vocabulary, distinct), max(len(vocabulary) - 1, 0))
         self.vocab = np.where(vocabulary[place] == distinct, place + 1, 0) if len(vocabulary) else np.zeros(len(distinct), np.int64)
-        self.distinct = distinct
         # character pairs of each distinct word, its ends included
         start, end = w.start[first], w.end[first]
         size = end - start
-        lower = raw + np.where((raw >= 0x41) & (raw <= 0x5A), 32, 0).astype(np.uint8)
-        owner = np.repeat(np.arange(len(distinct)), size + 1)
-        step = np.arange(len(owner)) - np.repeat(np.cumsum(size + 1) - (size + 1), size + 1)
+        lower = LOWER[raw]
+        owner = np.repeat(np.arange(len(distinct), dtype=np.int32), size + 1)
+        step = np.arange(len(owner), dtype=np.int32) - np.repeat((np.cumsum(size + 1) - (size + 1)).astype(np.int32), size + 1)
         here = start[owner] + step
         a = np.where(step > 0, lower[np.maximum(here - 1, 0)] if len(raw) else 0, 0).astype(np.uint32)
         b = np.where(step < size[owner], lower[np.minimum(here, max(len(raw) - 1, 0))] if len(raw) else 0, 0).astype(np.uint32)
-        self.pair = ((a * np.uint32(257) + b) * np.uint32(0x9E3779B1) >> np.uint32(20)).astype(np.int64)
-        self.pair_owner, self.pairs = owner, size + 1
+        self.pair = ((a * np.uint32(257) + b) * np.uint32(0x9E3779B1) >> np.uint32(20)).astype(np.int32)
+        self.pairs = size + 1
         # windows: (first word, words) of each, and its document
         count = np.diff(w.of_doc)
         n = np.where(count > WINDOW, -(-(count - WINDOW) // STRIDE) + 1, 1)
@@ -82,7 +84,7 @@ class Batch:
         t = np.arange(WINDOW)[:, None]
         real = t < self.size[windows][None, :]
         at = np.where(real, self.first[windows][None, :] + t, 0)
-        return (self.word[at] if len(self.word) else np.zeros(at.shape, np.int64)), real
+        return (self.word[at] if len(self.word) else np.zeros(at.shape, np.int32)), real
 
 
 def init(n_words: int, seed: int = 7) -> Params:
@@ -279,7 +281,6 @@ def fit(texts: list[str], labels: np.ndarray, share: float = 0.5, seed: int = 7,
 def score_texts(column: pa.Array, model: dict) -> np.ndarray:
     batch = Batch(column, model["vocabulary"])
     out = _sigmoid(model["scale"] * _top(batch, window_logits(batch, model["params"])).astype(np.float64) + model["shift"])
-    out[batch.doc[batch.size == 0]] = 0.0  # a text without words
     return out
 
 
@@ -289,19 +290,23 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def learnable(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic") -> DataFrame:
-    """(id, label) of the rows that may be learnt from."""
-    return labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
+    """(id, label) of the ids that may be learnt from; an id that is labelled both 0 and 1 counts as 1."""
+    rows = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
+    return rows.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("label"))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """(id, text, label): up to ``most`` rows of each class whose crc32(id as text) mod 5 is not 0."""
+    """(id, text, label): the texts of up to ``most`` ids of each class whose crc32(id as text) mod 5 is not 0.
+
+    Of rows that repeat an id the least text is taken."""
     kept = learnable(labels, id_col, label_col)
     sample = None
     for y in (0, 1):
         part = kept.where(F.col("label") == y).orderBy(F.md5(F.col("id").cast("string")), "id").limit(most)
         sample = part if sample is None else sample.unionByName(part)
     #: the sample has at most 2 * most rows
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample.dropDuplicates(["id"])), "id")
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(sample), "id")
+    return rows.groupBy("id", "label").agg(F.min("text").alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", **how) -> dict:
@@ -312,7 +317,11 @@ def train(docs: DataFrame, labels: DataFrame, most: int = SAMPLE, id_col: str =
 
 
 def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """``docs`` with the score of each whole text, 0 to 1. Texts without words, null ones too, get 0."""
+    """``docs`` with the score of each whole text, 0 to 1.
+
+    Null texts are empty; a text without words is one window without words, which the network scores. Equal texts get equal
+    scores whatever rows they lie beside, ids play no part. A column named as the score is replaced. An empty table gives no
+    rows."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # its size is set by the constants above
     cols = [c for c in docs.columns if c != score_col]
 
