@@ -201,20 +201,65 @@ def test_bound_holds():
         assert ngram_join.common(a, b) == k <= ngram_join.bound(ngram_join.signature(a), len(a), ngram_join.signature(b), len(b))
 
 
-def test_vectors(spark):
-    r = np.random.default_rng(2)
-    x = r.standard_normal((300, 16))
-    for i in range(0, 200, 4):
-        x[i + 1] = x[i] * 2 + r.standard_normal(16) * 0.05
-    data = [(i, [float(v) for v in row]) for i, row in enumerate(x)]
-    data += [(900, None), (901, [0.0] * 16), (902, [None] * 16), (903, [float("nan")] * 16), (904, [float("inf")] + [1.0] * 15), (905, [1.0] * 3)]
-    df = spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "tree": F.lit(2)})
-    got = embedding_dedup.near_vectors(df, leaf=32, block=20, trees=8)
+def vector_frame(spark, data):
+    return spark.createDataFrame(data, "vec_id long, embedding array<double>").withColumns({"id": F.lit(1), "node": F.lit(2), "leaf": F.lit(3)})
+
+
+def planted(n, width, seed, low=0.95, high=0.99):
+    """``n`` vectors and, for every fourth, another at a cosine between ``low`` and ``high``."""
+    r = np.random.default_rng(seed)
+    x = r.standard_normal((n, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    for i in range(0, n - 1, 4):
+        side = r.standard_normal(width)
+        side -= (side @ x[i]) * x[i]
+        c = r.uniform(low, high)
+        x[i + 1] = 3 * (c * x[i] + np.sqrt(1 - c * c) * side / np.linalg.norm(side))
+    return [(i, [float(v) for v in row]) for i, row in enumerate(x)]
+
+
+VECTORS = [(900, None), (901, [0.0] * 16), (902, [None] * 16), (903, [float("nan")] * 16), (904, [float("inf")] + [1.0] * 15), (905, [1.0] * 3), (906, [])]
+
+
+def test_vectors_of_one_leaf(spark):
+    data = planted(300, 16, 2) + VECTORS
+    data += [(1000 + i, data[8][1]) for i in range(40)] + [(2000, [-0.0] + [1.0] * 15), (2001, [0.0] + [1.0] * 15)]
+    got = embedding_dedup.near_vectors(vector_frame(spark, data), leaf=1000, block=64, trees=3)
     want = brute.vectors([(i, v if v and len(v) == 16 else None) for i, v in data])
-    pairs = sum(w[1] for w in want)
-    assert sum(r["n_links"] for r in got.collect()) >= 0.98 * pairs
-    exact = embedding_dedup.near_vectors(df, leaf=1000, block=64, trees=3)
-    assert rows(exact, "vec_id", "n_links", "component_id", "kept") == sorted(want, key=str)
+    assert rows(got, "vec_id", "n_links", "component_id", "kept") == sorted(want, key=str)
+
+
+def test_repeated_and_missing_vector_ids(spark):
+    data = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (None, [0.01, 1.0]), (None, [-1.0, 0.0]), (3, [1.0, 0.0])]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(data, "vec_id long, embedding array<double>"))
+    want = [(1, 2, 1, True), (1, 1, 1, True), (2, 2, 1, False), (None, 1, 1, False), (None, 0, None, True), (3, 2, 1, False)]
+    assert rows(got, "vec_id", "n_links", "component_id", "kept") == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("leaf, sample, depth", [(48, 20_000, 6), (24, 64, 7)])
+def test_recall_of_deep_trees(spark, leaf, sample, depth):
+    """The forest as in production but for the size of leaves; with 64 sampled vectors, levels below the second are Spark's."""
+    data = planted(2400, 64, 5)
+    df = vector_frame(spark, data)
+    got = embedding_dedup.near_vectors(df, leaf=leaf, sample=sample)
+    want = {w[0]: w for w in brute.vectors(data)}
+    found = {r["vec_id"]: (r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in got.collect()}
+    links = sum(w[1] for w in want.values())
+    assert links >= 1200 and sum(f[1] for f in found.values()) >= 0.95 * links
+    assert all(f[1] <= want[i][1] for i, f in found.items())  # none is counted twice
+    assert sum(found[i] == w for i, w in want.items()) >= 0.95 * len(want)
+
+
+def test_overfull_leaves_are_split(spark):
+    r = np.random.default_rng(1)
+    x = np.concatenate([r.standard_normal((600, 8)), np.full((100, 8), 1.0) + r.standard_normal((100, 8)) * 1e-6])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    placed = spark.createDataFrame([(i, 1, v.tobytes(), [1]) for i, v in enumerate(x)], "node long, n long, vector binary, leaves array<long>")
+    done = embedding_dedup.split_overfull(placed, 20, 0.01, 3).select("node", F.explode("leaves").alias("leaf"))
+    sizes = {k["leaf"]: k["count"] for k in done.groupBy("leaf").count().collect()}
+    assert done.select("node").distinct().count() == 700
+    assert sorted(v for v in sizes.values() if v > 80)[-1] >= 100  # the tight cluster stays whole
+    assert sum(v > 80 for v in sizes.values()) <= 4 and len(sizes) > 8
 
 
 def test_repeats(spark):
