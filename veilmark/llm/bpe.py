@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import gc
+import hashlib
 import re
 import sys
 from array import array
@@ -27,10 +28,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from veilmark.llm.hashing import slices
+
 _ROOT = 0
 _NEVER = 1 << 62
 #: Times that a transition is met before it is made.
 HOT = 2
+#: What a task remembers, at most: states, whether tokens fit side by side, and pieces (twice, as those not met of late go).
+STATES, FITS, PIECES = 40_000, 400_000, 100_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -55,7 +60,7 @@ def merge_tree(token: bytes, ranks: dict[bytes, int]) -> tuple:
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], max_states: int = 50_000):
+    def __init__(self, ranks: dict[bytes, int], max_states: int = STATES):
         self.ranks, self.max_states = ranks, max_states
         self.bytes_of = {r: t for t, r in ranks.items()}
         self.start = 1 + max(self.bytes_of, default=0)  # stands for no token yet
@@ -139,33 +144,37 @@ class Transducer:
     def arcs(self, data: bytes, at: int) -> list[tuple[int, int]]:
         """Tokens that begin at ``at`` and where they end, the longest last."""
         kids, token, node, found = self.kids, self.token, _ROOT, []
-        for i in range(at, len(data)):
-            if (node := kids[node].get(data[i], -1)) < 0:
+        for byte in data[at:] if at else data:
+            if (node := kids[node].get(byte, -1)) < 0:
                 break
-            if token[node] >= 0:
-                found.append((token[node], i + 1))
+            at += 1
+            if (t := token[node]) >= 0:
+                found.append((t, at))
         return found
 
     def follow(self, last: int, data: bytes) -> list[int]:
         """The tokens after ``last`` of what is left of a piece: the machine as it is before it is determinised, longest arc
         first; an arc that leads nowhere is taken back and not tried again."""
         fits, size = self.fits, len(data)
-        out, ends, left, dead = [last], [0], [self.arcs(data, 0)], set()
-        while ends[-1] < size:
+        out, end, left, dead = [last], 0, [self.arcs(data, 0)], set()
+        ends = [0]
+        while end < size:
             arcs = left[-1]
             while arcs:
-                t, end = arcs.pop()
-                key = out[-1] << 20 | t
-                ok = fits.get(key)
-                if (self.joins(out[-1], t) if ok is None else ok) and (t, end) not in dead:
+                t, to = arcs.pop()
+                ok = fits.get(last << 20 | t)
+                if (self.joins(last, t) if ok is None else ok) and (not dead or (t, to) not in dead):
                     out.append(t)
-                    ends.append(end)
-                    left.append(self.arcs(data, end))
+                    ends.append(to)
+                    last, end = t, to
+                    if to < size:
+                        left.append(self.arcs(data, to))
                     break
             else:
                 if len(out) == 1:
                     raise ValueError("the vocabulary can't encode this piece")
                 dead.add((out.pop(), ends.pop()))
+                last, end = out[-1], ends[-1]
                 left.pop()
         return out[1:]
 
@@ -174,6 +183,8 @@ class Transducer:
             return [whole]
         if len(self.walks) > self.max_states:
             self.reset()
+        if len(self.fits) > FITS:
+            self.fits.clear()
         s, out = 0, []
         get, met = self.step.get, self.met
         for i, byte in enumerate(piece):
@@ -217,7 +228,7 @@ class Encoder:
     space gives its last character to what follows, and a match has a space at its start only. So texts are cut there and
     what lies between is looked up whole; a text with white space on both sides of a space is matched as it is."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = PIECES):
         #: White_Space is what \s means to the tokenizer's own engine; the regex module would add U+001C to U+001F
         same = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.split = regex.compile(same).findall
@@ -309,39 +320,65 @@ def _decoder(path: str) -> StreamDecoder:
     return StreamDecoder({r: t for t, r in load_ranks(path).items()})
 
 
-def _mapped(df: DataFrame, work, column: str, kind: str) -> DataFrame:
-    """``df`` with ``column`` added (or replaced) by ``work`` of a batch."""
+def _mapped(df: DataFrame, work, column: str, kind: str, by: str) -> DataFrame:
+    """``df`` with ``column`` added (or replaced) by ``work`` of slices of a batch, cut by the size of column ``by``."""
     cols = [c for c in df.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), work(b)], names=[*cols, column])
+        for whole in batches:
+            for b in slices(whole, by):
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), work(b)], names=[*cols, column])
 
     kinds = "".join(f"`{c}` {df.schema[c].dataType.simpleString()}, " for c in cols)
     return df.select(*df.columns).mapInArrow(run, f"{kinds}`{column}` {kind}")
 
 
+def _decoded(machine: StreamDecoder, ids: bytes, chunk: int) -> bytes:
+    numbers = np.frombuffer(ids, "<u4").tolist()
+    return b"".join([machine.feed(numbers[i : i + chunk]) for i in range(0, len(numbers), chunk)]) + machine.flush()
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """``docs`` with the ids of each text, as little-endian 32-bit integers end to end; nulls have none.
+    """``docs`` with the ids of each whole text, as little-endian 32-bit integers end to end.
 
-    ``path``, a file of ranks, must be there on every executor. Matches of ``pattern`` are encoded one by one."""
+    ``path``, a file of ranks, must be there on every executor. Matches of ``pattern`` are encoded one by one. Null and empty
+    texts have no ids. Each row, repeated ones too, gives one row, and an empty table none; a column of the name ``ids_col``
+    is replaced and all others stay."""
 
     def work(b: pa.RecordBatch) -> pa.Array:
         encoder = _encoder(path, pattern)
         return pa.array([encoder(t) if t else b"" for t in (x.as_py() for x in b.column(text_col))], pa.binary())
 
-    return _mapped(docs, work, ids_col, "binary")
+    return _mapped(docs, work, ids_col, "binary", text_col)
 
 
 def decode(df: DataFrame, path: str, ids_col: str = "ids", bytes_col: str = "decoded", chunk: int = 4096) -> DataFrame:
-    """``df`` with the bytes that the ids stand for, decoded ``chunk`` ids at a time; null ids have none."""
+    """``df`` with the bytes that the ids stand for, decoded ``chunk`` ids at a time; null ids have none.
+
+    Each row gives one row, and an empty table none; a column of the name ``bytes_col`` is replaced and all others stay."""
 
     def work(b: pa.RecordBatch) -> pa.Array:
         machine = _decoder(path)
-        out = []
-        for x in b.column(ids_col):
-            ids = np.frombuffer(x.as_py() or b"", "<u4").tolist()
-            out.append(b"".join([machine.feed(ids[i : i + chunk]) for i in range(0, len(ids), chunk)]) + machine.flush())
-        return pa.array(out, pa.binary())
+        return pa.array([_decoded(machine, x.as_py() or b"", chunk) for x in b.column(ids_col)], pa.binary())
 
-    return _mapped(df, work, bytes_col, "binary")
+    return _mapped(df, work, bytes_col, "binary", ids_col)
+
+
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", chunk: int = 4096) -> DataFrame:
+    """``docs`` with ids, n_tokens, ids_sha256 and decoded_sha256 instead of the text: encoded, decoded again and digested
+    (lowercase hex) in one pass, so that neither texts nor decoded bytes go out of a task. Rows and nulls as in ``encode``;
+    columns of these names are replaced."""
+    own = {"ids": pa.binary(), "n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+    cols = [c for c in docs.columns if c != text_col and c not in own]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder, machine = _encoder(path, pattern), _decoder(path)
+        digest = lambda data: hashlib.sha256(data).hexdigest()
+        for whole in batches:
+            for b in slices(whole, text_col):
+                ids = [encoder(t) if t else b"" for t in (x.as_py() for x in b.column(text_col))]
+                made = [ids, [len(x) // 4 for x in ids], [digest(x) for x in ids], [digest(_decoded(machine, x, chunk)) for x in ids]]
+                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), *(pa.array(v, k) for v, k in zip(made, own.values()))], names=[*cols, *own])
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in cols)
+    return docs.select(*cols, text_col).mapInArrow(run, f"{kinds}ids binary, n_tokens long, ids_sha256 string, decoded_sha256 string")
