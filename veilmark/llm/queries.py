@@ -22,7 +22,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = warc.archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
-    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).cast("long")
+    page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return read.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.coalesce("payload_digest", "header_digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 
 
@@ -32,10 +32,7 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = _table(spark, sf_dir, "documents")
-    groups = exact_dedup.exact_groups(docs, keep="max").withColumnRenamed("id", "doc_id")
-    digests = docs.select(F.col("doc_id").alias("_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    return groups.join(digests.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return exact_dedup.exact_groups(_table(spark, sf_dir, "documents"), keep="max").withColumnRenamed("id", "doc_id")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,9 +49,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, BPE_FILE, public_tokenizers.PATTERN).drop("text")
-    decoded = bpe.decode(coded, BPE_FILE)
-    return decoded.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip(docs, BPE_FILE, public_tokenizers.PATTERN).drop("ids")
 
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
