@@ -280,6 +280,38 @@ def test_repeats(spark):
         assert rows(got, "doc_id", "n_words", "n_removed", "sha") == sorted(brute.repeats(docs, window), key=str)
 
 
+def test_occurrences_are_of_whole_words_within_a_document():
+    texts = ["a b c d", "xa b c d", "a b\u00e9 c", "c d a b", "b c", "  a  b c\n", "a b cc b c", "xb c", "ab c b"]
+    raw, ends = substring_dedup.text_bytes(pa.array(texts))
+    w = substring_dedup.words(raw, ends)
+    flat = [x for t in texts for x in brute.WORD.findall(t)]
+    want = [i for d, t in enumerate(texts) for i in range(w.of_doc[d], w.of_doc[d + 1] - 2 + 1) if flat[i : i + 2] == ["b", "c"]]
+    assert substring_dedup.occurrences(raw, w, np.array([1]), 2).tolist() == want
+
+
+def test_repeats_come_through_the_automata(spark, monkeypatch):
+    docs = [(i, " ".join(f"w{k}" for k in range(60))) for i in range(3)]
+    assert substring_dedup.remove_repeats(frame(spark, docs)).agg(F.sum("n_removed")).first()[0] == 180
+    monkeypatch.setattr(substring_dedup, "occurrences", lambda *a: np.zeros(0, np.int64))
+    run = substring_dedup._windows("text", 35, 8, 8)
+    row = spark.createDataFrame(docs, "doc_id long, text string").select("text", F.xxhash64("text").alias("_row"), F.lit(0).alias("_shard")).toArrow()
+    grams = substring_dedup.ngram_hashes(substring_dedup.words(*substring_dedup.text_bytes(row.column("text"))).hash, 8)
+    assert run(row, pa.table({"shard": pa.array([0] * len(grams), pa.int32()), "h": pa.array(grams.view(np.int64))})).num_rows == 0
+
+
+def test_regular_words_are_told_apart(spark):
+    """Complementary Thue-Morse words, which sums of letters by powers of a base take for one another."""
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"x{i}" for i in range(40))
+    docs = [(1, f"{a} {rest}"), (2, f"{b} {rest}"), (3, f"{a} y"), (4, f"{b} y"), (5, f"{a} {a} {b} {rest[:9]}"), (6, f"{a} {b} {b} {rest[:9]}")]
+    assert rows(ngram_join.similar_groups(frame(spark, docs)), "doc_id", "n_shingles", "component_id") == sorted(brute.similar(docs), key=str)
+    got = substring_dedup.remove_repeats(frame(spark, docs), window=2, phrase=1).withColumn("sha", F.sha2("kept", 256))
+    assert rows(got, "doc_id", "n_words", "n_removed", "sha") == sorted(brute.repeats(docs, 2), key=str)
+
+
 def test_bpe(spark):
     import public_tokenizers
     import tiktoken

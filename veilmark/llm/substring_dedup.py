@@ -1,14 +1,16 @@
 """Substring dedup by repeated-phrase automata.
 
 1. Each window of ``window`` words picks its least-hashed phrase of ``phrase`` words, so equal windows pick equal phrases.
-   A phrase picked at two places or more is a sign of a recurring passage.
-2. Documents with such phrases are gathered in shards. A shard's phrases are compiled into one Aho-Corasick automaton, and all
-   its documents are streamed through, which finds every occurrence of every phrase.
-3. Windows around the occurrences are confirmed: those whose 96-bit hash starts at two places or more recur.
+   A phrase picked at two places or more, in whatever documents, is confirmed as a part of a recurring passage.
+2. Documents are dealt to shards of about ``SHARD`` bytes of text, and confirmed phrases to the shards that have them. A
+   shard's phrases are compiled into one Aho-Corasick automaton, and all documents of the shard are streamed through it. It
+   finds every occurrence by the bytes of the text; nothing else says where phrases are.
+3. Windows whose own phrase is an occurrence can recur; those whose 96-bit hash starts at two places or more do. Both parts of
+   the hash come from independent hashes of the words.
 4. Words that a recurring window covers go.
 
-Both counts are of hashes dealt by range. What occurs twice within a batch is known to recur there and then; it is sent on
-once, so that a passage in a third of all documents costs one entry a batch.
+Phrases and windows are counted by ranges of their hash. What occurs twice within a task's share is known to recur there and
+then; it is sent on once, so that a passage in a third of all documents costs one entry a share.
 """
 
 from __future__ import annotations
@@ -23,194 +25,239 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm.hashing import Words, ngram_hashes, slices, text_bytes, words
-from veilmark.scratch import cut
 
 WINDOW, PHRASE = 35, 8
-#: Bytes of text that share an automaton.
-SHARD = 2 << 20
+#: Bytes of text that share an automaton, and that are counted together before entries are sent on.
+SHARD, SHARE = 2 << 20, 16 << 20
+#: Entries that a bucket holds before those of one key are folded.
+HELD = 2_000_000
 _ENTRY = "bucket long, n long, blob binary"
 
 
-def _pack(keys: list[np.ndarray], row: np.ndarray, check: np.ndarray, pos: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Entries of one batch by bucket of the key; places whose key occurs twice in the batch, as known ones."""
-    if not len(pos):
-        return
-    order = np.lexsort(keys[::-1])
-    keys, row, check, pos = [k[order] for k in keys], row[order], check[order], pos[order]
-    change = np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)])
-    starts = np.flatnonzero(change)
-    times = np.diff(np.append(starts, len(pos)))
-    rows: list[tuple[int, int, bytes]] = []
-    where = (keys[0][starts] >> np.uint64(64 - 20)).astype(np.int64) * buckets >> 20
-    used, at = np.unique(where, return_index=True)
-    many = (times > 1).astype(np.uint8)
-    for u, i, j in zip(used.tolist(), at.tolist(), [*at[1:].tolist(), len(starts)]):
-        by = np.lexsort((pos[starts[i:j]], row[starts[i:j]]))  # a document's entries side by side compress
-        s, flags = starts[i:j][by], many[i:j][by]
-        rows.append((u, j - i, b"".join([k[s].tobytes() for k in keys] + [row[s].tobytes(), check[s].tobytes(), pos[s].tobytes(), flags.tobytes()])))
-    known = np.repeat(times > 1, times)
-    if known.any():
-        r, c, p = row[known], check[known], pos[known]
-        where = r.view(np.uint64) % np.uint64(buckets)
-        order = np.lexsort((p, r, where))
-        r, c, p, where = r[order], c[order], p[order], where[order]
+class Kind:
+    """What is counted: keys (one or two parts of a hash) at places (columns), and how both are packed."""
+
+    def __init__(self, keys: list, places: dict):
+        self.keys, self.places = keys, places
+        self.types = [*keys, *places.values(), np.uint8]
+
+    def pack(self, keys: list[np.ndarray], places: list[np.ndarray], buckets: int) -> Iterator[tuple[int, int, bytes]]:
+        """Blobs (bucket, entries, bytes): keys once each with one place and whether they occur again; n < 0: places of keys that do."""
+        if not len(keys[0]):
+            return
+        order = np.lexsort(keys[::-1])
+        keys, places = [k[order] for k in keys], [p[order] for p in places]
+        starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in keys], axis=0)]))
+        times = np.diff(np.append(starts, len(order)))
+        many = (times > 1).astype(np.uint8)
+        where = (keys[0][starts] >> np.uint64(64 - 20)).astype(np.int64) * buckets >> 20
         used, at = np.unique(where, return_index=True)
-        for u, i, j in zip(used.tolist(), at.tolist(), [*at[1:].tolist(), len(p)]):
-            rows.append((u, i - j, b"".join([r[i:j].tobytes(), c[i:j].tobytes(), p[i:j].tobytes()])))
-    b, n, blobs = zip(*rows)
-    yield pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "n", "blob"])
-
-
-def _split(blob: bytes, k: int, kinds: list) -> list[np.ndarray]:
-    out, lo = [], 0
-    for kind in kinds:
-        size = k * np.dtype(kind).itemsize
-        out.append(np.frombuffer(blob[lo : lo + size], kind))
-        lo += size
-    return out
-
-
-def _recurring(n_keys: int):
-    """(row, check, places) of entries whose key occurs at two places or more, from buckets that come one after another."""
-    kinds = [np.uint64, np.uint32][:n_keys] + [np.int64, np.int32, np.int32, np.uint8]
-
-    def solve(blobs: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
-        known = [_split(x, -k, kinds[n_keys:-1]) for k, x in blobs if k < 0]
-        entries = [_split(x, k, kinds) for k, x in blobs if k > 0]
-        if entries:
-            e = [np.concatenate(c) for c in zip(*entries)]
+        for u, i, j in zip(used.tolist(), at.tolist(), [*at[1:].tolist(), len(starts)]):
+            by = np.lexsort([p[starts[i:j]] for p in places[::-1]])  # places side by side compress
+            s, flags = starts[i:j][by], many[i:j][by]
+            yield u, j - i, b"".join([c[s].tobytes() for c in (*keys, *places)] + [flags.tobytes()])
+        known = np.repeat(times > 1, times)
+        if known.any():
+            keep = [k[known] for k in self.settled(keys, places)]
+            deal = keep[0] % buckets
+            order = np.lexsort([*keep[::-1], deal])
+            keep, deal = [k[order] for k in keep], deal[order]
+            used, at = np.unique(deal, return_index=True)
+            for u, i, j in zip(used.tolist(), at.tolist(), [*at[1:].tolist(), len(deal)]):
+                yield u, i - j, b"".join([k[i:j].tobytes() for k in keep])
+
+    def settled(self, keys: list[np.ndarray], places: list[np.ndarray]) -> list[np.ndarray]:
+        """What is said of a place whose key recurs: the place, and the key if it is short."""
+        return [*places, *keys] if len(keys) == 1 else places
+
+    def recurring(self):
+        """Places of keys that occur twice or more, from buckets that come one after another."""
+        settled = [*self.places.values(), *(self.keys if len(self.keys) == 1 else [])]
+        names, n_keys = [*self.places, *(["h"] if len(self.keys) == 1 else [])], len(self.keys)
+
+        def table(columns: list[np.ndarray]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64) if c.dtype == np.uint64 else c) for c in columns], names=names)
+
+        def split(blob: bytes, n: int, types: list) -> list[np.ndarray]:
+            out, lo = [], 0
+            for t in types:
+                size = n * np.dtype(t).itemsize
+                out.append(np.frombuffer(blob[lo : lo + size], t))
+                lo += size
+            return out
+
+        def fold(held: list[list[np.ndarray]]) -> tuple[list[np.ndarray], pa.RecordBatch]:
+            """One entry for each key, flagged if it occurs again, and the places that this settles."""
+            e = [np.concatenate(c) for c in zip(*held)]
             order = np.lexsort(e[:n_keys][::-1])
             e = [c[order] for c in e]
             starts = np.flatnonzero(np.concatenate([[True], np.any([k[1:] != k[:-1] for k in e[:n_keys]], axis=0)]))
             times = np.diff(np.append(starts, len(order)))
-            # an entry that stands for several was settled where it came from
-            found = np.repeat((times > 1), times) & (e[-1] == 0)
-            known.append([c[found] for c in e[n_keys:-1]])
-        if not known:
-            return
-        row, check, pos = (np.concatenate(c) for c in zip(*known))
-        order = np.lexsort((pos, check, row))
-        row, check, pos = row[order], check[order], pos[order]
-        if not len(row):
-            return
-        starts = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (check[1:] != check[:-1])]))
-        ends = np.append(starts[1:], len(row))
-        yield pa.RecordBatch.from_arrays([pa.array(row[starts]), pa.array(check[starts]), pa.array([pos[i:j].tobytes() for i, j in zip(starts, ends)], pa.binary())], names=["row", "check", "places"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, blobs = None, []
-        for b in batches:
-            for w, k, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "n", "blob"))):
-                if w != bucket and blobs:
-                    yield from solve(blobs)
-                    blobs = []
-                bucket = w
-                blobs.append((k, blob))
-        if blobs:
-            yield from solve(blobs)
-
-    return run
-
-
-def _ids(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    return np.asarray(b.column("row")), np.asarray(b.column("check"))
-
-
-def picks(w: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray]:
-    """First words of the phrases that windows pick, and their hashes; of equal hashes in a window the leftmost."""
+            # an entry that is flagged was settled where it came from
+            found = np.repeat(times > 1, times) & (e[-1] == 0)
+            out = table([c[found] for c in self.settled(e[:n_keys], e[n_keys:-1])])
+            left = [c[starts] for c in e]
+            left[-1] = left[-1] | (times > 1)
+            return left, out
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            bucket, held, size = None, [], 0
+            for b in batches:
+                for w, k, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "n", "blob"))):
+                    if k < 0:
+                        yield table(split(blob, -k, settled))
+                        continue
+                    if held and (w != bucket or size > HELD):
+                        left, out = fold(held)
+                        yield out
+                        held, size = ([], 0) if w != bucket else ([left], len(left[0]) // 2)
+                    bucket = w
+                    held.append(split(blob, k, self.types))
+                    size += k
+            if held:
+                yield fold(held)[1]
+
+        return run
+
+
+PHRASES = Kind([np.uint64], {"shard": np.int32})
+WINDOWS = Kind([np.uint64, np.uint32], {"shard": np.int32, "place": np.int64})
+
+
+def _packed(blobs: Iterator[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    b, n, data = zip(*blobs) if (blobs := list(blobs)) else ((), (), ())
+    return pa.RecordBatch.from_arrays([pa.array(b, pa.int64()), pa.array(n, pa.int64()), pa.array(data, pa.binary())], names=["bucket", "n", "blob"])
+
+
+def picks(w: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, at, hashes): first words of all windows and of the phrases that each picks, and the hashes of all phrases by
+    their first word; of equal hashes in a window the leftmost is picked."""
     grams = ngram_hashes(w.hash, phrase)
     wide = window - phrase + 1
     if len(grams) < wide:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), grams
     chosen = np.empty(len(grams) - wide + 1, np.int64)
     for lo in range(0, len(chosen), 1 << 16):
         view = np.lib.stride_tricks.sliding_window_view(grams[lo : lo + (1 << 16) + wide - 1], wide)
         chosen[lo : lo + len(view)] = lo + np.arange(len(view)) + view.argmin(axis=1)
-    ok = np.zeros(len(chosen), bool)
+    whole = np.zeros(len(chosen) + 1, np.int64)
     starts, ends = w.of_doc[:-1], w.of_doc[1:] - window + 1
-    mark = np.zeros(len(chosen) + 1, np.int64)
     some = ends > starts
-    np.add.at(mark, starts[some], 1)
-    np.add.at(mark, ends[some], -1)
-    ok = np.cumsum(mark[:-1]) > 0
-    at = np.unique(chosen[ok])
-    return at, grams[at]
+    np.add.at(whole, starts[some], 1)
+    np.add.at(whole, ends[some], -1)
+    start = np.flatnonzero(np.cumsum(whole[:-1]) > 0)
+    return start, chosen[start], grams
 
 
 def _phrases(window: int, phrase: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, shards, size = [], [], 0
         for whole in batches:
             for b in slices(whole, "text"):
-                w = words(*text_bytes(b.column("text")))
-                at, h = picks(w, window, phrase)
-                doc = np.searchsorted(w.of_doc, at, side="right") - 1
-                row, check = _ids(b)
-                yield from _pack([h], row[doc], check[doc], (at - w.of_doc[doc]).astype(np.int32), buckets)
+                raw, ends = text_bytes(b.column("text"))
+                w = words(raw, ends)
+                _, at, grams = picks(w, window, phrase)
+                at = np.unique(at)
+                hashes.append(grams[at])
+                shards.append(np.asarray(b.column("shard"))[np.searchsorted(w.of_doc, at, side="right") - 1])
+                size += len(raw)
+                if size > SHARE:
+                    yield _packed(PHRASES.pack([np.concatenate(hashes)], [np.concatenate(shards)], buckets))
+                    hashes, shards, size = [], [], 0
+        if hashes:
+            yield _packed(PHRASES.pack([np.concatenate(hashes)], [np.concatenate(shards)], buckets))
 
     return run
 
 
-def occurrences(raw: np.ndarray, w: Words, at: np.ndarray, phrase: int) -> np.ndarray:
-    """First words of every occurrence, in these documents, of the phrases that begin at words ``at``.
-
-    Documents are written with one blank around each word; so are the phrases, which meet whole words only."""
-    data = raw.tobytes()
+def occurrences(raw: np.ndarray, w: Words, phrases: np.ndarray, phrase: int) -> np.ndarray:
+    """First words of every occurrence, in all these documents, of the phrases whose text begins at words ``phrases``.
+
+    Every word is written with one blank after it and every document with a line feed before it, so phrases meet whole words
+    of one document only. Bytes are taken as characters one by one."""
+    size = (w.end - w.start).astype(np.int64)
+    newline = np.zeros(len(w) + 1, np.int64)
+    np.add.at(newline, w.of_doc[:-1], 1)
+    newline = newline[:-1]  # line feeds before each word
+    at = np.cumsum(size + 1 + newline) - size - 1  # where each word is written
+    text = np.full(int(at[-1] + size[-1] + 1) if len(w) else 0, 0x0A, np.uint8)
+    if len(w):
+        text[at + size] = 0x20
+        owner = np.repeat(np.arange(len(w), dtype=np.int32), size)
+        inside = np.arange(len(owner)) - np.repeat(np.cumsum(size) - size, size)
+        text[at[owner] + inside] = raw[w.start[owner] + inside]
+    letters = text.tobytes().decode("latin-1")
     automaton = ahocorasick.Automaton()
-    for i in at.tolist():
-        text = " ".join(data[w.start[k] : w.end[k]].decode() for k in range(i, i + phrase))
-        automaton.add_word(f" {text} ", True)
+    stops = at + size + 1
+    for i in phrases.tolist():
+        found = letters[at[i] : stops[i + phrase - 1]]
+        automaton.add_word(found, len(found))
     if not len(automaton):
         return np.zeros(0, np.int64)
     automaton.make_automaton()
-    out = []
-    for lo, hi in zip(w.of_doc[:-1].tolist(), w.of_doc[1:].tolist()):
-        if hi - lo < phrase:
-            continue
-        tokens = [data[w.start[k] : w.end[k]].decode() for k in range(lo, hi)]
-        ends = np.cumsum([len(t) + 1 for t in tokens])  # where the blank after each word is
-        hits = np.fromiter((e for e, _ in automaton.iter(f" {' '.join(tokens)} ")), np.int64)
-        out.append(lo + np.searchsorted(ends, hits) - phrase + 1)
-    return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
-
-
-def _windows(window: int, phrase: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, "text", SHARD):
-                raw, ends = text_bytes(b.column("text"))
-                w = words(raw, ends)
-                row, check = _ids(b)
-                picked = [np.frombuffer(b"".join(p), np.int32) + w.of_doc[i] for i, p in enumerate(b.column("places").to_pylist())]
-                at = np.unique(np.concatenate(picked)) if picked else np.zeros(0, np.int64)
-                hashes = ngram_hashes(w.hash, phrase)
-                _, first = np.unique(hashes[at], return_index=True)
-                hits = occurrences(raw, w, at[first], phrase)
-                doc = np.searchsorted(w.of_doc, hits, side="right") - 1
-                # windows that hold an occurrence, from the first start to the last
-                lo = np.maximum(hits - (window - phrase), w.of_doc[doc])
-                hi = np.minimum(hits, w.of_doc[doc + 1] - window) + 1
-                mark = np.zeros(len(w) + 1, np.int64)
-                np.add.at(mark, lo[hi > lo], 1)
-                np.add.at(mark, hi[hi > lo], -1)
-                start = np.flatnonzero(np.cumsum(mark) > 0)
-                doc = np.searchsorted(w.of_doc, start, side="right") - 1
-                none = np.zeros(0, np.uint64)
-                first, second = (ngram_hashes(w.hash, window, seed)[start] if len(start) else none for seed in (1, 2))
-                keys = [first, (second >> np.uint64(32)).astype(np.uint32)]
-                yield from _pack(keys, row[doc], check[doc], (start - w.of_doc[doc]).astype(np.int32), buckets)
+    begins = np.fromiter((e + 1 - k for e, k in automaton.iter(letters)), np.int64)
+    first = np.minimum(np.searchsorted(at, begins), len(w) - 1)
+    return np.unique(first[at[first] == begins])  # a hit that begins inside a word is none
+
+
+def _ordered(docs: pa.Table, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The order of a shard's rows by hash and text, and a number for each; rows alike in both share it."""
+    key, text = docs.column("_row").to_pylist(), docs.column(text_col)
+    text = [x or "" for x in text.to_pylist()]
+    order = sorted(range(len(key)), key=lambda i: (key[i], text[i]))
+    new = [not n or key[i] != key[order[n - 1]] or text[i] != text[order[n - 1]] for n, i in enumerate(order)]
+    return np.array(order, np.int64), np.cumsum(new, dtype=np.int64) - 1
+
+
+def _windows(text_col: str, window: int, phrase: int, buckets: int):
+    def run(docs: pa.Table, phrases: pa.Table) -> pa.Table:
+        if not len(docs) or not len(phrases):
+            return pa.Table.from_batches([_packed(iter(()))])
+        order, number = _ordered(docs, text_col)
+        raw, ends = text_bytes(docs.column(text_col).take(pa.array(order)))
+        w = words(raw, ends, keys=2)
+        start, at, grams = picks(w, window, phrase)
+        confirmed = np.unique(np.asarray(phrases.column("h")).view(np.uint64))
+        own, first = np.unique(grams[at], return_index=True)
+        hits = occurrences(raw, w, at[first[np.isin(own, confirmed)]], phrase)
+        start = start[np.isin(at, hits)]
+        doc = np.searchsorted(w.of_doc, start, side="right") - 1
+        if not len(start):
+            return pa.Table.from_batches([_packed(iter(()))])
+        keys = [ngram_hashes(w.hashes[0], window, 1)[start], (ngram_hashes(w.hashes[1], window, 2)[start] >> np.uint64(32)).astype(np.uint32)]
+        places = [np.full(len(start), docs.column("_shard")[0].as_py(), np.int32), number[doc] << 32 | start - w.of_doc[doc]]
+        return pa.Table.from_batches([_packed(WINDOWS.pack(keys, places, buckets))])
 
     return run
 
 
-def recurring_starts(source: DataFrame, window: int, phrase: int, n_rows: int) -> DataFrame:
-    """(row, check, places): starts of recurring windows, in parts, as packed 32-bit integers; ``source`` has row, check, text."""
-    if not 1 <= phrase <= window:
-        raise ValueError("a phrase is a part of a window")
-    buckets = max(8, 1 << math.ceil(math.log2(max(1, n_rows / 4096))))
-    deal = lambda df, n: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_recurring(n), "row long, check int, places binary")
-    signs = deal(source.mapInArrow(_phrases(window, phrase, buckets), _ENTRY), 1).groupBy("row", "check").agg(F.collect_list("places").alias("places"))
-    marked = source.join(signs.hint("merge"), ["row", "check"]).select("row", "check", "text", "places")
-    return deal(marked.mapInArrow(_windows(window, phrase, buckets), _ENTRY), 2)
+def _without(cols: list[str], text_col: str, window: int):
+    def run(docs: pa.Table, starts: pa.Table) -> pa.Table:
+        docs = docs.combine_chunks()
+        place = np.unique(np.asarray(starts.column("place"))) if len(starts) else np.zeros(0, np.int64)
+        order, number = _ordered(docs, text_col)
+        of = np.empty(len(docs), np.int64)
+        of[order] = number
+        raw, at = text_bytes(docs.column(text_col))
+        w = words(raw, at)
+        data = raw.tobytes()
+        count, gone, kept = np.diff(w.of_doc), np.zeros(len(docs), np.int64), []
+        lows, highs = np.searchsorted(place, of << 32), np.searchsorted(place, of + 1 << 32)
+        for i in range(len(docs)):
+            lo, hi = int(w.of_doc[i]), int(w.of_doc[i + 1])
+            start, end = w.start[lo:hi], w.end[lo:hi]
+            if highs[i] > lows[i]:
+                mark = np.zeros(hi - lo + 1, np.int64)
+                s = place[lows[i] : highs[i]] & 0xFFFFFFFF
+                np.add.at(mark, s, 1)
+                np.add.at(mark, s + window, -1)
+                stay = np.cumsum(mark[:-1]) == 0
+                start, end = start[stay], end[stay]
+            gone[i] = hi - lo - len(start)
+            kept.append(b" ".join([data[x:y] for x, y in zip(start.tolist(), end.tolist())]).decode())
+        return pa.table([*(docs.column(c) for c in cols), pa.array(count, pa.int64()), pa.array(gone), pa.array(kept, pa.string())], names=[*cols, "n_words", "n_removed", "kept"])
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
@@ -218,34 +265,21 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A window recurs if its words start anywhere else, in the same text or another
     row's, rows that repeat id and text included. A null text has no words. An empty table gives no rows. Columns of these
-    names in ``docs`` are replaced."""
-    cols = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept")]
+    names in ``docs`` are replaced, as are those named _shard or _row. Rows alike in id and text share a shard."""
+    if not 1 <= phrase <= window:
+        raise ValueError("a phrase is a part of a window")
+    cols = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "_shard", "_row")]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ident = {"_row": F.xxhash64(F.col(id_col), text), "_check": F.hash(text, F.col(id_col))}
-    keyed = docs.select(*cols).withColumns(ident)
-    source = keyed.select(F.col("_row").alias("row"), F.col("_check").alias("check"), text.alias("text"))
-    starts = recurring_starts(source, window, phrase, docs.count()).groupBy("row", "check").agg(F.collect_list("places").alias("_places"))
-    joined = keyed.join(starts.withColumnsRenamed({"row": "_row", "check": "_check"}).hint("merge"), ["_row", "_check"], "left").select(*cols, "_places")
-
-    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for b in slices(whole, text_col):
-                raw, at = text_bytes(b.column(text_col))
-                w = words(raw, at)
-                data = raw.tobytes()
-                count, gone, kept = np.diff(w.of_doc), np.zeros(b.num_rows, np.int64), []
-                for i, places in enumerate(b.column("_places").to_pylist()):
-                    lo, hi = int(w.of_doc[i]), int(w.of_doc[i + 1])
-                    stay = np.arange(lo, hi)
-                    if places:
-                        mark = np.zeros(hi - lo + 1, np.int64)
-                        s = np.unique(np.frombuffer(b"".join(places), np.int32))
-                        np.add.at(mark, s, 1)
-                        np.add.at(mark, s + window, -1)
-                        stay = stay[np.cumsum(mark[:-1]) == 0]
-                    gone[i] = hi - lo - len(stay)
-                    kept.append(b" ".join([data[x:y] for x, y in zip(w.start[stay].tolist(), w.end[stay].tolist())]).decode())
-                yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(count, pa.int64()), pa.array(gone), pa.array(kept, pa.string())], names=[*cols, "n_words", "n_removed", "kept"])
-
+    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards, buckets = max(1, -(-total // SHARD)), max(8, 1 << math.ceil(math.log2(max(1, total / (4 * SHARD)))))
+    row = F.xxhash64(F.col(id_col), text)
+    keyed = docs.select(*cols, row.alias("_row"), F.pmod(row, F.lit(shards)).cast("int").alias("_shard"))
+    deal = lambda df, kind, out: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(kind.recurring(), out)
+    found = keyed.select(F.col("_shard").alias("shard"), F.col(text_col).alias("text")).mapInArrow(_phrases(window, phrase, buckets), _ENTRY)
+    phrases = deal(found, PHRASES, "shard int, h long")
+    #: the documents are shuffled once: both cogroups read the same exchange
+    by_shard = keyed.groupBy("_shard")
+    entries = by_shard.cogroup(phrases.groupBy("shard")).applyInArrow(_windows(text_col, window, phrase, buckets), _ENTRY)
+    starts = deal(entries, WINDOWS, "shard int, place long")
     kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in cols)
-    return joined.mapInArrow(apply, f"{kinds}n_words long, n_removed long, kept string")
+    return by_shard.cogroup(starts.groupBy("shard")).applyInArrow(_without(cols, text_col, window), f"{kinds}n_words long, n_removed long, kept string")
