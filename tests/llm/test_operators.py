@@ -199,10 +199,19 @@ def test_similar_with_many_tiles(spark, monkeypatch):
         docs.append((i, " ".join(w[: r.randrange(80, 121)])))
     monkeypatch.setattr(ngram_join, "BLOCK", 600)
     monkeypatch.setattr(ngram_join, "SIGNED_BLOCK", 900)
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 9)
     got = ngram_join.similar_groups(frame(spark, docs))
     assert rows(got, "doc_id", "n_shingles", "component_id") == sorted(brute.similar(docs), key=str)
 
 
+def test_similar_of_many_sizes(spark):
+    """One text cut to all lengths: links chain over bands, and a short text lies in the group of long ones."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(400)]
+    docs = [(i, " ".join(base[: 6 + i * 3])) for i in range(120)] + [(500 + i, " ".join(base[100 : 300 - r.randrange(60)] + [f"y{i}"] * 30)) for i in range(40)]
+    assert rows(ngram_join.similar_groups(frame(spark, docs)), "doc_id", "n_shingles", "component_id") == sorted(brute.similar(docs), key=str)
+
+
 def test_bound_holds():
     r = np.random.default_rng(1)
     for _ in range(50):

@@ -6,11 +6,12 @@
    document in ``RUN_DOCS / 2`` has is in over two documents of some run. They are marked in a bitset of fixed size; a
    false mark changes the order, not the result.
 3. Prefix entries travel as packed arrays by ranges of the hash. Entries of a marked number are folded to one a task before.
-   Small groups give pairs, which sizes and prefix positions prune; large groups give stars.
-4. Pairs are bounded from above by the bit counts of the two signatures. What stars and the pairs that are left connect is
+   Small groups give pairs, which sizes and prefix positions prune; large groups give chains in the order of size, which are
+   cut where the next size is out of reach.
+4. Pairs are bounded from above by the bit counts of the two signatures. What chains and the pairs that are left connect is
    cut into tiles: size bands, as only sets whose sizes are within the threshold can be similar, each dealt into blocks of
-   bounded size. Tiles of signatures bound all pairs by bit counts; what these leave connected goes into tiles again, where
-   sorted arrays are intersected exactly.
+   bounded rows and numbers. Tiles of signatures bound all pairs by bit counts, each pair at the width of its shorter
+   signature; what these leave connected goes into tiles again, where sorted arrays are intersected exactly.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ MARK_BITS = 24
 GROUP = 4
 #: Numbers of the sets in a block: of a tile of arrays, 16 MB, and of a tile of signatures, 1 MB; at least one document.
 BLOCK, SIGNED_BLOCK = 2 << 20, 4 << 20
+#: Documents of a block.
+BLOCK_ROWS = 2048
 _SHORT = np.uint64(0xA24BAED4963EE407)
 
 
@@ -97,6 +100,14 @@ class Similarity:
     def enough(self, both, n_a, n_b):
         return 100 * both >= self.percent * (n_a + n_b - both)
 
+    @property
+    def step(self) -> float:
+        """Width of a band, of which sizes that can be similar lie in the same or two side by side, in logarithms."""
+        return math.log(100 / self.percent) if self.percent < 100 else 1e-6
+
+    def band(self, n):
+        return np.floor(np.log(n) / self.step + 1e-9)
+
     def sizes_fit(self, n_a, n_b):
         return 100 * np.minimum(n_a, n_b) >= self.percent * np.maximum(n_a, n_b)
 
@@ -135,7 +146,7 @@ def _entries(n: int, sim: Similarity, marks, buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = np.frombuffer(marks.value, np.uint8)
-        first: dict[int, tuple[int, int]] = {}  # of each marked number met, the entry that stands for the task's others
+        first: dict[tuple, tuple[int, int]] = {}  # of each marked number and band met, the entry that stands for the task's others
 
         def packed(h, doc, size, place) -> pa.RecordBatch:
             where = (h >> shift).astype(np.int64) if shift is not None else np.zeros(len(h), np.int64)
@@ -158,9 +169,10 @@ def _entries(n: int, sim: Similarity, marks, buckets: int):
                     rare, length = s[~often], sim.prefix(len(s))
                     h = rare[:length]
                     if len(h) < length:
+                        band = int(sim.band(len(s)))
                         for x in s[often][: length - len(h)].tolist():
-                            if (rep := first.get(x)) is None:
-                                first[x] = (doc, len(s))
+                            if (rep := first.get((x, band))) is None:
+                                first[x, band] = (doc, len(s))
                             elif rep[0] != doc:
                                 stars.add((rep[0], doc))
                     hs.append(h)
@@ -176,7 +188,7 @@ def _entries(n: int, sim: Similarity, marks, buckets: int):
                     blobs = [pairs[buckets_of == u].tobytes() for u in used]
                     yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([-len(x) // 16 for x in blobs], pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "n", "blob"])
         if first:
-            h = np.array(list(first), np.uint64)
+            h = np.array([x for x, _ in first], np.uint64)
             doc, size = (np.array(x) for x in zip(*first.values()))
             yield packed(h, doc.astype(np.int64), size.astype(np.int32), np.full(len(h), -1, np.int32))
 
@@ -184,7 +196,7 @@ def _entries(n: int, sim: Similarity, marks, buckets: int):
 
 
 def _candidates(sim: Similarity):
-    """Pairs (kind 0) and stars (kind 1) from the entries of a bucket; rows come sorted by bucket."""
+    """Pairs (kind 0) and edges that only connect (kind 1) from the entries of a bucket; rows come sorted by bucket."""
 
     def found(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch | None:
         parts, stars = [[], [], [], []], []
@@ -206,8 +218,13 @@ def _candidates(sim: Similarity):
             ends = np.append(starts[1:], len(h))
             often = np.minimum.reduceat(place, starts) < 0
             m = ends - starts
-            for lo, hi in zip(starts[(m > 1) & ((m > GROUP) | often)].tolist(), ends[(m > 1) & ((m > GROUP) | often)].tolist()):
-                stars.append(np.stack([np.full(hi - lo - 1, doc[lo]), doc[lo + 1 : hi]], axis=1))
+            # by size, each entry of a large group with the next; one that stands for others reaches as far as its band's neighbour
+            chained = np.repeat((m > 1) & ((m > GROUP) | often), m)
+            chained[ends - 1] = False
+            at = np.flatnonzero(chained)
+            band = sim.band(size)
+            at = at[sim.sizes_fit(size[at], size[at + 1]) | (np.repeat(often, m)[at] & (band[at + 1] - band[at] <= 1))]
+            stars.append(np.stack([doc[at], doc[at + 1]], axis=1))
             for k in range(2, GROUP + 1):  # groups of one size at a time
                 at = starts[(m == k) & ~often]
                 if not len(at):
@@ -270,9 +287,19 @@ def _within_tile(sim: Similarity, exact: bool):
         else:
             size, raw = np.asarray(table.column("n")), [np.frombuffer(x.as_py(), np.uint8) for x in table.column("sig")]
         left, right = np.flatnonzero(role != 1), np.flatnonzero(role != 0)
-        bits = min(map(len, raw))
-        sigs = np.stack([fold(x, bits) for x in raw]).view(np.uint64)
-        counts = np.bitwise_count(sigs).sum(axis=1, dtype=np.int64)
+        width = np.array([len(x) for x in raw])
+        folded: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def at_width(w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """Where rows of at least this width are, their signatures folded to it, and the bits of each."""
+            if w not in folded:
+                some = np.flatnonzero(width >= w)
+                sigs = np.stack([fold(raw[k], w) for k in some.tolist()]).view(np.uint64)
+                where = np.zeros(len(raw), np.int64)
+                where[some] = np.arange(len(some))
+                folded[w] = where, sigs, np.bitwise_count(sigs).sum(axis=1, dtype=np.int64)
+            return folded[w]
+
         group = np.arange(len(doc))
         out = []
         for i in left.tolist():
@@ -280,8 +307,14 @@ def _within_tile(sim: Similarity, exact: bool):
             js = js[(group[js] != group[i]) & (doc[js] != doc[i]) & sim.sizes_fit(size[i], size[js])]
             if not len(js):
                 continue
-            shared = np.bitwise_count(sigs[js] & sigs[i]).sum(axis=1, dtype=np.int64)
-            most = np.minimum(size[i] - (counts[i] - shared), size[js] - (counts[js] - shared))
+            most = np.zeros(len(js), np.int64)
+            common_width = np.minimum(width[js], width[i])
+            for w in np.unique(common_width).tolist():
+                where, sigs, bits = at_width(w)
+                at = common_width == w
+                a, b = where[i], where[js[at]]
+                shared = np.bitwise_count(sigs[b] & sigs[a]).sum(axis=1, dtype=np.int64)
+                most[at] = np.minimum(size[i] - (bits[a] - shared), size[js[at]] - (bits[b] - shared))
             ok = sim.enough(most, size[i], size[js])
             for j in js[ok][np.argsort(-most[ok], kind="stable")].tolist():
                 if group[j] != group[i] and (not exact or sim.enough(common(sets[i], sets[j]), size[i], size[j])):
@@ -293,17 +326,16 @@ def _within_tile(sim: Similarity, exact: bool):
     return run
 
 
-def _tiles(groups: DataFrame, heads: DataFrame, block: int, percent: int, n_classes: int) -> DataFrame:
+def _tiles(groups: DataFrame, heads: DataFrame, block: int, sim: Similarity, n_classes: int) -> DataFrame:
     """(doc, u: struct<unit, role>) of every tile that a document of ``groups`` (node, component) is in.
 
-    A component of up to ``block`` numbers is one tile. A larger one is cut into size bands, and these into blocks dealt by
-    hash; each pair of blocks of one band or of two side by side is a tile."""
-    step = math.log(100 / percent) if percent < 100 else 1e-6
+    A component is cut into size bands, and these into blocks of up to about ``block`` numbers and ``BLOCK_ROWS`` documents,
+    dealt by hash; each pair of blocks of one band or of two side by side is a tile."""
     sized = groups.join(heads.select(F.col("doc").alias("node"), "n").hint("merge"), "node")
-    whole = cut(sized.groupBy("component").agg(F.sum("n").alias("numbers"), F.count(F.lit(1)).alias("weight")))
-    sized = join_counted(sized, whole, ["component"], max(1, n_classes), "weight", "node")
-    banded = sized.withColumn("band", F.when(F.col("numbers") <= block, 0).otherwise(F.floor(F.log("n") / step + 1e-9)).cast("int")).drop("numbers")
-    counts = cut(banded.groupBy("component", "band").agg(F.ceil(F.sum("n") / block).cast("int").alias("blocks"), F.count(F.lit(1)).alias("weight")))
+    banded = cut(sized.withColumn("band", F.floor(F.log("n") / sim.step + 1e-9).cast("int")))
+    rows = F.count(F.lit(1))
+    blocks = F.ceil(F.greatest(F.sum("n") / block, rows / BLOCK_ROWS)).cast("int")
+    counts = cut(banded.groupBy("component", "band").agg(blocks.alias("blocks"), rows.alias("weight")))
     above = counts.select("component", (F.col("band") - 1).alias("band"), F.col("blocks").alias("above"))
     below = counts.select("component", (F.col("band") + 1).alias("band"), F.col("blocks").alias("below"))
     plan = cut(counts.join(above.hint("merge"), ["component", "band"], "left").join(below.hint("merge"), ["component", "band"], "left"))
@@ -374,10 +406,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     bounded = cut(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "na", "sa", "b", "nb", "sb").mapInArrow(_within_bound(sim), "a long, b long"))
     # 4. tiles over what stars and bounded pairs connect: by signatures, then what these leave by arrays
     loose = connected_components(found.where("kind = 1").select("a", "b").unionByName(bounded))
-    rough = _tiles(loose, heads, SIGNED_BLOCK, percent, n_classes).select("doc", "u.unit", "u.role").join(heads.hint("merge"), "doc")
+    rough = _tiles(loose, heads, SIGNED_BLOCK, sim, n_classes).select("doc", "u.unit", "u.role").join(heads.hint("merge"), "doc")
     near = rough.groupBy("unit").applyInArrow(_within_tile(sim, False), "a long, b long")
     tight = connected_components(near)
-    wanted = _tiles(tight, heads, BLOCK, percent, n_classes).groupBy("doc").agg(F.collect_list("u").alias("units"))
+    wanted = _tiles(tight, heads, BLOCK, sim, n_classes).groupBy("doc").agg(F.collect_list("u").alias("units"))
     arrays = once.join(wanted.hint("merge"), "doc").mapInArrow(_arrays(words_in_gram), "doc long, units array<struct<unit:string,role:int>>, numbers binary")
     units = arrays.select("doc", F.explode("units").alias("u"), "numbers").select("doc", "u.unit", "u.role", "numbers")
     links = cut(units.groupBy("unit").applyInArrow(_within_tile(sim, True), "a long, b long").distinct())
