@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from veilmark.functions.text import cleaned, filled, hash_unit, stable_id
+from veilmark.operators.skew import first_of_key, look_up
+from veilmark.scratch import cut
 
 
 def adapt(df: DataFrame, query: Column, answer: Column, source: str, domain: str) -> DataFrame:
@@ -46,9 +48,8 @@ def drop_short(df: DataFrame, min_len: int = 3) -> DataFrame:
 
 
 def dedup_flag(df: DataFrame, key: Column, order: list[Column]) -> DataFrame:
-    """``df`` with is_duplicate: not the first of its key by ``order``."""
-    w = Window.partitionBy(F.sha2(key, 256)).orderBy(*order)
-    return df.withColumn("is_duplicate", F.row_number().over(w) > 1)
+    """``df`` with is_duplicate: not the first of its key by ``order``; of rows alike in both, all but one."""
+    return first_of_key(df, F.sha2(key, 256), order, "_first").withColumn("is_duplicate", ~F.col("_first")).drop("_first")
 
 
 def dedup_stats(flagged: DataFrame) -> DataFrame:
@@ -70,21 +71,70 @@ def hash_sample(df: DataFrame, n: int, seed: str, id_col: str, by: str | None =
     return cap_per_group(df.withColumn("_d", rank), by, [F.col("_d"), F.col(id_col)], n).drop("_d")
 
 
+def seeded_digest(seed: str, id_col: str) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")), 256)
+
+
+def group_bounds(df: DataFrame, by: list[str], order: list[str], places: dict[str, Column]) -> DataFrame:
+    """(by, name, …): of each group the ``order`` of the row at each place, a column of the group's size ``n``; null for place 0.
+
+    Keys alone are ranked, over range partitions of (group, order); no window and no task holds a group."""
+    ranked = global_rank(df.select(*by, *order), [*by, *order])
+    sizes = cut(ranked.groupBy(*by).agg((F.min("rank") - 1).alias("_before"), F.count(F.lit(1)).alias("n")))
+    #: as many rows as groups times places
+    wanted = sizes.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("place"), (F.col("_before") + F.least(p, F.col("n"))).alias("rank"), (p > 0).alias("some")) for k, p in places.items()])).alias("w"))
+    at = wanted.select(F.col("w.rank").alias("_rank"), "w.place", *[F.col(c).alias(f"_b_{c}") for c in by]).where("w.some")
+    found = ranked.join(_sized(at), F.col("rank") == F.col("_rank")).select(*by, "place", F.struct(*order).alias("bound"))
+    return cut(found.groupBy(*by).pivot("place", list(places)).agg(F.first("bound")))
+
+
+#: Rows of a table that may be broadcast, after they were counted.
+FEW = 10_000
+
+
+def _sized(table: DataFrame) -> DataFrame:
+    """``table`` for a join: broadcast if it was counted and is small, else by shuffle."""
+    table = cut(table)
+    return F.broadcast(table) if table.count() <= FEW else table.hint("merge")
+
+
+def rank_within(df: DataFrame, by: list[str], order: list[str], out: str = "place") -> DataFrame:
+    """``df`` with the place (from 1) of each row in its group, by range partitions of (group, order)."""
+    ranked = global_rank(df, [*by, *order]).withColumn("_group", F.struct(*by))
+    first = ranked.groupBy("_group").agg((F.min("rank") - 1).alias("_before"), F.count(F.lit(1)).alias("_n"))
+    placed = look_up(ranked, first, ["_group"], "_n", order[0])
+    return placed.withColumn(out, F.col("rank") - F.col("_before")).drop("rank", "_group", "_before")
+
+
+def _bounded(df: DataFrame, by: list[str], bounds: DataFrame) -> DataFrame:
+    """``df`` with the bounds of its group, nulls being a group."""
+    names = [c for c in bounds.columns if c not in by]
+    keyed = bounds.select(F.struct(*by).alias("_g"), *names)
+    return df.withColumn("_group", F.struct(*by)).join(_sized(keyed), F.col("_group") == F.col("_g"), "left").drop("_g", "_group")
+
+
 def balanced(df: DataFrame, group: str, seed: str, id_col: str) -> DataFrame:
-    """Every group cut to the size of the smallest; the groups' sizes are one row each."""
-    least = df.groupBy(group).count().agg(F.min("count").alias("_least"))
-    w = Window.partitionBy(group).orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")), 256), id_col)
-    return df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(least), F.col("_r") <= F.col("_least")).drop("_r", "_least")
+    """Every group cut to the size of the smallest, by digest; rows that repeat an id stay or go together."""
+    #: one number, of one row a group
+    least = df.groupBy(group).count().agg(F.min("count")).first()[0]
+    if least is None:
+        return df
+    keyed = df.withColumn("_digest", seeded_digest(seed, id_col))
+    bounds = group_bounds(keyed, [group], ["_digest", id_col], {"_last": F.lit(least)})
+    return _bounded(keyed, [group], bounds).where(F.struct("_digest", id_col) <= F.col("_last")).select(*df.columns)
 
 
 def stratified_split(df: DataFrame, by: str | None, id_col: str, seed: str, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """split: the first floor(n * train) rows of a stratum by digest, then floor(n * validation), the rest is test."""
-    part = Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))
-    order = part.orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")), 256), id_col)
-    n = F.count(F.lit(1)).over(part)
-    df = df.withColumns({"_r": F.row_number().over(order), "_t": F.floor(n * train), "_v": F.floor(n * validation)})
-    split = F.when(F.col("_r") <= F.col("_t"), "train").when(F.col("_r") <= F.col("_t") + F.col("_v"), "validation").otherwise("test")
-    return df.withColumn("split", split).drop("_r", "_t", "_v")
+    """split: the first floor(n * train) rows of a stratum by digest, then floor(n * validation), the rest is test.
+
+    Without ``by`` all rows are one stratum. Rows that repeat an id get the same split."""
+    keyed = df.withColumns({"_digest": seeded_digest(seed, id_col), "_stratum": F.col(by) if by else F.lit("")})
+    n = F.col("n")
+    bounds = group_bounds(keyed, ["_stratum"], ["_digest", id_col], {"_t": F.floor(n * train), "_v": F.floor(n * train) + F.floor(n * validation)})
+    at = F.struct("_digest", id_col)
+    upto = lambda c: F.coalesce(at <= F.col(c), F.lit(False))
+    split = F.when(upto("_t"), "train").when(upto("_v"), "validation").otherwise("test")
+    return _bounded(keyed, ["_stratum"], bounds).withColumn("split", split).select(*[c for c in df.columns if c != "split"], "split")
 
 
 def group_split(df: DataFrame, group: str, official: str | None, seed: str, ratios: dict[str, float]) -> DataFrame:
@@ -116,15 +166,17 @@ def nested_subsets(df: DataFrame, id_col: str, seed: str, fractions: list[float]
     return rows.where(F.col("rank") <= F.greatest("_anchors", F.ceil(F.col("_n") * F.col("fraction")))).select(id_col, "fraction", "rank")
 
 
-def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
-    """``df`` with rank from 1 in a total order, by range partitions and the offsets of their counts.
-
-    The counts of the partitions, one row each, are added up in a window of their own."""
-    from veilmark.scratch import cut
-
+def _ordered_parts(df: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` in range partitions of a total order, with _pid and _at (rising within a partition); and each partition's offset."""
     parts = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_pid": F.spark_partition_id(), "_at": F.monotonically_increasing_id()}))
     counts = parts.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_base"))
-    offsets = counts.select("_pid", "_base", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_offset"))
+    #: one row a partition
+    return parts, counts.select("_pid", "_base", (F.sum("_n").over(Window.orderBy("_pid")) - F.col("_n")).alias("_offset"))
+
+
+def global_rank(df: DataFrame, order: list[str]) -> DataFrame:
+    """``df`` with rank from 1 in a total order, by range partitions and the offsets of their counts."""
+    parts, offsets = _ordered_parts(df, order)
     return parts.join(F.broadcast(offsets), "_pid").withColumn("rank", F.col("_at") - F.col("_base") + F.col("_offset") + 1).drop("_pid", "_at", "_base", "_offset")
 
 
@@ -140,13 +192,25 @@ def budget_prefix(ranked: DataFrame, rank: str, cost: str, budget: float, anchor
     return sums.where(F.col("spent") <= budget).select("_row.*", "spent")
 
 
-def running_sum(df: DataFrame, order: list[str], value: str, out: str = "running") -> DataFrame:
-    """``df`` with the sum of ``value`` up to each row of a total order, by cells of ranks and the cells' own sums."""
-    cells = global_rank(df, order).withColumn("_cell", F.floor((F.col("rank") - 1) / 4096))
-    sums = cells.groupBy("_cell").agg(F.sum(value).alias("_s"))
-    before = sums.select("_cell", F.sum("_s").over(Window.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"))
-    run = F.sum(value).over(Window.partitionBy("_cell").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
-    return cells.withColumn("_run", run).join(before.hint("merge"), "_cell").withColumn(out, F.coalesce(F.col("_before") + F.col("_run"), "_before", "_run")).drop("_cell", "_run", "_before", "rank")
+def running_sum(df: DataFrame, order: list[str], value: str, out: str = "running", rank: str | None = None) -> DataFrame:
+    """``df`` with the sum of ``value`` up to each row of a total order, and its rank if one is named.
+
+    Sums run within cells of 4,096 rows; before these come the sums of a range partition's earlier cells, and before these
+    the totals of the partitions, which are one row each."""
+    parts, offsets = _ordered_parts(df, order)
+    rows = parts.join(F.broadcast(offsets), "_pid").withColumn("_cell", F.floor((F.col("_at") - F.col("_base")) / 4096))
+    cells = rows.groupBy("_pid", "_cell").agg(F.sum(value).alias("_s"))
+    totals = cells.groupBy("_pid").agg(F.sum("_s").alias("_t"))
+    totals = totals.select("_pid", F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_parts"))
+    inner = Window.partitionBy("_pid").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    before = cells.withColumn("_cells", F.sum("_s").over(inner)).join(F.broadcast(totals), "_pid")
+    none = F.col("_s") - F.col("_s")
+    before = before.select("_pid", "_cell", (F.coalesce("_cells", none) + F.coalesce("_parts", none)).alias("_before"))
+    run = F.sum(value).over(Window.partitionBy("_pid", "_cell").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+    done = rows.withColumn("_run", run).join(before.hint("merge"), ["_pid", "_cell"]).withColumn(out, F.coalesce(F.col("_before") + F.col("_run"), "_before", "_run"))
+    if rank:
+        done = done.withColumn(rank, F.col("_at") - F.col("_base") + F.col("_offset") + 1)
+    return done.drop("_pid", "_at", "_base", "_offset", "_cell", "_run", "_before")
 
 
 def whole_group_sample(df: DataFrame, group: str, limit: int, seed: str) -> DataFrame:
@@ -154,8 +218,6 @@ def whole_group_sample(df: DataFrame, group: str, limit: int, seed: str) -> Data
 
     Each round takes the prefix that fits and drops the groups that are larger than what is left; the sizes of the groups
     that overflow fall, so rounds are no more than distinct sizes."""
-    from veilmark.scratch import cut
-
     if limit < 1:
         raise ValueError("limit must be positive")
     left = cut(df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).withColumn("digest", F.sha2(F.concat_ws("|", F.lit(seed), F.col(group).cast("string")), 256)))
@@ -192,8 +254,8 @@ def quota_split(df: DataFrame, source: str, group: str, ratios: dict[str, int],
     Groups are counted by size; the table of sizes, a few rows a source, is dealt out by the largest share still missing,
     large groups first, and groups take their place within their size by digest."""
     sizes = df.groupBy(source, group).agg(F.count(F.lit(1)).alias("size"))
-    w = Window.partitionBy(source, "size").orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(group).cast("string")), 256), group)
-    placed = sizes.withColumn("place", F.row_number().over(w))
+    sizes = cut(sizes.withColumn("_digest", seeded_digest(seed, group)))
+    placed = rank_within(sizes, [source, "size"], ["_digest", group])
     table = sorted((r[source], r["size"], r["count"]) for r in sizes.groupBy(source, "size").count().collect())
     whole = sum(ratios.values())
     plan = []

@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window
 
 # The patterns by name, with the group whose text is a match.
 PATTERNS = {
@@ -67,11 +69,15 @@ def add_evidence(df: DataFrame, text_col: str = "normalized_text", gazetteer: di
 _SPAN = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
+@lru_cache(maxsize=1)
+def _compiled() -> list[tuple[str, re.Pattern]]:
+    return [(n, re.compile(p, re.I)) for n, p in OFFSET_PATTERNS.items()]
+
+
 @F.pandas_udf(_SPAN)
 def offset_matches(s: pd.Series) -> pd.Series:
     """All caseless matches with code-point offsets, by pattern and start."""
-    compiled = [(n, re.compile(p, re.I)) for n, p in OFFSET_PATTERNS.items()]
-    return s.map(lambda t: [{"name": n, "text": m.group(), "start": m.start(), "end": m.end()} for n, p in compiled for m in p.finditer(t or "")])
+    return s.map(lambda t: [{"name": n, "text": m.group(), "start": m.start(), "end": m.end()} for n, p in _compiled() for m in p.finditer(t or "")])
 
 
 def baseline_spans(matches: Column, known: dict[str, str]) -> Column:
@@ -82,14 +88,8 @@ def baseline_spans(matches: Column, known: dict[str, str]) -> Column:
 
 
 def annotate(df: DataFrame, annotator: Callable[[pd.Series], pd.Series], kind: str, column: str, text_col: str = "normalized_text") -> DataFrame:
-    """``df`` with a column made by a user's model, batch by batch."""
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + f", `{column}` {kind}"
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield b.assign(**{column: annotator(b[text_col])})
-
-    return df.mapInPandas(run, schema)
+    """``df`` with a column made by a user's model, batch by batch; the text alone is sent to it."""
+    return df.withColumn(column, F.pandas_udf(annotator, kind)(F.col(text_col)))
 
 
 def hashing_embedding(df: DataFrame, id_col: str, text_col: str, dims: int = 384) -> DataFrame:
@@ -98,5 +98,6 @@ def hashing_embedding(df: DataFrame, id_col: str, text_col: str, dims: int = 384
     dim = (F.conv(F.substring("h", 1, 8), 16, 10).cast("long") % dims).cast("int")
     sign = F.when(F.conv(F.substring("h", 9, 2), 16, 10).cast("int") % 2 == 0, 1.0).otherwise(-1.0)
     sums = words.groupBy(id_col, dim.alias("dim")).agg(F.sum(sign).alias("v")).where("v <> 0")
-    norms = sums.groupBy(id_col).agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    return sums.join(norms, id_col).select(id_col, "dim", (F.col("v") / F.col("norm")).alias("value"))
+    #: at most ``dims`` rows an id
+    norm = F.sqrt(F.sum(F.col("v") * F.col("v")).over(Window.partitionBy(id_col)))
+    return sums.select(id_col, "dim", (F.col("v") / norm).alias("value"))

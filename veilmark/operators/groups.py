@@ -4,26 +4,30 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from veilmark.operators.components import connected_components
+from veilmark.operators.skew import first_of_key, look_up
 from veilmark.scratch import cut
 
 
 def key_components(df: DataFrame, id_col: str, keys: list[Column]) -> DataFrame:
     """(id, component, group_id): records linked by any equal key; null and empty keys link nothing.
 
-    Each key's records are tied to the least of them, so a key's edges are as many as its records. ``group_id`` is the
-    digest of the sorted ids of the component."""
+    Each key's records are tied to the least of them, so a key's edges are as many as its records. ``group_id`` is a digest
+    of how many ids the component has and of four sums of parts of their SHA-256: the same for the same ids in any order,
+    and no task holds a component's ids."""
     numbered = cut(df.select(F.col(id_col).alias("id"), *[k.cast("string").alias(f"k{i}") for i, k in enumerate(keys)]))
     pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("kind"), F.col(f"k{i}").alias("key")) for i in range(len(keys))]))
     long = numbered.select("id", pairs.alias("p")).select("id", "p.kind", "p.key").where("key is not null and key <> ''")
-    heads = long.groupBy("kind", "key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    edges = long.join(heads.hint("merge"), ["kind", "key"]).where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
+    heads = long.groupBy("kind", "key").agg(F.min("id").alias("head"), F.count(F.lit(1)).alias("n"))
+    edges = look_up(long, heads, ["kind", "key"], "n", "id").where("id <> head").select(F.col("id").alias("a"), F.col("head").alias("b"))
     found = connected_components(edges)
-    out = numbered.select("id").join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    gid = out.groupBy("component").agg(F.sha2(F.concat_ws(",", F.array_sort(F.collect_list(F.col("id").cast("string")))), 256).alias("group_id"))
-    return out.join(gid.hint("merge"), "component").select(F.col("id").alias(id_col), "component", "group_id")
+    out = cut(numbered.select("id").join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id")))
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    parts = [F.sum(F.conv(F.substring(digest, 1 + 15 * i, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"s{i}") for i in range(4)]
+    gid = out.groupBy("component").agg(F.count(F.lit(1)).alias("n"), *parts)
+    gid = gid.select("component", "n", F.sha2(F.concat_ws(",", F.col("n").cast("string"), *[f"s{i}" for i in range(4)]), 256).alias("group_id"))
+    return look_up(out, gid, ["component"], "n", "id").select(F.col("id").alias(id_col), "component", "group_id")
 
 
 def quarantine(df: DataFrame, component: str, split: str) -> DataFrame:
@@ -33,9 +37,10 @@ def quarantine(df: DataFrame, component: str, split: str) -> DataFrame:
 
 
 def discard_equal_texts(df: DataFrame, text_key: Column, id_col: str) -> DataFrame:
-    """(id, retained_id): rows whose text another row with a lesser id has."""
-    w = Window.partitionBy(text_key)
-    return df.withColumn("retained_id", F.min(id_col).over(w)).where(F.col("retained_id") != F.col(id_col)).select(id_col, "retained_id")
+    """(id, retained_id): rows whose text another row with a lesser id has. Null texts are no texts."""
+    rows = df.select(text_key.alias("_key"), F.col(id_col)).where("_key is not null")
+    least = rows.groupBy("_key").agg(F.min(id_col).alias("retained_id"), F.count(F.lit(1)).alias("_n"))
+    return look_up(rows, least, ["_key"], "_n", id_col).where(F.col("retained_id") != F.col(id_col)).select(id_col, "retained_id")
 
 
 def contradictory(df: DataFrame, text_key: Column, spans: Column) -> DataFrame:
@@ -44,7 +49,8 @@ def contradictory(df: DataFrame, text_key: Column, spans: Column) -> DataFrame:
 
 
 def representatives(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_r = 1").drop("_r")
+    """The first row of each key by ``order``."""
+    return first_of_key(df, key, [F.col(c) for c in order], "_first").where("_first").drop("_first")
 
 
 def key_overlap(df: DataFrame, key: Column, split: str) -> DataFrame:

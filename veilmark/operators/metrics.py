@@ -6,10 +6,10 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from veilmark.functions.probs import entropy
-from veilmark.operators.corpus import global_rank
+from veilmark.operators.corpus import running_sum
+from veilmark.operators.skew import look_up
 from veilmark.scratch import cut
 
 
@@ -44,8 +44,7 @@ def multi_label(df: DataFrame, truth: str, probs: str, names: list[str], thresho
 def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     """auc by the rank sum with average ranks on ties, from one row a distinct score; null when one class is missing."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = by.withColumn("rank", before + (F.col("n") + 1) / 2.0)
+    ranked = running_sum(by, ["s"], "n").withColumn("rank", F.col("running") - F.col("n") + (F.col("n") + 1) / 2.0)
     p, n = F.sum("pos"), F.sum("n") - F.sum("pos")
     return ranked.agg(F.when((p > 0) & (n > 0), (F.sum(F.col("rank") * F.col("pos")) - p * (p + 1) / 2.0) / (p * n)).alias("auc"))
 
@@ -53,8 +52,8 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
 def average_precision(df: DataFrame, label: str, score: str) -> DataFrame:
     """Sum over falling thresholds of precision times the recall gained; null without positives."""
     by = df.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("s")).rowsBetween(Window.unboundedPreceding, 0)
-    r = by.withColumns({"tp": F.sum("pos").over(w), "all": F.sum("n").over(w)})
+    falling = running_sum(by.withColumn("_s", -F.col("s")), ["_s"], "pos", "tp")
+    r = running_sum(falling, ["_s"], "n", "all")
     return r.agg(F.when(F.sum("pos") > 0, F.sum(F.col("tp") / F.col("all") * F.col("pos")) / F.sum("pos")).alias("ap"))
 
 
@@ -64,7 +63,7 @@ def ece_bins(df: DataFrame, confidence: Column, correct: Column, bins: int = 10,
     b = F.least(F.floor(confidence * bins), F.lit(bins - 1)).cast("int")
     g = df.select(*by, b.alias("bin"), confidence.alias("c"), correct.cast("double").alias("a")).groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"), F.avg("c").alias("confidence"), F.avg("a").alias("accuracy"))
     grid = (df.select(*by).distinct() if by else df.sparkSession.range(1).select()).withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    j = grid.join(g, [*by, "bin"], "left")
+    j = grid.join(g.hint("merge"), [*by, "bin"], "left")
     return j.select(*by, "bin", F.coalesce("n", F.lit(0).cast("long")).alias("n"), F.coalesce("confidence", F.lit(0.0)).alias("confidence"), F.coalesce("accuracy", F.lit(0.0)).alias("accuracy"), F.coalesce(F.abs(F.col("confidence") - F.col("accuracy")), F.lit(0.0)).alias("gap"))
 
 
@@ -84,17 +83,26 @@ def token_scores(df: DataFrame, probs: str, y: str) -> DataFrame:
     return df.agg(F.avg(-F.log(p_y)).alias("nll"), F.avg(brier).alias("brier"), F.count(F.lit(1)).alias("n"))
 
 
+def risk_coverage(df: DataFrame, error: str, uncertainty: str, ties: list[str]) -> DataFrame:
+    """(rank, risk): rows by rising uncertainty and the error rate up to each; running sums over range partitions."""
+    rows = df.select(F.col(error).cast("int").alias("e"), F.col(uncertainty).alias("u"), *ties)
+    return running_sum(rows, ["u", *ties], "e", "run", rank="rank").select("rank", (F.col("run") / F.col("rank")).alias("risk"))
+
+
 def aurc(df: DataFrame, error: str, uncertainty: str, ties: list[str]) -> DataFrame:
-    """Mean over coverage of the running error rate, rows by rising uncertainty.
+    """Mean over coverage of the running error rate, rows by rising uncertainty."""
+    return risk_coverage(df, error, uncertainty, ties).agg(F.avg("risk").alias("aurc"))
+
 
-    Running errors come from partition sums over ranked ranges, so no window holds all rows."""
-    ranked = global_rank(df.select(F.col(error).cast("int").alias("e"), F.col(uncertainty).alias("u"), *ties), ["u", *ties])
-    cells = ranked.withColumn("cell", F.floor((F.col("rank") - 1) / 4096))
-    sums = cells.groupBy("cell").agg(F.sum("e").alias("s"))
-    before = sums.select("cell", (F.sum("s").over(Window.orderBy("cell")) - F.col("s")).alias("before"))
-    run = F.sum("e").over(Window.partitionBy("cell").orderBy("rank"))
-    rows = cells.withColumn("run", run).join(before.hint("merge"), "cell")
-    return rows.agg(F.avg((F.col("before") + F.col("run")) / F.col("rank")).alias("aurc"))
+def risk_coverage_curve(df: DataFrame, error: str, uncertainty: str, ties: list[str], points: int = 100) -> DataFrame:
+    """(point, coverage, risk) at ``points`` even coverages, the last of which covers all rows."""
+    rows = cut(risk_coverage(df, error, uncertainty, ties))
+    n = rows.agg(F.max("rank")).first()[0] or 0
+    if not n:
+        return rows.select(F.lit(0).alias("point"), F.lit(0.0).alias("coverage"), "risk").limit(0)
+    #: ``points`` rows
+    at = df.sparkSession.createDataFrame([(i, -(-n * i // points)) for i in range(1, points + 1)], "point int, _rank long")
+    return rows.join(F.broadcast(at), F.col("rank") == F.col("_rank")).select("point", (F.col("rank") / n).alias("coverage"), "risk")
 
 
 def by_correctness(df: DataFrame, correct: Column, measures: dict[str, Column]) -> DataFrame:
@@ -105,13 +113,14 @@ def by_correctness(df: DataFrame, correct: Column, measures: dict[str, Column])
 
 
 def draws_summary(draws: DataFrame, keys: list[str], probs: str = "probs") -> DataFrame:
-    """(keys, mean, variance, predictive_entropy, expected_entropy, mutual_information) over passes; variance is the population's."""
-    long = draws.select(*keys, F.posexplode(probs).alias("k", "p"))
-    stats = long.groupBy(*keys, "k").agg(F.avg("p").alias("m"), F.var_pop("p").alias("v"))
-    packed = stats.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("k", "m", "v"))).alias("x")).select(*keys, F.transform("x", lambda x: x["m"]).alias("mean"), F.transform("x", lambda x: x["v"]).alias("variance"))
-    expected = draws.groupBy(*keys).agg(F.avg(entropy(F.col(probs))).alias("expected_entropy"))
-    out = packed.join(expected, keys).withColumn("predictive_entropy", entropy(F.col("mean")))
-    return out.withColumn("mutual_information", F.col("predictive_entropy") - F.col("expected_entropy"))
+    """(keys, mean, variance, predictive_entropy, expected_entropy, mutual_information) over passes; variance is the population's.
+
+    All draws have as many classes as the first, so one aggregate takes all means and variances."""
+    k = (draws.select(F.size(probs)).first() or [0])[0]
+    p = F.col(probs)
+    stats = draws.groupBy(*keys).agg(F.array(*[F.avg(p[i]) for i in range(k)]).alias("mean"), F.array(*[F.var_pop(p[i]) for i in range(k)]).alias("variance"), F.avg(entropy(p)).alias("expected_entropy"))
+    out = stats.withColumn("predictive_entropy", entropy(F.col("mean")))
+    return out.withColumn("mutual_information", F.col("predictive_entropy") - F.col("expected_entropy")).select(*keys, "mean", "variance", "expected_entropy", "predictive_entropy", "mutual_information")
 
 
 def variation_ratio(draws: DataFrame, keys: list[str], choice: str) -> DataFrame:
@@ -158,10 +167,10 @@ def fit_temperature(df: DataFrame, logits: str, y: str, span: float = 3.0, candi
 def rank_stability(df: DataFrame, a: str, b: str) -> DataFrame:
     """Spearman correlation with average ranks on ties."""
     def ranks(c: str) -> DataFrame:
-        by = df.groupBy(F.col(c).alias("s")).agg(F.count(F.lit(1)).alias("n"))
-        return by.select(F.col("s").alias(c), (F.sum("n").over(Window.orderBy("s")) - F.col("n") + (F.col("n") + 1) / 2.0).alias(f"rank_{c}"))
+        by = running_sum(df.groupBy(F.col(c).alias("s")).agg(F.count(F.lit(1)).alias("n")), ["s"], "n")
+        return by.select(F.col("s").alias(c), "n", (F.col("running") - F.col("n") + (F.col("n") + 1) / 2.0).alias(f"rank_{c}"))
 
-    j = df.join(ranks(a), a).join(ranks(b), b)
+    j = look_up(look_up(df.select(a, b), ranks(a), [a], "n", b), ranks(b), [b], "n", a)
     return j.agg(F.corr(f"rank_{a}", f"rank_{b}").alias("spearman"))
 
 

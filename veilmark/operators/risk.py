@@ -82,7 +82,7 @@ def evidence_masses(entities: DataFrame, record: str, tiers: dict[str, int], unk
     long = e.select(record, "grp", "w", halves.alias("x"))
     sums = long.groupBy(record, "grp", F.col("x.mask").alias("mask")).agg(F.sum(F.col("w") * F.col("x.m")).alias("s"))
     total = e.groupBy(record, "grp").agg(F.sum("w").alias("t"))
-    return sums.join(total, [record, "grp"]).select(record, "grp", "mask", (F.col("s") / F.col("t")).alias("mass"))
+    return sums.join(total.hint("merge"), [record, "grp"]).select(record, "grp", "mask", (F.col("s") / F.col("t")).alias("mass"))
 
 
 def mass_error(mass: Column) -> Column:

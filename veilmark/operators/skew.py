@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.scratch import cut
+
 #: A key is hot above one part in this many of all rows, so there are fewer hot keys than this.
 HOT_PARTS = 1000
 
@@ -32,3 +34,24 @@ def join_counted(rows: DataFrame, lookup: DataFrame, keys: list[str], total: int
     on = reduce(lambda a, b: a & b, [F.col(f"_k_{k}") == F.col(f"_c_{k}") for k in keys], F.col("_side") == F.col("_c_side"))
     joined = marked.join(cold.hint("merge"), on, "left")
     return joined.select(*[F.col(c) for c in rows.columns], *[F.when(is_hot, F.col(f"_h_{v}")).otherwise(F.col(f"_c_{v}")).alias(v) for v in values])
+
+
+def look_up(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, spread: str) -> DataFrame:
+    """``join_counted`` with a look-up made of the rows themselves, so that its weights add up to them all."""
+    lookup = cut(lookup)
+    return join_counted(rows, lookup, keys, lookup.agg(F.sum(weight)).first()[0] or 0, weight, spread)
+
+
+def first_of_key(df: DataFrame, key: Column, order: list[Column], out: str) -> DataFrame:
+    """``df`` with whether a row is the first of its key by ``order``; null keys are a key.
+
+    The least order of each key comes from a partial aggregate, and rows look it up, so a key that holds a large share of
+    the rows is in no task as a whole. Where rows are alike in key and order, one of them is first."""
+    rows = df.withColumns({"_key": F.struct(key.alias("k")), "_order": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])})
+    least = lambda rows: cut(rows.groupBy("_key").agg(F.min("_order").alias("_least"), F.count(F.lit(1)).alias("_n")))
+    firsts = least(rows)
+    tied = look_up(rows.select("_key", "_order"), firsts, ["_key"], "_n", "_order").where("_order = _least").groupBy("_key").count().where("count > 1")
+    if not tied.isEmpty():
+        rows = cut(rows.withColumn("_order", F.struct(F.col("_order").alias("by"), F.monotonically_increasing_id().alias("row"))))
+        firsts = least(rows)
+    return look_up(rows, firsts, ["_key"], "_n", "_order").withColumn(out, F.col("_order") == F.col("_least")).drop("_key", "_order", "_least")

@@ -192,7 +192,10 @@ def components(spark, sf):
     return groups.key_components(d, "doc_id", [F.md5(F.lower("text")), F.concat_ws(":", "source", F.floor(F.col("doc_id") / 3).cast("string"))])
 
 
-@query("g01_components", f"WITH RECURSIVE {_COMP} SELECT doc_id, component, sha256(string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) OVER (PARTITION BY component ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS group_id FROM cc".replace("string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id::VARCHAR) OVER (PARTITION BY component ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)", "(SELECT string_agg(x.doc_id::VARCHAR, ',' ORDER BY x.doc_id::VARCHAR) FROM cc x WHERE x.component = cc.component)"))
+_SUMS = ", ".join(f"sum(('0x' || substr(sha256(doc_id::VARCHAR), {1 + 15 * i}, 15))::BIGINT)::VARCHAR" for i in range(4))
+
+
+@query("g01_components", f"WITH RECURSIVE {_COMP}, gi AS (SELECT component, sha256(concat_ws(',', count(*)::VARCHAR, {_SUMS})) AS group_id FROM cc GROUP BY component) SELECT doc_id, component, group_id FROM cc JOIN gi USING (component)")
 def g01_components(spark, sf):
     return components(spark, sf)
 

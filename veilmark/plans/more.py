@@ -50,7 +50,7 @@ def d01(spark, sf):
     v, _ = _votes(spark, sf, "sensitivity")
     long = v.select("record_id", F.explode(F.array_compact(F.array(F.when(F.col("votes")[0] >= 0, "a"), F.when(F.col("votes")[6] < 0, "b")))).alias("dimension"))
     wide = long.groupBy("record_id").agg(F.collect_set("dimension").alias("dims")).where(F.size("dims") == 2)
-    return tq(spark, sf).join(wide, "record_id").select("record_id")
+    return tq(spark, sf).join(wide.hint("merge"), "record_id").select("record_id")
 
 
 @query("d04_uncertainty_lookup", "SELECT d.doc_id, coalesce(e.label, -1) AS level FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id")
