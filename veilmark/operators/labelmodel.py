@@ -16,36 +16,35 @@ from veilmark.scratch import cut
 ROUNDS, START, LOW, HIGH, SILENT = 8, 0.7, 0.05, 0.99, 0.5
 
 
-def posterior(votes: Column, theta: list[float], k: int, mu: list[float] | None = None) -> Column:
+def posterior(votes: str, theta: list[float], k: int, mu: list[float] | None = None) -> Column:
     """P(class | votes): a vote is right with its function's accuracy, else spread over the other classes."""
     mu = mu or [1.0 / k] * k
-    parts = []
-    for c in range(k):
-        p = F.lit(mu[c])
-        for j, t in enumerate(theta):
-            v = votes[j]
-            p = p * F.when(v < 0, 1.0).when(v == c, t).otherwise((1.0 - t) / max(k - 1, 1))
-        parts.append(p)
-    return safe_normalised(F.array(*parts), k)
+
+    def right(j: int, c: int) -> str:
+        wrong = (1.0 - theta[j]) / max(k - 1, 1)
+        return f"CASE WHEN `{votes}`[{j}] < 0 THEN 1D WHEN `{votes}`[{j}] = {c} THEN {theta[j]!r}D ELSE {wrong!r}D END"
+
+    # one expression as text: thousands of nodes made one by one from Python take longer than the job
+    joint = ", ".join(" * ".join([f"{mu[c]!r}D", *(right(j, c) for j in range(len(theta)))]) for c in range(k))
+    return safe_normalised(F.expr(f"array({joint})"), k)
 
 
 def fit(rows: DataFrame, votes: str, m: int, k: int, rounds: int = ROUNDS, update_mu: bool = False) -> tuple[DataFrame, dict]:
-    """(patterns with their posteriors, {theta, mu, theta_used}). Posteriors are those of the last E-step, before the last M-step."""
+    """(patterns with their posteriors, {theta, mu, theta_used}). Posteriors are those of the last E-step, before the last M-step.
+
+    Only sums reach the driver, two a function and one a class in each round."""
     patterns = cut(rows.groupBy(F.col(votes).alias("votes")).agg(F.count(F.lit(1)).alias("n")))
     theta, mu = [START] * m, [1.0 / k] * k
     used = theta
+    sums = [f"sum(CASE WHEN votes[{j}] >= 0 THEN n * p[votes[{j}]] END) AS s{j}" for j in range(m)] + [f"sum(CASE WHEN votes[{j}] >= 0 THEN n END) AS c{j}" for j in range(m)]
+    sums += [f"sum(n * p[{c}]) AS m{c}" for c in range(k)] + ["sum(n) AS total"]
     for _ in range(max(1, rounds)):
-        used, p = theta, posterior(F.col("votes"), theta, k, mu)
-        v = lambda j: F.col("votes")[j]
-        sums = [F.sum(F.when(v(j) >= 0, F.col("n") * F.col("p")[v(j)])).alias(f"s{j}") for j in range(m)] + [F.sum(F.when(v(j) >= 0, F.col("n"))).alias(f"c{j}") for j in range(m)]
-        sums += [F.sum(F.col("n") * F.col("p")[c]).alias(f"m{c}") for c in range(k)] + [F.sum("n").alias("total")]
-        got = patterns.withColumn("p", p).agg(*sums).first()
-        prior = mu
+        used, prior = theta, mu
+        got = patterns.withColumn("p", posterior("votes", theta, k, mu)).selectExpr(*sums).first()
         theta = [min(HIGH, max(LOW, got[f"s{j}"] / got[f"c{j}"])) if got[f"c{j}"] else SILENT for j in range(m)]
         if update_mu and got["total"]:
             mu = [got[f"m{c}"] / got["total"] for c in range(k)]
-    final = posterior(F.col("votes"), used, k, prior if update_mu else None)
-    return patterns.withColumn("probabilities", final), {"theta": theta, "mu": mu, "theta_used": used}
+    return patterns.withColumn("probabilities", posterior("votes", used, k, prior)), {"theta": theta, "mu": mu, "theta_used": used}
 
 
 def apply(rows: DataFrame, votes: str, patterns: DataFrame) -> DataFrame:
@@ -58,7 +57,7 @@ def apply(rows: DataFrame, votes: str, patterns: DataFrame) -> DataFrame:
 
 def infer(rows: DataFrame, votes: str, theta: list[float], k: int) -> DataFrame:
     """``rows`` with posteriors from given accuracies, e.g. those of the train split."""
-    return rows.withColumn("probabilities", posterior(F.col(votes), theta, k))
+    return rows.withColumn("probabilities", posterior(votes, theta, k))
 
 
 def empirical_accuracy(patterns: DataFrame, m: int) -> DataFrame:

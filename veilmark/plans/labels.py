@@ -10,6 +10,7 @@ from veilmark.functions.text import cleaned, folded
 from veilmark.operators import corpus, evidence, labeling, labelmodel, metrics
 from veilmark.plans.fixtures import CL, EV, TQ, VOTES, em_cte, records, table, tq, votes_cte
 from veilmark.plans.registry import query
+from veilmark.scratch import cut
 
 R9 = lambda c: F.round(c, 9)
 SHORT = {"sensitivity": "c05_sensitivity_votes", "intent": "c06_intent_votes", "disclosure_scope": "c07_disclosure_votes"}
@@ -63,7 +64,8 @@ def b14_terms(spark, sf):
 
 def _votes(spark, sf, target):
     m, name = len(VOTES[target]), f"votes_{target.replace('/', '_')}"
-    return labeling.vote_matrix(records(spark, sf), [target]).select("record_id", "domain", name).withColumnsRenamed({name: "votes"}), m
+    #: what is read more than once is made once
+    return cut(labeling.vote_matrix(records(spark, sf), [target]).select("record_id", "domain", F.col(name).alias("votes"))), m
 
 
 def _register_votes(name: str, target: str) -> None:

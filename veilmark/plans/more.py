@@ -180,15 +180,16 @@ def k12(spark, sf):
 
 
 _CUE = lambda name: "regexp_matches(lower(query_text), '" + cues.CUES[name].replace("'", "''") + "')"
-
-
-@query("b15_query_cues", f"WITH {CL} SELECT record_id, {', '.join(f'{_CUE(n)} AS {n}' for n in ('personal', 'medical_sensitive', 'financial_artifact', 'request', 'data', 'general_form'))} FROM cl")
-def b15(spark, sf):
-    c = cues.add_cues(corpus.clean_records(tq(spark, sf), nfkc=False))
-    return c.select("record_id", *[F.col(f"cue_{n}").alias(n) for n in ("personal", "medical_sensitive", "financial_artifact", "request", "data", "general_form")])
-
-
-_MED, _FIN = f"({_CUE('personal')} AND {_CUE('medical_sensitive')})", f"({_CUE('personal')} AND {_CUE('financial_artifact')})"
+#: the identifying patterns, a word boundary or the text's start standing for what this dialect cannot look back at
+_DIRECT = [evidence.OFFSET_PATTERNS[n].replace(r"(?<!\w)", r"(?:^|\W)").replace("'", "''") for n in ("email", "phone", "identifier", "credential")]
+_CUES = CL + ", q0 AS (SELECT record_id, " + ", ".join(f"{_CUE(n)} AS {n}" for n in cues.CUES) + ", " + " OR ".join(f"regexp_matches(query_text, '(?i){p}')" for p in _DIRECT) + """ AS direct FROM cl),
+q1 AS (SELECT *, personal AND medical_sensitive AS med, personal AND financial_artifact AS fin, reid_words AND (subject_words OR direct OR record_words) AS who,
+  attr_words AND subject_words AND attr_targets AS trait, subject_words AND set_words AND member_words AS presence,
+  request AND secret_words AND (subject_words OR personal OR records_word) AS secret FROM q0),
+q2 AS (SELECT *, personal OR direct OR who OR trait OR presence OR secret AS people FROM q1),
+q3 AS (SELECT *, general_form AND NOT people AS plain, (general_form OR aggregate_words) AND NOT people AS harmless,
+  personal AND (medical_topic OR finance_topic OR limited_words) AND NOT (med OR fin OR direct OR secret) AS light FROM q2)"""
+_V = lambda when, k, name: f"CASE WHEN {when} THEN {k} ELSE -1 END AS {name}"
 
 
 def cued(spark, sf):
@@ -196,22 +197,28 @@ def cued(spark, sf):
     return cues.add_cues(c, patterns=F.transform(evidence.offset_matches("query_text"), lambda m: m["name"]))
 
 
-@query("c11_cue_sensitivity", f"WITH {CL} SELECT record_id, CASE WHEN {_MED} THEN 2 ELSE -1 END AS personal_medical, CASE WHEN {_FIN} THEN 2 ELSE -1 END AS personal_finance FROM cl")
+@query("b15_query_cues", f"WITH {_CUES} SELECT record_id, {', '.join(cues.CUES)}, direct, med AS own_health, fin AS own_money, who AS asks_who, trait AS asks_trait, presence AS asks_presence, secret AS asks_secret, people AS about_people, plain AS plain_question, harmless, light AS light_topic FROM q3")
+def b15(spark, sf):
+    names = [*cues.CUES, "direct", "own_health", "own_money", "asks_who", "asks_trait", "asks_presence", "asks_secret", "about_people", "plain_question", "harmless", "light_topic"]
+    return cued(spark, sf).select("record_id", *[F.col(f"cue_{n}").alias(n) for n in names])
+
+
+@query("c11_cue_sensitivity", f"WITH {_CUES} SELECT record_id, {_V('plain', 0, 'plain_question')}, {_V('light', 1, 'light_topic')}, {_V('med', 2, 'own_health')}, {_V('fin', 2, 'own_money')}, {_V('direct', 2, 'identifying_text')}, {_V('secret OR who OR trait OR presence OR data', 2, 'reaches_for_people')} FROM q3")
 def c11(spark, sf):
-    v = cues.cue_votes()["sensitivity"]
-    return cued(spark, sf).select("record_id", *[v[n].alias(n) for n in ("personal_medical", "personal_finance")])
+    return cued(spark, sf).select("record_id", *[v.alias(n) for n, v in cues.cue_votes("sensitivity").items()])
 
 
-@query("c12_cue_intent", f"WITH {CL} SELECT record_id, CASE WHEN {_CUE('request')} AND {_MED} THEN 2 ELSE -1 END AS medical, CASE WHEN {_CUE('request')} AND {_FIN} THEN 3 ELSE -1 END AS financial, CASE WHEN {_CUE('request')} AND {_CUE('data')} AND NOT ({_MED} OR {_FIN}) THEN 1 ELSE -1 END AS data FROM cl")
+@query("c12_cue_intent", f"WITH {_CUES} SELECT record_id, {_V('plain', 0, 'plain_question')}, {_V('request AND data AND NOT med AND NOT fin', 1, 'own_data')}, {_V('secret AND NOT who', 1, 'secret')}, {_V('request AND med', 2, 'own_health')}, {_V('request AND fin', 3, 'own_money')}, {_V('who', 4, 'who')} FROM q3")
 def c12(spark, sf):
-    v = cues.cue_votes()["privacy_relevant_intent"]
-    return cued(spark, sf).select("record_id", v["personal_medical_request"].alias("medical"), v["personal_financial_request"].alias("financial"), v["personal_data_request"].alias("data"))
+    return cued(spark, sf).select("record_id", *[v.alias(n) for n, v in cues.cue_votes("privacy_relevant_intent").items()])
+
+
+_THREATS = {"re_identification": "who", "attribute_inference": "trait", "membership_inference": "presence"}
 
 
-@query("c13_cue_threats", f"WITH {CL} SELECT record_id, CASE WHEN {_CUE('subject_words')} AND {_CUE('set_words')} AND {_CUE('member_words')} THEN 1 ELSE -1 END AS membership, CASE WHEN {_CUE('attr_words')} AND {_CUE('subject_words')} AND {_CUE('attr_targets')} THEN 1 ELSE -1 END AS attribute FROM cl")
+@query("c13_cue_threats", f"WITH {_CUES} SELECT record_id, {', '.join(_V(f, 1, f'{t}_asks') + ', ' + _V('harmless', 0, f'{t}_states_harmless') + ', ' + _V('preserving AND NOT who AND NOT trait AND NOT presence', 0, f'{t}_states_protection') for t, f in _THREATS.items())} FROM q3")
 def c13(spark, sf):
-    v = cues.cue_votes()
-    return cued(spark, sf).select("record_id", v["threat_membership_inference"]["semantic_request"].alias("membership"), v["threat_attribute_inference"]["semantic_request"].alias("attribute"))
+    return cued(spark, sf).select("record_id", *[v.alias(f"{t}_{n}") for t in _THREATS for n, v in cues.cue_votes(f"threat_{t}").items()])
 
 
 @query("b08_offset_evidence")

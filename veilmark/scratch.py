@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +11,16 @@ _INFER = "spark.sql.constraintPropagation.enabled"
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one is set only where the session names none (local tests)."""
+    """The session's shared folder. Where it names none, a temporary one serves a single-process session; others are refused,
+    as their executors would not see it."""
     sc = spark.sparkContext
     if (there := sc.getCheckpointDir()) is not None:
         return there
-    named = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
     sc.setCheckpointDir(named)
     return sc.getCheckpointDir() or named
 
