@@ -33,9 +33,9 @@ from veilmark.llm.hashing import slices
 _ROOT = 0
 _NEVER = 1 << 62
 #: Times that a transition is met before it is made.
-HOT = 2
+HOT = 12
 #: What a task remembers, at most: states, whether tokens fit side by side, and pieces (twice, as those not met of late go).
-STATES, FITS, PIECES = 40_000, 400_000, 100_000
+STATES, FITS, PIECES = 50_000, 600_000, 300_000
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -141,25 +141,23 @@ class Transducer:
         out = self.step[s << 8 | byte] = self.state(tuple(walks)), first[1:same]
         return out
 
-    def arcs(self, data: bytes, at: int) -> list[tuple[int, int]]:
-        """Tokens that begin at ``at`` and where they end, the longest last."""
-        kids, token, node, found = self.kids, self.token, _ROOT, []
-        for byte in data[at:] if at else data:
-            if (node := kids[node].get(byte, -1)) < 0:
-                break
-            at += 1
-            if (t := token[node]) >= 0:
-                found.append((t, at))
-        return found
-
     def follow(self, last: int, data: bytes) -> list[int]:
         """The tokens after ``last`` of what is left of a piece: the machine as it is before it is determinised, longest arc
         first; an arc that leads nowhere is taken back and not tried again."""
-        fits, size = self.fits, len(data)
-        out, end, left, dead = [last], 0, [self.arcs(data, 0)], set()
-        ends = [0]
+        kids, token, fits, size = self.kids, self.token, self.fits, len(data)
+        out, ends, left, dead, end = [last], [0], [], set(), 0
         while end < size:
-            arcs = left[-1]
+            if len(left) < len(out):  # tokens that begin here, and where they end, the longest last
+                arcs, node, at = [], _ROOT, end
+                while at < size:
+                    if (node := kids[node].get(data[at], -1)) < 0:
+                        break
+                    at += 1
+                    if (t := token[node]) >= 0:
+                        arcs.append((t, at))
+                left.append(arcs)
+            else:
+                arcs = left[-1]
             while arcs:
                 t, to = arcs.pop()
                 ok = fits.get(last << 20 | t)
@@ -167,15 +165,13 @@ class Transducer:
                     out.append(t)
                     ends.append(to)
                     last, end = t, to
-                    if to < size:
-                        left.append(self.arcs(data, to))
                     break
             else:
                 if len(out) == 1:
                     raise ValueError("the vocabulary can't encode this piece")
+                left.pop()
                 dead.add((out.pop(), ends.pop()))
                 last, end = out[-1], ends[-1]
-                left.pop()
         return out[1:]
 
     def encode(self, piece: bytes) -> list[int]:
@@ -186,17 +182,16 @@ class Transducer:
         if len(self.fits) > FITS:
             self.fits.clear()
         s, out = 0, []
-        get, met = self.step.get, self.met
-        for i, byte in enumerate(piece):
-            key = s << 8 | byte
-            if (to := get(key)) is None:
-                n = met.get(key, 0)
+        get = self.step.get
+        for byte in piece:
+            if (to := get(s << 8 | byte)) is None:
+                n = self.met.get(key := s << 8 | byte, 0)
                 if n < HOT:  # made only for what comes again
-                    if len(met) > 4 * self.max_states:
-                        met.clear()
-                    met[key] = n + 1
-                    certain = sum(len(self.bytes_of[t]) for t in out)
-                    return [*out, *self.follow(self.walks[s][0][0][0], piece[certain:])]
+                    if len(self.met) > 4 * self.max_states:
+                        self.met.clear()
+                    self.met[key] = n + 1
+                    certain = sum(map(len, map(self.bytes_of.__getitem__, out))) if out else 0
+                    return out + self.follow(self.walks[s][0][0][0], piece[certain:] if certain else piece)
                 to = self.advance(s, byte)
             s, certain = to
             if certain:
