@@ -122,8 +122,7 @@ def test_unanimous_fallback(spark):
 def test_cues(spark):
     q = ["What does my HbA1c result mean?", "Why was my account debited?", "What is diabetes?", "The blood bank said I am anemic."]
     df = cues.add_cues(spark.createDataFrame([(i, x) for i, x in enumerate(q)], "id long, query_text string"))
-    v = cues.cue_votes()
-    rows = df.select("id", F.array(*v["privacy_relevant_intent"].values()).alias("i"), F.array(*v["sensitivity"].values()).alias("s")).orderBy("id").collect()
+    rows = df.select("id", F.array(*cues.cue_votes("privacy_relevant_intent").values()).alias("i"), F.array(*cues.cue_votes("sensitivity").values()).alias("s")).orderBy("id").collect()
     assert 2 in rows[0]["i"] and 3 in rows[1]["i"] and 0 in rows[2]["s"] and 3 not in rows[3]["i"]
 
 

@@ -204,8 +204,9 @@ def running_sum(df: DataFrame, order: list[str], value: str, out: str = "running
     totals = totals.select("_pid", F.sum("_t").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)).alias("_parts"))
     inner = Window.partitionBy("_pid").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     before = cells.withColumn("_cells", F.sum("_s").over(inner)).join(F.broadcast(totals), "_pid")
-    none = F.col("_s") - F.col("_s")
-    before = before.select("_pid", "_cell", (F.coalesce("_cells", none) + F.coalesce("_parts", none)).alias("_before"))
+    #: null until a value is met
+    both = F.coalesce(F.col("_cells") + F.col("_parts"), "_cells", "_parts")
+    before = before.select("_pid", "_cell", both.alias("_before"))
     run = F.sum(value).over(Window.partitionBy("_pid", "_cell").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
     done = rows.withColumn("_run", run).join(before.hint("merge"), ["_pid", "_cell"]).withColumn(out, F.coalesce(F.col("_before") + F.col("_run"), "_before", "_run"))
     if rank:

@@ -71,3 +71,8 @@ def augment(train: DataFrame, generated: DataFrame, text_key: str, id_col: str,
     limit = min(most, int(train.count() * ratio))
     fresh = generated.join(train.select(text_key).distinct(), text_key, "left_anti").orderBy(id_col).limit(limit)
     return train.unionByName(fresh)
+
+
+def misplaced(df: DataFrame, generated: Column, split: str, allowed: list[str]) -> DataFrame:
+    """Generated rows outside of the splits that may hold them; a null split is none of these."""
+    return df.where(generated & ~F.coalesce(F.col(split).isin(*allowed), F.lit(False)))

@@ -199,3 +199,59 @@ def unanimous_fallback(votes: Column, probs: Column, suppressed: list[int], k: i
     cast = F.filter(F.array_distinct(votes), lambda v: v >= 0)
     only = F.when(F.size(cast) == 1, cast[0])
     return F.when(only.isin(*suppressed), F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda c: F.when(c == only, 1.0).otherwise(0.0))).otherwise(probs) if suppressed else probs
+
+
+def inconsistent(stored: DataFrame, again: DataFrame, id_col: str, votes: str, probs: str, eps: float = 1e-6) -> DataFrame:
+    """(id, reason, largest): records whose stored votes or posteriors are not what was computed again, or that are on one side only."""
+    a = stored.select(F.col(id_col).alias("_a"), F.col(votes).alias("_va"), F.col(probs).alias("_pa"))
+    b = again.select(F.col(id_col).alias("_b"), F.col(votes).alias("_vb"), F.col(probs).alias("_pb"))
+    j = a.join(b.hint("merge"), F.col("_a") == F.col("_b"), "full")
+    gap = F.aggregate(F.zip_with("_pa", "_pb", lambda x, y: F.abs(x - y)), F.lit(0.0), lambda s, x: F.greatest(s, F.coalesce(x, F.lit(float("inf")))))
+    reason = F.when(F.col("_b").isNull(), "not computed").when(F.col("_a").isNull(), "not stored").when(~F.col("_va").eqNullSafe(F.col("_vb")), "votes").when(gap > eps, "posterior")
+    return j.select(F.coalesce("_a", "_b").alias(id_col), reason.alias("reason"), gap.alias("largest")).where("reason is not null")
+
+
+def vote_diagnostics(df: DataFrame, votes: str, by: list[str]) -> DataFrame:
+    """(grp, n, overlap, conflict, all_abstain) of all rows and of each value of each column of ``by``: shares of rows where two
+    functions or more vote, where they disagree, and where none votes."""
+    cast = F.filter(F.col(votes), lambda v: v >= 0)
+    rows = df.select(*by, F.size(cast).alias("k"), F.size(F.array_distinct(cast)).alias("kinds"))
+    share = lambda c: F.avg(c.cast("int"))
+    g = rows.groupingSets([[], *[[c] for c in by]], *by).agg(F.count(F.lit(1)).alias("n"), share(F.col("k") > 1).alias("overlap"), share(F.col("kinds") > 1).alias("conflict"), share(F.col("k") == 0).alias("all_abstain"), F.grouping_id().alias("gid"))
+    last = len(by) - 1
+    which = [F.when(F.col("gid").bitwiseAND(F.lit(1 << (last - i))) == 0, F.concat(F.lit(f"{c}/"), F.coalesce(F.col(c), F.lit("")))) for i, c in enumerate(by)]
+    return g.select(F.coalesce(*which, F.lit("all")).alias("grp"), "n", "overlap", "conflict", "all_abstain")
+
+
+def class_support(df: DataFrame, votes: str, probs: str, k: int) -> DataFrame:
+    """(class, fired, voted, majority, final, differs) of each class: votes for it, rows with one, rows with votes whose majority
+    and whose posterior it is first in, and rows with votes that it is first in by one of the two only."""
+    first = lambda a: (F.array_position(a, F.array_max(a)) - 1).cast("int")
+    rows = df.select(F.col(votes).alias("v"), first(majority(F.col(votes), k)).alias("m"), first(F.col(probs)).alias("f"), F.exists(votes, lambda v: v >= 0).alias("any"))
+    long = rows.withColumn("class", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    here = F.size(F.filter("v", lambda v: v == F.col("class")))
+    m, f = F.col("any") & (F.col("m") == F.col("class")), F.col("any") & (F.col("f") == F.col("class"))
+    return long.groupBy("class").agg(F.sum(here).cast("long").alias("fired"), F.count_if(here > 0).alias("voted"), F.count_if(m).alias("majority"), F.count_if(f).alias("final"), F.count_if(m != f).alias("differs"))
+
+
+#: What labels of one record contradict, as conditions in SQL over domain, text (lower case), intent, sensitivity, and the
+#: probability that an organization is named.
+CONTRADICTIONS = {
+    "medical_intent_elsewhere": "domain <> 'medical' AND intent = 'medical_information_request'",
+    "financial_intent_elsewhere": "domain <> 'financial' AND intent = 'financial_information_request' AND NOT text RLIKE 'tariff|tax|stock|trade'",
+    "identity_in_general_questions": "domain = 'general_qa' AND intent = 'identity_related_request'",
+    "sensitive_but_general": "sensitivity = 'high' AND intent = 'general_information'",
+    "medical_but_harmless": "domain = 'medical' AND intent = 'medical_information_request' AND sensitivity = 'low'",
+    "medical_intent_in_hops": "domain = 'multi_hop_qa' AND intent = 'medical_information_request'",
+    "organization_in_questions": "domain IN ('general_qa', 'multi_hop_qa') AND organization > 0.99",
+}
+
+
+def contradictions(df: DataFrame) -> DataFrame:
+    """(domain, rule, n, rate): how many rows of a domain break each rule, and which share of the domain's rows; ``df`` has domain,
+    text, intent, sensitivity and organization."""
+    broken = F.array_compact(F.array(*[F.when(F.expr(when), F.lit(n)) for n, when in CONTRADICTIONS.items()]))
+    rows = df.select("domain", broken.alias("rules"))
+    size = rows.groupBy("domain").agg(F.count(F.lit(1)).alias("_rows"))
+    hit = rows.select("domain", F.explode("rules").alias("rule")).groupBy("domain", "rule").agg(F.count(F.lit(1)).alias("n"))
+    return hit.join(size.hint("merge"), "domain").select("domain", "rule", "n", (F.col("n") / F.col("_rows")).alias("rate"))

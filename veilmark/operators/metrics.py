@@ -195,3 +195,25 @@ def posterior_diagnostics(df: DataFrame, probs: str, by: str, uncertain: float =
     return g.select(F.when(F.col("g") == 1, "(all)").otherwise(F.col("grp")).alias("grp"), "n", "mean_entropy", "mean_max_confidence", "n_uncertain")
 
 
+
+
+def masked_agreement(df: DataFrame, probs: str, y: str, observed: Column) -> DataFrame:
+    """observed, agreement and loss (cross-entropy) over observed rows only; null where none is."""
+    p_y = F.greatest(F.col(probs)[F.col(y)], F.lit(1e-12))
+    best = F.array_position(F.col(probs), F.array_max(probs)) - 1
+    seen = lambda c: F.avg(F.when(observed, c))
+    return df.agg(F.count_if(observed).alias("observed"), seen((best == F.col(y)).cast("int")).alias("agreement"), seen(-F.log(p_y)).alias("loss"))
+
+
+def budget_stability(draws: DataFrame, keys: list[str], pass_col: str, probs: str, sizes: list[int]) -> DataFrame:
+    """(budget, delta, agreement): of the first t passes' means against those of the largest budget, the mean absolute difference
+    of probabilities and how often both have the same first class."""
+    k = (draws.select(F.size(probs)).first() or [0])[0]
+    p = F.col(probs)
+    most = max(sizes)
+    #: all budgets in one aggregate a unit: no draw is copied and nothing is joined
+    means = draws.groupBy(*keys).agg(*[F.array(*[F.avg(F.when(F.col(pass_col) < t, p[i])) for i in range(k)]).alias(f"m{t}") for t in sizes])
+    gap = lambda t: F.aggregate(F.zip_with(f"m{t}", f"m{most}", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda s, x: s + x) / k
+    first = lambda t: F.array_position(F.col(f"m{t}"), F.array_max(f"m{t}"))
+    rows = means.select(F.explode(F.array(*[F.struct(F.lit(t).alias("budget"), gap(t).alias("delta"), (first(t) == first(most)).cast("int").alias("same")) for t in sizes])).alias("x")).select("x.*")
+    return rows.groupBy("budget").agg(F.avg("delta").alias("delta"), F.avg("same").alias("agreement"))

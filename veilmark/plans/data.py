@@ -299,12 +299,6 @@ def j08_closure(spark, sf):
     return table(spark, sf, "lineitem").select("l_returnflag").distinct().select(F.explode(F.array(*[F.concat(F.lit(p), "l_returnflag") for p in ("B-", "I-")])).alias("label"))
 
 
-@query("j10_consistency", "SELECT count(*) AS n FROM lineitem WHERE abs(l_extendedprice * (1 - l_discount) - round(l_extendedprice * (1 - l_discount), 2)) > 0.004")
-def j10_consistency(spark, sf):
-    l = table(spark, sf, "lineitem").withColumn("x", F.col("l_extendedprice") * (1 - F.col("l_discount")))
-    return l.where(F.abs(F.col("x") - F.round("x", 2)) > 0.004).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("j11_source_audit", "SELECT source, count(*) AS n, sum(n_chars)::BIGINT AS chars, count(DISTINCT lang) AS langs FROM documents GROUP BY source")
 def j11_audit(spark, sf):
     return docs(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"), F.countDistinct("lang").alias("langs"))

@@ -25,6 +25,8 @@ TEMPLATES = [
     ("general_qa", "ok {i}.", ""),
     ("general_qa", "Explain the yield of wheat from the public report, only anonymized aggregate statistics.", ""),
     ("medical", "I want advice on preventive care and our health planning, my health question is short.", ""),
+    ("financial", "Should I mail form {i} or bring it to the account desk?", ""),
+    ("multi_hop_qa", "Does Company{i} of City{i} sell medication for a disease with fever?", "Both were the founder of a clinic."),
     ("general_qa", "Show my address and my records, they are private.", ""),
 ]
 GAZETTEER = {"City": "GPE", "Company": "ORG", "Patient": "PERSON", "Person": "PERSON"}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from veilmark.functions import probs as P
 from veilmark.operators import classifier, corpus, cues, evidence, groups, labeling, labelmodel, metrics, spans
@@ -32,9 +31,11 @@ def f05(spark, sf):
 
 @query("f07_quota_split", "SELECT source, split, (n // 20 * 20 * k // 10)::BIGINT AS n FROM (SELECT source, count(*) AS n FROM documents GROUP BY source), (VALUES ('train', 7), ('validation', 1), ('calibration', 1), ('test', 1)) AS t(split, k) WHERE n >= 20")
 def f07(spark, sf):
-    by = Window.partitionBy("source")
-    d = docs(spark, sf).select("doc_id", "source", F.row_number().over(by.orderBy("doc_id")).alias("r"), F.count(F.lit(1)).over(by).alias("n"))
-    #: each source is capped at a multiple of the smallest quota, as the operator asks for, and comes in pairs
+    """Each source is capped at a multiple of 20 rows, as exact quotas ask for, and comes in pairs."""
+    d = docs(spark, sf).select("doc_id", "source")
+    sizes = d.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    #: one row a source
+    d = corpus.rank_within(d, ["source"], ["doc_id"], "r").join(F.broadcast(sizes), "source")
     d = d.where(F.col("r") <= F.floor(F.col("n") / 20) * 20).withColumn("g", F.concat_ws(":", "source", F.floor((F.col("r") - 1) / 2).cast("string")))
     got = corpus.quota_split(d, "source", "g", {"train": 7, "validation": 1, "calibration": 1, "test": 1}, "q1")
     return got.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n"))
@@ -165,11 +166,11 @@ def j05(spark, sf):
     return split(spark, sf).join(table(spark, sf, "labels").select("doc_id"), "doc_id").groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("k10_policy_grid", "SELECT n_nationkey, 'eps' || e || '_cov' || c || '_types' || (row_number() OVER (PARTITION BY n_nationkey ORDER BY e, c) - 1) AS policy_id FROM (VALUES (1), (2)) AS a(e), (VALUES ('0.5'), ('1')) AS b(c), nation")
+@query("k10_policy_grid", "SELECT c_custkey, 'eps' || e || '_cov' || c || '_types' || (row_number() OVER (PARTITION BY c_custkey ORDER BY e, c) - 1) AS policy_id FROM (VALUES (1), (2)) AS a(e), (VALUES ('0.5'), ('1')) AS b(c), customer")
 def k10(spark, sf):
-    #: each nation is a deployment with the whole grid
+    #: each customer is a deployment with the whole grid
     grid = R.candidates(spark, [1.0, 2.0], [0.5, 1.0], [["*"]])
-    return table(spark, sf, "nation").crossJoin(F.broadcast(grid)).select("n_nationkey", "policy_id")
+    return table(spark, sf, "customer").crossJoin(F.broadcast(grid)).select("c_custkey", "policy_id")
 
 
 @query("k12_constraint_margins", f"WITH {_POL} SELECT record_id, policy_id, round(privacy - required, 9) AS privacy_margin, round(utility - 0.6, 9) AS utility_margin FROM rq, prof")
@@ -233,7 +234,7 @@ def b09(spark, sf):
     return docs(spark, sf).select("doc_id", s.alias("spans")).where(F.size("spans") > 0)
 
 
-@query("b16_token_offsets")
+@query("b16_token_offsets", r"SELECT doc_id, CASE WHEN text IS NOT NULL THEN len(regexp_extract_all(text, '[^\s\x0B]+')) END::INT AS n, NULL AS error FROM documents")
 def b16(spark, sf):
     d = docs(spark, sf).select("doc_id", F.filter(F.split("text", r"[\s]+"), lambda w: w != "").alias("tokens"), "text")
     return d.select("doc_id", spans.token_offsets("tokens", "text").alias("o")).select("doc_id", F.size("o.starts").alias("n"), "o.error")
@@ -295,10 +296,11 @@ def i23(spark, sf):
     return j.groupBy("lang").agg(F.count("quality").alias("observed"), F.round(F.avg((F.col("quality") == F.col("toxic")).cast("int")), 9).alias("agreement"))
 
 
-@query("a03_nested_documents", "SELECT count(*) AS n, count(DISTINCT n_regionkey) AS groups FROM nation")
+@query("a03_nested_documents", "SELECT n_orders, count(*) AS n FROM (SELECT o_custkey, count(*) AS n_orders FROM orders GROUP BY o_custkey) JOIN orders USING (o_custkey) GROUP BY n_orders")
 def a03(spark, sf):
-    n = table(spark, sf, "nation")
-    nested = n.groupBy("n_regionkey").agg(F.collect_list(F.struct(F.col("n_nationkey").cast("string").alias("uid"), F.col("n_name").alias("question"))).alias("questions"))
-    nested = nested.select(F.struct(F.col("n_regionkey").cast("string").alias("uid"), F.array(F.array(F.lit("x"))).alias("table")).alias("table"), F.array(F.lit("p")).alias("paragraphs"), "questions")
-    return corpus.explode_documents(nested).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("group_id").alias("groups"))
-
+    """A document for each customer, with a question for each order."""
+    asked = F.collect_list(F.struct(F.col("o_orderkey").cast("string").alias("uid"), F.col("o_comment" if "o_comment" in table(spark, sf, "orders").columns else "o_orderpriority").alias("question")))
+    nested = table(spark, sf, "orders").groupBy("o_custkey").agg(asked.alias("questions"))
+    nested = nested.select(F.struct(F.col("o_custkey").cast("string").alias("uid"), F.array(F.array(F.lit("x"))).alias("table")).alias("table"), F.array(F.lit("p")).alias("paragraphs"), "questions")
+    sizes = corpus.explode_documents(nested).groupBy("group_id").agg(F.count(F.lit(1)).alias("n_orders"))
+    return sizes.groupBy("n_orders").agg(F.sum("n_orders").alias("n"))

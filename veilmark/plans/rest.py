@@ -77,10 +77,13 @@ def d07(spark, sf):
     return j.agg(F.count(F.lit(1)).alias("pairs"), F.count_if((F.col("e") == F.col("pe")) & (F.col("type") == F.col("pt"))).alias("same"))
 
 
-@query("d11_policy_observations", "SELECT c, n_name AS case_id, 'weak' AS policy_id FROM nation, (VALUES (1), (2)) AS x(c)")
+@query("d11_policy_observations", "SELECT policy_id, round(min(1 - o_totalprice::DOUBLE / 1000000 / s), 6) AS privacy, round(max(s * length(o_orderpriority)), 6) AS latency_ms, count(*) AS n FROM orders, (VALUES ('weak', 1.0::DOUBLE), ('strong', 3.0)) AS x(policy_id, s) GROUP BY policy_id")
 def d11(spark, sf):
-    runs = spark.createDataFrame([(1, "weak"), (2, "weak")], "c int, policy_id string")
-    return table(spark, sf, "nation").crossJoin(F.broadcast(runs)).select("c", F.col("n_name").alias("case_id"), "policy_id")
+    """Orders are the cases; each is seen under each policy, and policies are profiled by the worst seen."""
+    runs = spark.createDataFrame([("weak", 1.0), ("strong", 3.0)], "policy_id string, s double")
+    seen = table(spark, sf, "orders").crossJoin(F.broadcast(runs))
+    seen = seen.select("policy_id", (1 - F.col("o_totalprice").cast("double") / 1000000 / F.col("s")).alias("privacy"), F.lit(1.0).alias("utility"), (F.col("s") * F.length("o_orderpriority")).alias("latency_ms"), F.lit("measured").alias("provenance"))
+    return R.profile(seen).select("policy_id", F.round("privacy", 6).alias("privacy"), F.round("latency_ms", 6).alias("latency_ms"), "n")
 
 
 @query("d14_config_lookup", f"WITH {TQ}, s(domain, tier) AS (VALUES ('medical', 2), ('financial', 1)) SELECT record_id, coalesce(tier, 0) AS tier FROM tq LEFT JOIN s USING (domain)")
@@ -141,12 +144,3 @@ def l01(spark, sf):
         rows.where(F.col("record_id") % 2 == part).write.mode("append").parquet(src)
         incremental.run(spark, src, sink, progress, "record_id long, domain string, query_text string, context_text string", ["sensitivity"], GAZETTEER)
     return spark.read.parquet(sink).select("record_id", F.array_join(F.transform("votes_sensitivity", lambda v: v.cast("string")), ",").alias("votes"))
-
-
-@query("b34_stage_trace", f"WITH {TQ} SELECT record_id, 'clean' AS stage, query_text AS before, query_text AS after FROM tq")
-def b34(spark, sf):
-    few = tq(spark, sf)
-    after = corpus.clean_records(few, nfkc=False).select("record_id", F.col("query_text").alias("after"))
-    return few.select("record_id", F.col("query_text").alias("before")).join(after, "record_id").select("record_id", F.lit("clean").alias("stage"), "before", "after")
-
-
