@@ -127,8 +127,11 @@ def test_warc_members_without_lengths(tmp_path):
     (tmp_path / "b.warc").write_bytes(b"".join(data))
     (tmp_path / "c.warc.gz").write_bytes(b"".join(warc.member(d) for d in data))
     reader = warc._Reader({"path": str(tmp_path)})
-    found = [r for p in reader.partitions() for r in reader.read(p)]
-    assert [(r[0], r[6]) for r in found] == [(f"<urn:page:{i}>", 5000 * i) for i in range(4)] * 3
+    found = [r for p in reader.partitions() for b in reader.read(p) for r in b.to_pylist()]
+    assert [(r["record_id"], r["payload_length"], len(r["payload"])) for r in found] == [(f"<urn:page:{i}>", 5000 * i, 5000 * i) for i in range(4)] * 3
+    spread = warc._Reader({"path": str(tmp_path), "minPartitions": "3", "payload": "digest"})
+    parts = [[r for b in spread.read(p) for r in b.to_pylist()] for p in spread.partitions()]
+    assert len(parts) >= 2 and [(r["record_id"], r["payload_digest"]) for p in parts for r in p] == [(r["record_id"], r["payload_digest"]) for r in found] and all(r["payload"] is None for p in parts for r in p)
 
 
 @pytest.mark.parametrize("law", ["bytes", "rows"])
@@ -362,6 +365,77 @@ def test_decoder_keeps_unfinished_characters():
     assert d.feed([3]) == b"" and d.flush() == b"\xf0\x9f"
 
 
+def plain_logits(texts, model):
+    """Word by word and window by window, as the network is defined."""
+    p, H, out = model["params"], toxicity.HIDDEN, []
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    for t in texts:
+        found = [x.encode() for x in brute.WORD.findall(t.translate(brute.UPPER))]
+        inputs = []
+        for word in found:
+            h = toxicity.words(np.frombuffer(word, np.uint8), np.array([0, len(word)])).hash[0]
+            at = np.flatnonzero(model["vocabulary"] == h)
+            ends = [0, *word, 0]
+            slots = [((a * 257 + b) * 0x9E3779B1 % (1 << 32)) >> 20 for a, b in zip(ends, ends[1:])]
+            inputs.append(np.concatenate([p["word"][at[0] + 1 if len(at) else 0], p["char"][slots].mean(axis=0)]))
+        n = len(found)
+        starts = [0] if n <= toxicity.WINDOW else [*range(0, n - toxicity.WINDOW, toxicity.STRIDE), n - toxicity.WINDOW]
+        best = -np.inf
+        for lo in starts:
+            x = inputs[lo : lo + toxicity.WINDOW]
+            states = {}
+            for d in "fb":
+                h, seen = np.zeros(H), []
+                for v in x if d == "f" else x[::-1]:
+                    g = v @ p[f"x{d}"] + p[f"b{d}"]
+                    z, r = np.split(sigmoid(g[: 2 * H] + h @ p[f"z{d}"]), 2)
+                    h = h + z * (np.tanh(g[2 * H :] + (r * h) @ p[f"c{d}"]) - h)
+                    seen.append(h)
+                states[d] = np.array(seen if d == "f" else seen[::-1]).reshape(-1, H)
+            both = np.concatenate([states["f"], states["b"]], axis=1)
+            w = np.exp(both @ p["att"] - (both @ p["att"]).max(initial=-1e9))
+            pooled = (w / w.sum()) @ both if len(both) else np.zeros(2 * H)
+            best = max(best, pooled @ p["out"] + p["bias"][0])
+        out.append(best)
+    return np.array(out)
+
+
+def test_toxicity_network_is_as_defined():
+    texts = [t or "" for _, t in corpus(40)] + ["", "one", " ".join(f"w{i % 9}" for i in range(33)), " ".join(f"w{i % 7}" for i in range(81))]
+    found = np.unique(toxicity.words(*toxicity.text_bytes(pa.array(texts)), lower=True).hash)[::2]
+    model = {"vocabulary": found, "params": toxicity.init(len(found)), "scale": 1.0, "shift": 0.0}
+    r = np.random.default_rng(3)
+    model["params"] = {k: v + r.standard_normal(v.shape).astype(np.float32) * np.float32(0.2) for k, v in model["params"].items()}
+    model["params"]["word"][0] = 0
+    got = toxicity.score_texts(pa.array(texts), model)
+    want = 1 / (1 + np.exp(-plain_logits(texts, model)))
+    assert np.abs(got - want).max() < 2e-4
+
+
+def test_toxicity_gradients():
+    texts = ["a bad word here", "quite plain text", "w " * 20, "bad"]
+    column = pa.array(texts)
+    found = np.unique(toxicity.words(*toxicity.text_bytes(column), lower=True).hash)
+    batch = toxicity.Batch(column, found)
+    r = np.random.default_rng(5)
+    p = {k: v.astype(np.float64) + r.standard_normal(v.shape) * 0.2 for k, v in toxicity.init(len(found)).items()}
+    p["word"][0] = 0
+    y, weight, some = np.array([1.0, 0.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5, 1.0]), np.arange(4)
+
+    def loss(p):
+        _, logit = toxicity._gradients(batch, some, y, weight, p)
+        return float((weight * (np.log1p(np.exp(-np.abs(logit))) + np.maximum(logit, 0) - y * logit)).sum() / weight.sum())
+
+    g, _ = toxicity._gradients(batch, some, y, weight, p)
+    for k in p:
+        flat = np.flatnonzero(np.abs(g[k]) > 1e-5)
+        for i in r.choice(flat, min(6, len(flat)), replace=False).tolist():
+            up, down = ({**p, k: p[k].copy()} for _ in range(2))
+            up[k].flat[i] += 1e-3
+            down[k].flat[i] -= 1e-3
+            assert abs((loss(up) - loss(down)) / 2e-3 - g[k].flat[i]) < 2e-3 * max(1, abs(g[k].flat[i])) + 1e-4, (k, i)
+
+
 def test_toxicity_learns_and_scores_all_windows(spark):
     r = random.Random(6)
     prose = lambda k: [r.choice(WORDS) + str(r.randrange(40)) for _ in range(k)]

@@ -21,7 +21,7 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    read = warc.archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), min_bytes=0)
+    read = warc.archive(_table(spark, sf_dir, "pages").select("page_id", "url", "html"), payload="digest", min_bytes=0)
     page = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
     return read.select(page("record_id").alias("page_id"), F.col("payload_length").alias("payload_bytes"), F.coalesce("payload_digest", "header_digest").alias("payload_digest"), "record_type", page("refers_to").alias("refers_to"))
 

@@ -29,6 +29,9 @@ from veilmark.scratch import checkpoint_dir, cut
 
 SCHEMA = "record_id string, record_type string, target_uri string, date string, refers_to string, header_digest string, payload_length long, payload_digest string, payload binary, headers map<string,string>"
 _HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "refers_to": "warc-refers-to"}
+_ARROW = pa.schema([*((n, pa.string()) for n in ("record_id", "record_type", "target_uri", "date", "refers_to", "header_digest")), ("payload_length", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("headers", pa.map_(pa.string(), pa.string()))])
+#: Bytes of records that go on together.
+BATCH_BYTES = 4 << 20
 _REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -124,6 +127,10 @@ class _Member:
         return self.file.tell() - len(self.z.unused_data)
 
 
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _ARROW)], schema=_ARROW)
+
+
 class _Files(InputPartition):
     def __init__(self, paths: list[str]):
         self.paths = paths
@@ -132,8 +139,11 @@ class _Files(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"]
-        self.payloads = options.get("payload", "true").lower() == "true"
+        self.payload = options.get("payload", "true").lower()
+        if self.payload not in ("true", "digest", "false"):
+            raise ValueError(f"payload must be true, digest or false, not {self.payload}")
         self.target = int(options.get("maxPartitionBytes", 64 << 20))
+        self.least = int(options.get("minPartitions", 1))
         self.wanted: list[tuple[str, frozenset]] = []
 
     def pushFilters(self, filters: list[Filter]):
@@ -151,18 +161,21 @@ class _Reader(DataSourceReader):
         if manifests:
             listed = {f"{root.rstrip('/')}/{n}" for m in manifests for n in json.loads(where.open_input_stream(m).read())}
             found = {p: s for p, s in found.items() if p in listed}
+        target = min(self.target, -(-sum(found.values()) // max(1, self.least)))
         out: list[InputPartition] = []
         group, size = [], 0
         for p, s in sorted(found.items()):
-            if group and size + s > self.target:
+            if group and size + s > target:
                 out.append(_Files(group))
                 group, size = [], 0
             group.append(p)
             size += s
         return [*out, _Files(group)] if group or not out else out
 
-    def read(self, partition: _Files) -> Iterator[tuple]:
+    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
         where, _ = _open(self.root)
+        rows: list[tuple] = []
+        held = 0
         for path in partition.paths:
             total, at = where.get_file_info(path).size, 0
             with where.open_input_file(path) as file:
@@ -171,21 +184,28 @@ class _Reader(DataSourceReader):
                     head, rest = m.header()
                     size = int(head.get("content-length", 0))
                     if all(head.get(name) in values for name, values in self.wanted):
-                        yield self.row(m, head, rest, size)
+                        rows.append(self.row(m, head, rest, size))
+                        held += len(rows[-1][8] or b"") + 512
+                        if held > BATCH_BYTES:
+                            yield _batch(rows)
+                            rows, held = [], 0
                     at = m.next_at(size)
+        if rows:
+            yield _batch(rows)
 
     def row(self, m: _Member, head: dict, rest: bytes, size: int) -> tuple:
         length = payload = computed = None
         http = head.get("content-type", "").startswith("application/http")
-        if self.payloads or (http and head.get("warc-type") == "revisit"):
+        if self.payload != "false" or (http and head.get("warc-type") == "revisit"):
             block = m.block(rest, size)
             top, _, body = block.partition(b"\r\n\r\n") if http else (b"", b"", block)
             if head.get("warc-type") == "revisit":
                 found = re.search(rb"(?i)^content-length:\s*(\d+)", top, re.M)
                 length = int(found[1]) if found else None
-            elif self.payloads:
-                payload, length, computed = body, len(body), digest(body)
-        return (head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-refers-to"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None, length, computed, payload, head)
+            elif self.payload != "false":
+                length, computed = len(body), digest(body)
+                payload = body if self.payload == "true" else None
+        return (head.get("warc-record-id"), head.get("warc-type"), head.get("warc-target-uri"), head.get("warc-date"), head.get("warc-refers-to"), head.get("warc-payload-digest", "").removeprefix("sha1:") or None, length, computed, payload, list(head.items()))
 
 
 class _Wrote(WriterCommitMessage):
@@ -232,7 +252,8 @@ class _Writer(DataSourceArrowWriter):
 
 
 class WarcDataSource(DataSource):
-    """Options: path, payload ("false": payloads are not inflated), maxPartitionBytes, rollBytes, level."""
+    """Options: path, payload ("digest": inflated for length and digest but not returned; "false": not inflated),
+    maxPartitionBytes, minPartitions (as many if there are files enough), rollBytes, level."""
 
     @classmethod
     def name(cls) -> str:
@@ -276,16 +297,20 @@ def write_pages(pages: DataFrame, path: str, min_bytes: int = 0, date: str = "20
     ).write.format("warc").mode("append").save(path)
 
 
-def read_records(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
-    """All records below ``path``; filters on record_type, record_id, target_uri, date and refers_to are answered from headers."""
+def read_records(spark: SparkSession, path: str, payload: bool | str = True) -> DataFrame:
+    """All records below ``path``; filters on record_type, record_id, target_uri, date and refers_to are answered from headers.
+
+    ``payload``: True, False (not inflated, so no length or digest of responses) or "digest" (both, without the payload)."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    return spark.read.format("warc").option("payload", str(payload).lower()).option("minPartitions", spark.sparkContext.defaultParallelism).load(path)
+
 
+def archive(pages: DataFrame, path: str | None = None, payload: bool | str = True, **how) -> DataFrame:
+    """Writes ``pages`` below ``path`` (default: a new folder in the shared checkpoint folder) and reads them back.
 
-def archive(pages: DataFrame, path: str | None = None, **how) -> DataFrame:
-    """Writes ``pages`` below ``path`` (default: a new folder in the shared checkpoint folder) and reads them back."""
+    The archives stay where they are: what is returned reads them when it is used, and they are the caller's to delete."""
     spark = pages.sparkSession
     register(spark)
     path = path or f"{checkpoint_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     write_pages(pages, path, **how)
-    return read_records(spark, path)
+    return read_records(spark, path, payload)
