@@ -58,9 +58,11 @@ def dedup_stats(flagged: DataFrame) -> DataFrame:
     return flagged.agg(n.alias("input"), (n - removed).alias("unique_rows"), removed.alias("removed"), F.when(n > 0, removed / n).otherwise(0.0).alias("ratio"))
 
 
-def cap_per_group(df: DataFrame, group: str, order: list[Column], n: int) -> DataFrame:
-    """The first n rows of each group."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(group).orderBy(*order))).where(F.col("_r") <= n).drop("_r")
+def cap_per_group(df: DataFrame, group: str | list[str], order: list[Column], n: int, place: str | None = None) -> DataFrame:
+    """The first n rows of each group, with their place if a column for it is named; partitions send on n rows of each at most."""
+    by = [group] if isinstance(group, str) else group
+    rows = df.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("_r") <= n)
+    return rows.withColumnRenamed("_r", place) if place else rows.drop("_r")
 
 
 def hash_sample(df: DataFrame, n: int, seed: str, id_col: str, by: str | None = None) -> DataFrame:
@@ -282,9 +284,29 @@ def quota_split(df: DataFrame, source: str, group: str, ratios: dict[str, int],
     return df.join(placed.join(F.broadcast(ranges), on).select(group, "split").hint("merge"), group)
 
 
-def reference_set(df: DataFrame, strata: list[str], id_col: str, total: int, seed: str) -> DataFrame:
-    """Up to total / strata rows of each stratum by digest; of each three, two are for calibration and one for evaluation."""
-    n = df.select(*strata).distinct().count()
-    w = Window.partitionBy(*strata).orderBy(F.sha2(F.concat_ws("|", F.lit(seed), F.col(id_col).cast("string")), 256), id_col)
-    ranked = df.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max(1, total // max(1, n)))
-    return ranked.withColumn("part", F.when(F.col("_r") % 3 == 0, "evaluation").otherwise("calibration")).drop("_r")
+def reference_set(df: DataFrame, domain: str, strata: list[str], id_col: str, quota: int, seed: str, share: float = 2 / 3, tags: dict[str, Column] | None = None) -> DataFrame:
+    """(…, part, priority): a sample of each domain for people to look at, spread over its strata, for calibration and evaluation.
+
+    Each stratum gives up to its even part of the domain's ``quota``, one at least, the first by digest; of these ``share`` are
+    for calibration, one at least. What calibration and then evaluation still miss of the quota comes from the domain's other
+    rows by digest. ``priority`` lists the names of ``tags`` that hold. Ids are distinct."""
+    keyed = df.withColumn("_digest", seeded_digest(seed, id_col))
+    counts = cut(keyed.groupBy(domain, *strata).agg(F.count(F.lit(1)).alias("_n")))
+    #: one row a domain
+    even = counts.groupBy(domain).agg(F.greatest(F.lit(1), F.floor(F.lit(quota) / F.count(F.lit(1)))).cast("int").alias("_even"))
+    by = [domain, *strata]
+    first = cap_per_group(keyed, by, [F.col("_digest"), F.col(id_col)], quota, "_place")
+    first = first.join(_sized(even.withColumnRenamed(domain, "_d")), F.col(domain).eqNullSafe(F.col("_d"))).where(F.col("_place") <= F.col("_even")).drop("_d")
+    #: at most the quota's worth of rows of each stratum from here on
+    sizes = Window.partitionBy(*by)
+    part = F.when(F.col("_place") <= F.greatest(F.lit(1), F.floor(F.count(F.lit(1)).over(sizes) * share + 1e-9)), "calibration").otherwise("evaluation")
+    first = cut(first.withColumn("part", part).drop("_place", "_even"))
+    got = first.groupBy(domain).agg(F.count_if(F.col("part") == "calibration").alias("_c"), F.count_if(F.col("part") == "evaluation").alias("_e"))
+    rest = keyed.join(first.select(F.col(id_col).alias("_taken")).hint("merge"), F.col(id_col) == F.col("_taken"), "left_anti")
+    rest = cap_per_group(rest, [domain], [F.col("_digest"), F.col(id_col)], quota, "_place")
+    rest = rest.join(_sized(got.withColumnRenamed(domain, "_d")), F.col(domain).eqNullSafe(F.col("_d"))).drop("_d")
+    miss_c = F.greatest(F.lit(0), F.floor(F.lit(quota * share + 1e-9)) - F.col("_c"))
+    miss_e = F.greatest(F.lit(0), quota - (F.col("_c") + miss_c) - F.col("_e"))
+    more = F.when(F.col("_place") <= miss_c, "calibration").when(F.col("_place") <= miss_c + miss_e, "evaluation")
+    rows = first.unionByName(rest.withColumn("part", more).where("part is not null").drop("_place", "_c", "_e")).drop("_digest")
+    return rows.withColumn("priority", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in (tags or {}).items()]).cast("array<string>")))

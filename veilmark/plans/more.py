@@ -11,7 +11,7 @@ from veilmark.plans.data import _SPLIT, docs, split
 from veilmark.plans.fixtures import CL, em_cte, records, table, tq, votes_cte
 from veilmark.plans.labels import _votes
 from veilmark.plans.registry import query
-from veilmark.plans.scores import _OK, _POL, policies, risks
+from veilmark.plans.scores import _OK, _POL, _heads, policies, risks, temperature_sql
 
 _GROUPS = "gg AS (SELECT source || (doc_id // 7)::VARCHAR AS g, count(*) AS n FROM documents GROUP BY 1), go AS (SELECT g, n, row_number() OVER (ORDER BY sha256(concat_ws('|', 'w1', g)), g) AS i FROM gg), gt AS (SELECT i, CASE WHEN n <= 100 THEN n ELSE 0 END AS s, n <= 100 AS taken FROM go WHERE i = 1 UNION ALL SELECT go.i, CASE WHEN gt.s + go.n <= 100 THEN gt.s + go.n ELSE gt.s END, gt.s + go.n <= 100 FROM gt JOIN go ON go.i = gt.i + 1)"
 
@@ -41,9 +41,21 @@ def f07(spark, sf):
     return got.groupBy("source", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("f14_reference_set", "WITH r AS (SELECT doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY sha256(concat_ws('|', 'r1', doc_id::VARCHAR)), doc_id) AS r FROM documents) SELECT doc_id, CASE WHEN r % 3 = 0 THEN 'evaluation' ELSE 'calibration' END AS part FROM r WHERE r <= greatest(1, 300 // (SELECT count(*) FROM (SELECT DISTINCT lang, source FROM documents)))")
+@query("f14_reference_set", """WITH k AS (SELECT doc_id, source, lang, n_chars > 3000 AS long, sha256(concat_ws('|', 'r1', doc_id::VARCHAR)) AS d FROM documents),
+v AS (SELECT source, greatest(1, 30 // count(*)) AS even FROM (SELECT DISTINCT source, lang, long FROM k) GROUP BY source),
+p AS (SELECT k.*, row_number() OVER (PARTITION BY source, lang, long ORDER BY d, doc_id) AS place FROM k),
+f AS (SELECT p.*, count(*) OVER (PARTITION BY p.source, lang, long) AS n FROM p JOIN v ON v.source IS NOT DISTINCT FROM p.source WHERE place <= even),
+s AS (SELECT doc_id, source, long, CASE WHEN place <= greatest(1, floor(n * 2 / 3 + 1e-9)) THEN 'calibration' ELSE 'evaluation' END AS part FROM f),
+g AS (SELECT source, count(*) FILTER (WHERE part = 'calibration') AS c, count(*) FILTER (WHERE part = 'evaluation') AS e FROM s GROUP BY source),
+m AS (SELECT source, c, e, greatest(0, 20 - c) AS mc FROM g), m2 AS (SELECT *, greatest(0, 30 - (c + mc) - e) AS me FROM m),
+r AS (SELECT k.doc_id, k.source, k.long, row_number() OVER (PARTITION BY k.source ORDER BY d, k.doc_id) AS place FROM k WHERE doc_id NOT IN (SELECT doc_id FROM s)),
+t AS (SELECT r.doc_id, r.long, CASE WHEN place <= mc THEN 'calibration' WHEN place <= mc + me THEN 'evaluation' END AS part FROM r JOIN m2 ON m2.source IS NOT DISTINCT FROM r.source),
+u AS (SELECT doc_id, long, part FROM s UNION ALL SELECT doc_id, long, part FROM t WHERE part IS NOT NULL)
+SELECT doc_id, part, concat_ws(',', CASE WHEN long THEN 'long' END, CASE WHEN doc_id % 2 = 0 THEN 'even' END) AS priority FROM u""")
 def f14(spark, sf):
-    return corpus.reference_set(docs(spark, sf), ["lang", "source"], "doc_id", 300, "r1").select("doc_id", "part")
+    d = docs(spark, sf).select("doc_id", "source", "lang", (F.col("n_chars") > 3000).alias("long"))
+    got = corpus.reference_set(d, "source", ["lang", "long"], "doc_id", 30, "r1", tags={"long": F.col("long"), "even": F.col("doc_id") % 2 == 0})
+    return got.select("doc_id", "part", F.array_join("priority", ",").alias("priority"))
 
 
 @query("d01_label_tables", "WITH " + votes_cte("sensitivity") + ", a AS (SELECT record_id FROM vt WHERE v0 >= 0), b AS (SELECT record_id FROM vt WHERE v6 < 0) SELECT tq.record_id FROM tq JOIN a USING (record_id) JOIN b USING (record_id)")
@@ -272,14 +284,13 @@ def i07(spark, sf):
     return spark.createDataFrame([(k,) for k in kinds], "attack string").join(n, "attack", "left").fillna(0)
 
 
-@query("i17_temperature_by_head")
+@query("i17_temperature_by_head", f"WITH {temperature_sql({'first': 0, 'second': 10})} SELECT head, round(exp(t), 2) AS temperature, round(nll, 6) AS nll, round((SELECT avg(ln(list_sum(list_transform(l, lambda x: exp(x - top)))) + top - y) FROM hy WHERE hy.head = b2.head), 6) AS nll_before FROM b2")
 def i17(spark, sf):
-    e = table(spark, sf, "embeddings")
     out = None
-    for name, lo in (("first", 1), ("second", 11)):
-        z = e.select("label", F.transform(F.slice("embedding", lo, 10), lambda x: x.cast("double") * 8).alias("z"))
-        t = metrics.fit_temperature(z, "z", "label")
-        d = metrics.token_scores(z.withColumn("p", P.softmax(F.col("z"), t)), "p", "label").select(F.lit(name).alias("head"), F.lit(round(t, 4)).alias("temperature"), F.round("nll", 6).alias("nll"))
+    for name, z in _heads(spark, sf, {"first": 0, "second": 10}):
+        t = metrics.fit_temperature(z, "z", "y")
+        scored = lambda t, c: metrics.token_scores(z.withColumn("p", P.softmax(F.col("z"), t)), "p", "y").select(F.round("nll", 6).alias(c))  # noqa: B023, E731
+        d = scored(t, "nll").crossJoin(scored(1.0, "nll_before")).select(F.lit(name).alias("head"), F.lit(round(t, 2)).alias("temperature"), "nll", "nll_before")
         out = d if out is None else out.unionByName(d)
     return out
 

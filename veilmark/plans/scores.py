@@ -150,11 +150,31 @@ def i15(spark, sf):
     return M.log_mixture_nll(d, ["vec_id"], "p").select(F.round("nll", 7).alias("nll"))
 
 
-@query("i16_temperature")
+def temperature_sql(heads: dict[str, int]) -> str:
+    """The temperature of each head (its name and how many numbers lie before its ten logits) on ever finer grids of its logarithm."""
+    z = lambda lo: "[" + ", ".join(f"8 * embedding[{lo + i + 1}]::DOUBLE" for i in range(10)) + "]"
+    out = ["hd AS (" + " UNION ALL ".join(f"SELECT '{n}' AS head, vec_id, label, {z(lo)} AS l FROM embeddings" for n, lo in heads.items()) + ")"]
+    out.append("hy AS (SELECT head, l, list_max(l) AS top, l[1 + CASE WHEN vec_id % 3 = 0 THEN label ELSE list_position(l, list_max(l)) - 1 END] AS y FROM hd)")
+    at = "SELECT head, -3 + i * 0.05::DOUBLE AS t FROM (SELECT DISTINCT head FROM hd), generate_series(0, 120) AS g(i)"
+    for k, step in enumerate((0.002, 0.00008, None)):
+        out.append(f"n{k} AS (SELECT head, t, avg((top - y) / exp(t) + ln(list_sum(list_transform(l, lambda x: exp((x - top) / exp(t)))))) AS nll FROM hy JOIN ({at}) USING (head) GROUP BY head, t)")
+        out.append(f"b{k} AS (SELECT head, arg_min(t, nll) AS t, min(nll) AS nll FROM n{k} GROUP BY head)")
+        at = f"SELECT head, t + (i - 50) * {step}::DOUBLE AS t FROM b{k}, generate_series(0, 100) AS g(i)"
+    return ", ".join(out)
+
+
+def _heads(spark, sf, heads):
+    """Logits and truths: of every third vector its label, else the largest logit."""
+    for name, lo in heads.items():
+        z = table(spark, sf, "embeddings").select("vec_id", "label", F.transform(F.slice("embedding", lo + 1, 10), lambda x: x.cast("double") * 8).alias("z"))
+        yield name, z.withColumn("y", F.when(F.col("vec_id") % 3 == 0, F.col("label")).otherwise(P.argmax(F.col("z"))))
+
+
+@query("i16_temperature", f"WITH {temperature_sql({'only': 0})} SELECT round(exp(t), 2) AS temperature, round(nll, 6) AS nll, (SELECT count(*) FROM embeddings) AS n FROM b2")
 def i16(spark, sf):
-    p = probs(spark, sf)
-    t = M.fit_temperature(p, "logits", "label")
-    return p.agg(F.round(F.lit(t), 4).alias("temperature"), F.count(F.lit(1)).alias("n"))
+    _, z = next(_heads(spark, sf, {"only": 0}))
+    t = M.fit_temperature(z, "z", "y")
+    return M.token_scores(z.withColumn("p", P.softmax(F.col("z"), t)), "p", "y").select(F.lit(round(t, 2)).alias("temperature"), F.round("nll", 6).alias("nll"), "n")
 
 
 @query("i19_composite_uncertainty", f"WITH {_P10} SELECT vec_id, round((-list_sum(list_transform(p, lambda x: greatest(x, 1e-12) * ln(greatest(x, 1e-12)))) / ln(10) + (1 - conf)) / 2, 7) AS composite FROM bs")
