@@ -29,6 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from veilmark.llm.hashing import slices
+from veilmark.llm.worker import claim
 
 _ROOT = 0
 _NEVER = 1 << 62
@@ -315,11 +316,18 @@ def _decoder(path: str) -> StreamDecoder:
     return StreamDecoder({r: t for t, r in load_ranks(path).items()})
 
 
+def _forget() -> None:
+    _encoder.cache_clear()
+    _decoder.cache_clear()
+    gc.unfreeze()
+
+
 def _mapped(df: DataFrame, work, column: str, kind: str, by: str) -> DataFrame:
     """``df`` with ``column`` added (or replaced) by ``work`` of slices of a batch, cut by the size of column ``by``."""
     cols = [c for c in df.columns if c != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _forget)
         for whole in batches:
             for b in slices(whole, by):
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), work(b)], names=[*cols, column])
@@ -367,6 +375,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text",
     cols = [c for c in docs.columns if c != text_col and c not in own]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("bpe", _forget)
         encoder, machine = _encoder(path, pattern), _decoder(path)
         digest = lambda data: hashlib.sha256(data).hexdigest()
         for whole in batches:

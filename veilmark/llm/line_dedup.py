@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilmark.llm.worker import claim
 from veilmark.scratch import cut
 
 _BLANK = " \t\n\x0b\x0c\r"
@@ -89,6 +90,7 @@ def _stream(min_docs: int, keep_first: bool):
     schema = pa.schema([("kind", pa.int32()), ("doc", pa.int64()), ("same", pa.int64()), ("pos", pa.int32()), ("h", pa.binary()), ("n", pa.int64()), ("part", pa.int32()), ("first", pa.bool_())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
         runs = _Runs(min_docs, keep_first)
 
         def flush() -> pa.RecordBatch:
@@ -151,6 +153,7 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", t
     cols = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
 
     def cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("lines")
         for batch in batches:
             text, keep = batch.column(text_col), batch.column("_keep")
             n = np.asarray(pc.fill_null(pc.add(pc.count_substring(text, "\n"), 1), 1), np.int64)

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm.hashing import mix, ngram_hashes, slices, text_bytes, words
+from veilmark.llm.worker import claim
 from veilmark.operators.components import connected_components
 from veilmark.operators.skew import join_counted
 from veilmark.scratch import cut
@@ -114,6 +115,7 @@ class Similarity:
 
 def _profile(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams")
         run_sets: list[np.ndarray] = []
 
         def counted() -> pa.RecordBatch:
@@ -145,6 +147,7 @@ def _entries(n: int, sim: Similarity, marks, buckets: int):
     shift = np.uint64(64 - int(math.log2(buckets))) if buckets > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams")
         marked = np.frombuffer(marks.value, np.uint8)
         first: dict[tuple, tuple[int, int]] = {}  # of each marked number and band met, the entry that stands for the task's others
 
@@ -242,6 +245,7 @@ def _candidates(sim: Similarity):
         return pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(both[:, 0]), pa.array(both[:, 1])], names=["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams")
         bucket, blobs = None, []
         for b in batches:
             for w, k, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "n", "blob"))):
@@ -268,6 +272,7 @@ def _within_bound(sim: Similarity):
 
 def _arrays(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("ngrams")
         for whole in batches:
             for b in slices(whole, "text"):
                 yield pa.RecordBatch.from_arrays([b.column("doc"), b.column("units"), pa.array([s.tobytes() for s in sets_of(b.column("text"), n)], pa.binary())], names=["doc", "units", "numbers"])

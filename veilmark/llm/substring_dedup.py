@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm.hashing import Words, ngram_hashes, slices, text_bytes, words
+from veilmark.llm.worker import claim
 
 WINDOW, PHRASE = 35, 8
 #: Bytes of text that share an automaton, and that are counted together before entries are sent on.
@@ -101,6 +102,7 @@ class Kind:
             return left, out
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("repeats")
             bucket, held, size = None, [], 0
             for b in batches:
                 for w, k, blob in zip(*(b.column(c).to_pylist() for c in ("bucket", "n", "blob"))):
@@ -151,6 +153,7 @@ def picks(w: Words, window: int, phrase: int) -> tuple[np.ndarray, np.ndarray, n
 
 def _phrases(window: int, phrase: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("repeats")
         hashes, shards, size = [], [], 0
         for whole in batches:
             for b in slices(whole, "text"):

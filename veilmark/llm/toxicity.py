@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilmark.llm.hashing import LOWER, slices, text_bytes, words
+from veilmark.llm.worker import claim
 
 #: Labelled rows of each class to learn from.
 SAMPLE = 1000
@@ -326,6 +327,7 @@ def score(docs: DataFrame, model: dict, text_col: str = "text", score_col: str =
     cols = [c for c in docs.columns if c != score_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         for whole in batches:
             for b in slices(whole, text_col):
                 yield pa.RecordBatch.from_arrays([*(b.column(c) for c in cols), pa.array(score_texts(b.column(text_col), shared.value), pa.float64())], names=[*cols, score_col])
