@@ -21,13 +21,13 @@ RATIOS = {"train": 0.7, "validation": 0.1, "calibration": 0.1, "test": 0.1}
 
 
 def tagged(spark, sf):
-    """Documents in groups of seven by source, tagged with their language and whether they are long."""
+    """Documents in groups of four ids side by side, tagged with their language and whether they are long."""
     d = docs(spark, sf).select("doc_id", "source", "lang", "n_chars")
     tags = F.array_compact(F.array(F.concat(F.lit("lang_"), "lang"), F.when(F.col("n_chars") > 4000, "long"), F.when(F.col("n_chars") > 40000, "very_long")))
-    return d.select("doc_id", F.concat_ws(":", "source", F.floor(F.col("doc_id") / 7).cast("string")).alias("g"), F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(tags).alias("tags"))
+    return d.select("doc_id", F.floor(F.col("doc_id") / 4).cast("string").alias("g"), F.when(F.col("doc_id") % 5 == 0, F.array().cast("array<string>")).otherwise(tags).alias("tags"))
 
 
-_TAGS = """tg AS (SELECT concat_ws(':', source, (doc_id // 7)::VARCHAR) AS g, doc_id % 5 = 0 AS bare, lang, n_chars FROM documents),
+_TAGS = """tg AS (SELECT (doc_id // 4)::VARCHAR AS g, doc_id % 5 = 0 AS bare, lang, n_chars FROM documents),
 tt AS (SELECT g, 'lang_' || lang AS tag FROM tg WHERE NOT bare UNION SELECT g, 'long' FROM tg WHERE NOT bare AND n_chars > 4000 UNION SELECT g, 'very_long' FROM tg WHERE NOT bare AND n_chars > 40000
   UNION SELECT g, CASE WHEN bare THEN '__negative__' ELSE '__positive__' END FROM tg WHERE bare OR lang IS NOT NULL OR n_chars > 4000)"""
 

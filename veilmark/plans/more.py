@@ -271,8 +271,7 @@ def b33(spark, sf):
 _ATT = "[a-zA-Z0-9._%+-]+@[a-zA-Z0-9.-]+\\.[a-zA-Z]{2,}"
 
 
-#: the SQL takes the first address of a document only; the query takes all
-@query("i07_attack_robustness", f"WITH m AS (SELECT doc_id, regexp_extract(text, '{_ATT}', 0) AS v FROM documents WHERE regexp_matches(text, '{_ATT}')), a AS (SELECT 'email_obfuscation' AS attack, replace(replace(v, '@', ' [at] '), '.', ' [dot] ') AS w, v FROM m UNION ALL SELECT 'character_substitution', translate(v, 'aeo', 'аео'), v FROM m) SELECT attack, count(*) FILTER (WHERE w <> v) AS changed, count(*) FILTER (WHERE w <> v AND NOT regexp_full_match(w, '{_ATT}')) AS missed FROM a GROUP BY attack")
+@query("i07_attack_robustness", f"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_ATT}')) AS v FROM documents), a AS (SELECT 'email_obfuscation' AS attack, replace(replace(v, '@', ' [at] '), '.', ' [dot] ') AS w, v FROM m UNION ALL SELECT 'character_substitution', translate(v, 'aeo', 'аео'), v FROM m) SELECT attack, count(*) FILTER (WHERE w <> v) AS changed, count(*) FILTER (WHERE w <> v AND NOT regexp_full_match(w, '{_ATT}')) AS missed FROM a GROUP BY attack")
 def i07(spark, sf):
     d = docs(spark, sf).where(F.col("text").rlike(_ATT)).select("doc_id", "text", spans.pattern_spans(F.col("text"), _ATT, "EMAIL").alias("spans"))
     kinds = ("email_obfuscation", "character_substitution")

@@ -167,8 +167,7 @@ def addressed(spark, sf):
     return d.select("doc_id", "text", S.pattern_spans(F.col("text"), _MAIL, "EMAIL").alias("spans"))
 
 
-#: the SQL takes the first address of a document only; the query takes all
-@query("b27_email_attack", f"WITH m AS (SELECT doc_id, regexp_extract(text, '{_MAIL}', 0) AS v FROM documents WHERE regexp_matches(text, '{_MAIL}')) SELECT doc_id, replace(replace(v, '@', ' [at] '), '.', ' [dot] ') AS obfuscated, length(replace(replace(v, '@', ' [at] '), '.', ' [dot] ')) - length(v) AS grown FROM m")
+@query("b27_email_attack", f"WITH m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{_MAIL}')) AS v FROM documents) SELECT doc_id, replace(replace(v, '@', ' [at] '), '.', ' [dot] ') AS obfuscated, length(replace(replace(v, '@', ' [at] '), '.', ' [dot] ')) - length(v) AS grown FROM m")
 def b27(spark, sf):
     r = S.attack_records(addressed(spark, sf), "doc_id", "text", "spans", ["email_obfuscation"])
     x = r.select("parent_id", "text", F.explode(F.arrays_zip("spans", "parent_spans")).alias("x"))
