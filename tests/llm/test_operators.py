@@ -363,6 +363,16 @@ def test_decoder_keeps_unfinished_characters():
     d = bpe.StreamDecoder({0: b"a\xc3", 1: b"\xa9b", 2: b"\xff", 3: b"\xf0\x9f"})
     assert d.feed([0]) == b"a" and d.feed([1]) == b"\xc3\xa9b" and d.feed([2]) == b"\xff"
     assert d.feed([3]) == b"" and d.flush() == b"\xf0\x9f"
+    pieces = [b"\xe2", b"\x82", b"\xac", b"a", b"\x80", b"\xe0\x80", b"\xf4\x90", b"\xc2", b"\xf0\x9f\x99\x82", b"\xed\xa0", b"\xf3\xa0\x80"]
+    r = random.Random(3)
+    for _ in range(300):
+        ids = [r.randrange(len(pieces)) for _ in range(r.randrange(1, 12))]
+        d, seen, pending = bpe.StreamDecoder(dict(enumerate(pieces))), b"", b""
+        for i in range(0, len(ids), 2):
+            whole, pending = bpe.complete(pending, b"".join(pieces[k] for k in ids[i : i + 2]))
+            assert d.feed(ids[i : i + 2]) == whole and d.pending == pending
+            seen += whole
+        assert seen + d.flush() == b"".join(pieces[k] for k in ids)
 
 
 def plain_logits(texts, model):

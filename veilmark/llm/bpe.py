@@ -259,6 +259,8 @@ class Encoder:
 #: of a lead byte: how many bytes follow, and the bounds of the first of them
 _LEADS = {**{b: (1, 0x80, 0xBF) for b in range(0xC2, 0xE0)}, **{b: (2, 0x80, 0xBF) for b in range(0xE1, 0xF0)}, **{b: (3, 0x80, 0xBF) for b in range(0xF1, 0xF4)}}
 _LEADS |= {0xE0: (2, 0xA0, 0xBF), 0xED: (2, 0x80, 0x9F), 0xF0: (3, 0x90, 0xBF), 0xF4: (3, 0x80, 0x8F)}
+#: bytes that go on with a character
+_FOLLOWS = range(0x80, 0xC0)
 
 
 def complete(pending: bytes, more: bytes) -> tuple[bytes, bytes]:
@@ -278,25 +280,19 @@ def complete(pending: bytes, more: bytes) -> tuple[bytes, bytes]:
 
 
 class StreamDecoder:
-    """Feeds on ids and gives bytes that never end inside a character, but for what ``flush`` gives."""
+    """Feeds on ids and gives bytes that never end inside a character, but for what ``flush`` gives.
+
+    Whatever comes before the last lead byte is certain, so the machine runs on what follows it alone."""
 
     def __init__(self, bytes_of: dict[int, bytes]):
-        self.fresh = {t: complete(b"", data) for t, data in bytes_of.items()}
-        self.bytes_of, self.steps = bytes_of, {}
+        self.bytes_of = bytes_of
         self.pending = b""
 
     def feed(self, ids: Iterable[int]) -> bytes:
-        fresh, steps, pending, out = self.fresh, self.steps, self.pending, []
-        for t in ids:
-            if pending:
-                if (to := steps.get((pending, t))) is None:
-                    to = steps[pending, t] = complete(pending, self.bytes_of[t])
-                whole, pending = to
-            else:
-                whole, pending = fresh[t]
-            out.append(whole)
-        self.pending = pending
-        return b"".join(out)
+        data = self.pending + b"".join(map(self.bytes_of.__getitem__, ids))
+        at = next((len(data) - k for k in (1, 2, 3) if k <= len(data) and data[-k] not in _FOLLOWS), len(data))
+        whole, self.pending = complete(b"", data[at:])
+        return data[:at] + whole if self.pending else data
 
     def flush(self) -> bytes:
         rest, self.pending = self.pending, b""
