@@ -80,6 +80,11 @@ class Forest:
                     below |= {2 * node: rows[x < m], 2 * node + 1: rows[x >= m]}
                 at = below
 
+    @staticmethod
+    def number(tree: int, node: int) -> int:
+        """A leaf's number."""
+        return node | tree << _PATH
+
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) of every leaf that a row falls into, by row."""
         rows, found = [], []

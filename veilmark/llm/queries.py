@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, sharding, substring_dedup, toxicity, warc
+from veilmark.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, nearest_vectors, ngram_join, sharding, substring_dedup, toxicity, warc
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -65,9 +65,13 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_sharding, op4_exact_dedup, op5_mixing, op6_toxicity, op7_bpe, op8_ngram_join, op9_embedding_dedup, op10_substring_dedup)}
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return nearest_vectors.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
+
 
+def queries() -> dict:
+    return {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_sharding, op4_exact_dedup, op5_mixing, op6_toxicity, op7_bpe, op8_ngram_join, op9_embedding_dedup, op10_substring_dedup, op13_nearest_vectors)}
 
 
 SQL = {
@@ -128,6 +132,12 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT vec_id AS node, vec_id AS least FROM v UNION SELECT l.b, r.least FROM r JOIN l ON l.a = r.node WHERE r.least < l.b),
 c AS (SELECT node, min(least) AS component_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op13_nearest_vectors": r"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(c.x, c.x))) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5""",
     "op10_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM w, unnest(generate_series(1, len(w) - 34)) AS g(i)),
