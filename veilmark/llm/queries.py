@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, nearest_vectors, ngram_join, sharding, substring_dedup, toxicity, warc
+from veilmark.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, nearest_vectors, ngram_join, periodic_runs, sharding, substring_dedup, toxicity, warc
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -65,14 +65,42 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def repeat_tails(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) as op11's contract damages them: in one of ten texts the words from one on repeat a few before."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    split = docs.withColumn("_w", F.when(h % 10 == 0, words))
+    g, n = F.floor(h / 10), F.size("_w")
+    a = (g % n).cast("int")
+    p = (1 + F.floor((n - a) / (3 + g % 8))).cast("int")
+    unit = F.slice("_w", a + 1, p)
+    tail = F.slice(F.flatten(F.array_repeat(unit, F.ceil((n - a) / p).cast("int"))), F.lit(1), n - a)
+    return split.withColumn("text", F.when(n > 0, F.array_join(F.concat(F.slice("_w", F.lit(1), a), tail), " ")).otherwise(F.col("text"))).drop("_w")
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(repeat_tails(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    first = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("less"), r["start"].alias("start"), r["period"].alias("period"))))
+    longest = -first["less"]
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), first["start"].alias("start"), longest.alias("length"), first["period"].alias("period"),
+        F.floor(1000 * longest / first["period"]).alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest_vectors.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_sharding, op4_exact_dedup, op5_mixing, op6_toxicity, op7_bpe, op8_ngram_join, op9_embedding_dedup, op10_substring_dedup, op13_nearest_vectors)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_sharding, op4_exact_dedup, op5_mixing, op6_toxicity, op7_bpe, op8_ngram_join, op9_embedding_dedup, op10_substring_dedup, op11_periodic_runs, op13_nearest_vectors)}
 
+#: CRC-32 of the text ``{x}``: a table ``t`` made by its polynomial, then one step for each character.
+CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS t FROM (
+  SELECT i, list_reduce(list_prepend(i, generate_series(1, 8)), lambda v, k: xor(v >> 1, 3988292384 * (v & 1))) AS v FROM range(256) AS r(i)))"""
+CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({x}, ''), lambda c: ascii(c)::BIGINT)), lambda v, b: xor(v >> 8, t[(xor(v, b) & 255) + 1])), 4294967295)"
 
 SQL = {
     "op1_line_dedup": r"""
@@ -132,6 +160,24 @@ l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec
 r AS (SELECT vec_id AS node, vec_id AS least FROM v UNION SELECT l.b, r.least FROM r JOIN l ON l.a = r.node WHERE r.least < l.b),
 c AS (SELECT node, min(least) AS component_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id""",
+    "op11_periodic_runs": "WITH " + CRC_TABLE + r""",
+d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w, """ + CRC.format(x="doc_id::VARCHAR") + r""" AS h FROM documents, crc),
+a AS (SELECT *, (h // 10) % greatest(len(w), 1) AS a FROM d),
+p AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM a),
+w AS (SELECT doc_id, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN list_transform(generate_series(0, len(w) - 1), lambda i: w[CASE WHEN i < a THEN i + 1 ELSE a + (i - a) % p + 1 END]) ELSE w END AS w FROM p),
+g AS (SELECT doc_id, i, hash(w[i + 1], w[i + 2], w[i + 3], w[i + 4], w[i + 5]) AS g FROM w, unnest(generate_series(0, len(w) - 5)) AS s(i)),
+e AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM g x JOIN g y ON x.doc_id = y.doc_id AND x.g = y.g AND x.i < y.i),
+s AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM e),
+c AS (SELECT doc_id, q, min(i) AS start, count(*) + 4 + q AS length FROM s GROUP BY doc_id, q, island),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM c WHERE length >= greatest(6, 4 * q) GROUP BY doc_id, start, length),
+b AS (SELECT doc_id, count(*) AS n_runs, arg_min({'start': start, 'length': length, 'period': period}, (-length, start, period)) AS x,
+  sha256(string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period)) AS digest FROM r GROUP BY doc_id),
+o AS (SELECT doc_id, list(DISTINCT i) AS gone FROM r, unnest(generate_series(start + period, start + length - 1)) AS t(i) GROUP BY doc_id),
+k AS (SELECT w.doc_id, string_agg(w[i], ' ' ORDER BY i) AS kept FROM w LEFT JOIN o ON o.doc_id = w.doc_id, unnest(generate_series(1, len(w))) AS t(i)
+  WHERE gone IS NULL OR NOT list_contains(gone, i - 1) GROUP BY w.doc_id)
+SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, x.start::BIGINT AS start, x.length::BIGINT AS length, x.period::BIGINT AS period, (1000 * x.length // x.period)::BIGINT AS exponent_milli,
+  coalesce(digest, sha256('')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
+FROM w LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id""",
     "op13_nearest_vectors": r"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(c.x, c.x))) AS score
