@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilmark.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, nearest_vectors, ngram_join, periodic_runs, sharding, substring_dedup, toxicity, warc
+from veilmark.llm import bpe, conversation_repair, embedding_dedup, exact_dedup, line_dedup, mixing, nearest_vectors, ngram_join, periodic_runs, sharding, substring_dedup, toxicity, warc
 
 BPE_FILE = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
@@ -89,13 +89,26 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit("")), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
+def damage_turns(rows: DataFrame) -> tuple[DataFrame, Column]:
+    """Conversations as op12's contract damages them, and how often each row is there: 0, 1 or 2 times."""
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" "))
+    c = F.crc32(F.concat_ws(":", named("conv_id"), named("turn")).cast("binary")) % 20
+    text = F.when(c == 1, "").when(c == 2, F.regexp_replace(named("text"), "[.!?]", "")).otherwise(named("text"))
+    rows = rows.select("conv_id", "turn", F.when(c == 4, "user").otherwise(named("role")).alias("role"), text.alias("text"), F.when(c == 0, 0).when(c == 3, 2).otherwise(1).alias("_times"))
+    return rows, F.col("_times")
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair(*damage_turns(_table(spark, sf_dir, "conversations")))
+
+
 def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return nearest_vectors.nearest(vectors, F.col("vec_id") % 50 == 0, k=5)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_sharding, op4_exact_dedup, op5_mixing, op6_toxicity, op7_bpe, op8_ngram_join, op9_embedding_dedup, op10_substring_dedup, op11_periodic_runs, op13_nearest_vectors)}
+    return {f.__name__: f for f in (op1_line_dedup, op2_warc, op3_sharding, op4_exact_dedup, op5_mixing, op6_toxicity, op7_bpe, op8_ngram_join, op9_embedding_dedup, op10_substring_dedup, op11_periodic_runs, op12_conversation_repair, op13_nearest_vectors)}
 
 #: CRC-32 of the text ``{x}``: a table ``t`` made by its polynomial, then one step for each character.
 CRC_TABLE = """crc AS (SELECT list(v ORDER BY i) AS t FROM (
@@ -178,6 +191,36 @@ k AS (SELECT w.doc_id, string_agg(w[i], ' ' ORDER BY i) AS kept FROM w LEFT JOIN
 SELECT w.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, x.start::BIGINT AS start, x.length::BIGINT AS length, x.period::BIGINT AS period, (1000 * x.length // x.period)::BIGINT AS exponent_milli,
   coalesce(digest, sha256('')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256
 FROM w LEFT JOIN b ON b.doc_id = w.doc_id LEFT JOIN k ON k.doc_id = w.doc_id""",
+    "op12_conversation_repair": "WITH RECURSIVE " + CRC_TABLE + r""",
+o AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, """ + CRC.format(x="(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))") + r""" % 20 AS c FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE c WHEN 4 THEN 'user' ELSE role END AS role, CASE c WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM o, unnest(generate_series(1, CASE c WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(k)),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) AS nth FROM p),
+f AS (SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS before,
+  CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 1 WHEN nth > 1 THEN 2 WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 3 ELSE 0 END AS fault FROM n),
+q AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0)::BIGINT AS gaps, count_if(fault = 1) AS blank, count_if(fault = 2) AS duplicate, count_if(fault = 3) AS truncated,
+  count_if(before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal, list({'initial': initial, 'role': role, 'text': text, 'fault': fault} ORDER BY i) AS rows FROM f GROUP BY conv_id),
+big AS (SELECT {'c': 1000000000, 'a': '', 't': ''} AS big),
+s AS (
+  SELECT conv_id, 0 AS i, rows, big, {'c': 0, 'a': '', 't': ''} AS v0, big AS v1, big AS v2, big AS v3 FROM q, big
+  UNION ALL
+  SELECT conv_id, i + 1, rows, big, {'c': w0.c + 3, 'a': w0.a || 'D', 't': w0.t},
+    least({'c': v1.c + 3, 'a': v1.a || 'D', 't': v1.t}, CASE WHEN x.initial = 's' AND x.fault IN (0, 3) THEN {'c': w0.c + e, 'a': w0.a || 'K', 't': w0.t || said} ELSE big END),
+    least({'c': w2.c + 3, 'a': w2.a || 'D', 't': w2.t},
+      CASE WHEN x.initial = 'u' AND x.fault IN (0, 3) THEN least({'c': w0.c + e, 'a': w0.a || 'K', 't': w0.t || said}, {'c': v1.c + e, 'a': v1.a || 'K', 't': v1.t || said}, {'c': w3.c + e, 'a': w3.a || 'K', 't': w3.t || said}) ELSE big END,
+      CASE WHEN x.fault IN (0, 3) THEN least({'c': w0.c + e + 2, 'a': w0.a || 'R', 't': w0.t || asu}, {'c': v1.c + e + 2, 'a': v1.a || 'R', 't': v1.t || asu}, {'c': w3.c + e + 2, 'a': w3.a || 'R', 't': w3.t || asu}) ELSE big END),
+    least({'c': w3.c + 3, 'a': w3.a || 'D', 't': w3.t}, CASE WHEN x.initial = 'a' AND x.fault IN (0, 3) THEN {'c': w2.c + e, 'a': w2.a || 'K', 't': w2.t || said} ELSE big END,
+      CASE WHEN x.fault IN (0, 3) THEN {'c': w2.c + e + 2, 'a': w2.a || 'R', 't': w2.t || asa} ELSE big END)
+  FROM (SELECT *, v0 AS w0, least(v3, {'c': w2.c + 2, 'a': w2.a || 'I', 't': w2.t || chr(10) || 'assistant:'}) AS w3, (x.fault = 3)::INT AS e,
+      chr(10) || x.role || ':' || x.text AS said, chr(10) || 'user:' || x.text AS asu, chr(10) || 'assistant:' || x.text AS asa
+    FROM (SELECT *, rows[i + 1] AS x, least(v2, {'c': v0.c + 2, 'a': v0.a || 'I', 't': v0.t || chr(10) || 'user:'}, {'c': v1.c + 2, 'a': v1.a || 'I', 't': v1.t || chr(10) || 'user:'}, {'c': v3.c + 2, 'a': v3.a || 'I', 't': v3.t || chr(10) || 'user:'}) AS w2
+      FROM s WHERE i < len(rows)))
+), l AS (SELECT *, least(v2, {'c': v0.c + 2, 'a': v0.a || 'I', 't': v0.t || chr(10) || 'user:'}, {'c': v1.c + 2, 'a': v1.a || 'I', 't': v1.t || chr(10) || 'user:'}) AS w2 FROM s WHERE i = len(rows)),
+z AS (SELECT conv_id, least(v0, v3, {'c': w2.c + 2, 'a': w2.a || 'I', 't': w2.t || chr(10) || 'assistant:'}) AS z FROM l)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+  coalesce(z.c, 0)::BIGINT AS cost, coalesce(z.a, '') AS audit, sha256(coalesce(substr(z.t, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN q ON q.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op13_nearest_vectors": r"""
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.x, c.x) / (sqrt(list_dot_product(q.x, q.x)) * sqrt(list_dot_product(c.x, c.x))) AS score
