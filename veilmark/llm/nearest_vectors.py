@@ -197,8 +197,8 @@ def leaves_needed(forest: Forest, x: np.ndarray, of: np.ndarray, leaves: np.ndar
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", trees: int = TREES, leaf: int = LEAF, recall: float = 0.98, sample: int = SAMPLE, tuned_on: int = TUNED_ON, block: int = BLOCK, seed: int = 13) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows by cosine to each row of ``is_query``, nearest first.
 
-    Ties go to the smaller id, null ids last. A row is no answer to itself, nor to a query with its id; queries that repeat an
-    id are answered one by one. Vectors that are null, zero, non-finite, with null components or of another width than most take
+    Ties go to the smaller id, null ids last. A row is no answer to itself; others that have its id are, and queries that repeat
+    an id are answered one by one. Vectors that are null, zero, non-finite, with null components or of another width than most take
     no part; fewer candidates than ``k`` give fewer rows. Two searches of the same rows visit the same leaves. Work grows with
     the queries times the share of leaves that ``recall`` takes; with ``leaf`` vectors or fewer, all are compared."""
     spark = vectors.sparkSession
@@ -249,11 +249,13 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec
     at = Window.partitionBy("query").orderBy(F.desc("score"), F.col("least").asc_nulls_last(), "node")
     top = cut(found.withColumn("place", F.row_number().over(at)).where(F.col("place") <= k + 1).select("query", "node", "score"))
     # every copy of the nearest vectors, then of these the k + 1 first; a query's own row is among them
-    copies = top.join(nodes.select("node", "ids").hint("merge"), "node").select("query", F.transform("ids", lambda i: F.struct((-F.col("score")).alias("near"), i.isNull().alias("none"), i.alias("id"))).alias("some"))
+    copies = top.join(nodes.select("node", "ids").hint("merge"), "node").select("query", F.transform("ids", lambda i: F.struct((-F.col("score")).alias("near"), i.isNull().alias("none"), i.alias("id"), (F.col("query") == F.col("node")).alias("alike"))).alias("some"))
     answers = copies.groupBy("query").agg(F.slice(F.array_sort(F.flatten(F.collect_list("some"))), 1, k + 1).alias("near"))
     answers = cut(nodes.where("n_queries > 0").select(F.col("node").alias("query"), "vector", "n_queries").join(answers.hint("merge"), "query").select(F.xxhash64("vector").alias("_k"), F.col("vector").alias("_v"), "near", "n_queries"))
     total = answers.agg(F.sum("n_queries")).first()[0] or 0
     keyed = asked.select("id", F.xxhash64("vector").alias("_k"), F.col("vector").alias("_v"), F.monotonically_increasing_id().alias("_at"))
     got = join_counted(keyed, answers, ["_k", "_v"], total, "n_queries", "_at")
-    got = got.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("near", lambda s: ~s["id"].eqNullSafe(F.col("id"))), 1, k)).alias("at", "s"))
+    own = F.array_position(F.transform("near", lambda s: s["alike"] & s["id"].eqNullSafe(F.col("id"))), True)
+    got = got.withColumn("_own", own - 1)
+    got = got.select(F.col("id").alias("query_id"), F.posexplode(F.slice(F.filter("near", lambda s, i: i != F.col("_own")), 1, k)).alias("at", "s"))
     return got.select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("s.id").alias("vec_id"), (-F.col("s.near")).alias("score"))
