@@ -45,13 +45,20 @@ def look_up(rows: DataFrame, lookup: DataFrame, keys: list[str], weight: str, sp
 def first_of_key(df: DataFrame, key: Column, order: list[Column], out: str) -> DataFrame:
     """``df`` with whether a row is the first of its key by ``order``; null keys are a key.
 
-    The least order of each key comes from a partial aggregate, and rows look it up, so a key that holds a large share of
-    the rows is in no task as a whole. Where rows are alike in key and order, one of them is first."""
+    How often each order occurs, then each key's least order with its times, come from partial aggregates; rows look up the
+    latter, so a key that holds a large share of the rows is in no task as a whole. Where rows are alike in key and order, one
+    of them is first."""
     rows = df.withColumns({"_key": F.struct(key.alias("k")), "_order": F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)])})
-    least = lambda rows: cut(rows.groupBy("_key").agg(F.min("_order").alias("_least"), F.count(F.lit(1)).alias("_n")))
+
+    def least(rows: DataFrame) -> DataFrame:
+        times = rows.groupBy("_key", "_order").agg(F.count(F.lit(1)).alias("_times"))
+        found = times.groupBy("_key").agg(F.min(F.struct("_order", "_times")).alias("_l"), F.sum("_times").alias("_n"))
+        return cut(found.select("_key", F.col("_l._order").alias("_least"), F.col("_l._times").alias("_times"), "_n"))
+
     firsts = least(rows)
-    tied = look_up(rows.select("_key", "_order"), firsts, ["_key"], "_n", "_order").where("_order = _least").groupBy("_key").count().where("count > 1")
-    if not tied.isEmpty():
+    total, tied = firsts.agg(F.sum("_n"), F.max("_times")).first()
+    if (tied or 0) > 1:
         rows = cut(rows.withColumn("_order", F.struct(F.col("_order").alias("by"), F.monotonically_increasing_id().alias("row"))))
         firsts = least(rows)
-    return look_up(rows, firsts, ["_key"], "_n", "_order").withColumn(out, F.col("_order") == F.col("_least")).drop("_key", "_order", "_least")
+    found = join_counted(rows, firsts.drop("_times"), ["_key"], total or 0, "_n", "_order")
+    return found.withColumn(out, F.col("_order") == F.col("_least")).drop("_key", "_order", "_least")

@@ -103,6 +103,47 @@ def windows(lengths: Column, budget: int) -> Column:
     return F.aggregate(lengths, start, step, end)
 
 
+def window_pieces(pieces: Column, budget: int, unknown: int = 0) -> tuple[Column, Column]:
+    """Of a document's subwords by token (array<array<int>>): what of each token goes into windows, and its ledger.
+
+    A token of more than ``budget`` subwords keeps its first ``(budget + 1) / 2`` and its last, so that ``budget`` are left; one
+    without subwords is ``unknown``. The ledger has struct<token, subwords, head, tail, discarded, unknown> of each token."""
+    head, tail = (budget + 1) // 2, budget // 2
+    n = F.size
+    kept = F.transform(pieces, lambda p: F.when(n(p) == 0, F.array(F.lit(unknown))).when(n(p) > budget, F.concat(F.slice(p, 1, head), F.slice(p, n(p) - tail + 1, F.lit(tail)))).otherwise(p))
+    long = lambda p: n(p) > budget
+    ledger = F.transform(pieces, lambda p, i: F.struct(i.alias("token"), n(p).alias("subwords"), F.when(long(p), head).otherwise(n(p)).alias("head"), F.when(long(p), tail).otherwise(0).alias("tail"), F.greatest(n(p) - budget, F.lit(0)).alias("discarded"), (n(p) == 0).alias("unknown")))
+    return kept, ledger
+
+
+def token_windows(docs: DataFrame, pieces: str, budget: int, unknown: int = 0) -> DataFrame:
+    """``docs`` with ``windows`` and ``ledger``: array<struct<first, last, ids, words>> of whole tokens, at most ``budget`` subwords each.
+
+    ``words`` has, beside each subword, its token's place in the document if it is the token's first, else -1, so that each
+    token is scored at exactly one place. Documents that break this rule are refused as they go by; an empty one has no window."""
+    kept, ledger = window_pieces(F.col(pieces), budget, unknown)
+    j = docs.withColumn("_kept", kept).withColumn("_w", windows(F.transform("_kept", lambda p: F.size(p)), budget))
+    part = lambda w: F.slice("_kept", w["first"] + 1, w["last"] - w["first"] + 1)
+    words = lambda w: F.flatten(F.transform(part(w), lambda p, i: F.concat(F.array(w["first"] + i), F.array_repeat(F.lit(-1), F.size(p) - 1))))
+    made = F.transform("_w", lambda w: F.struct(w["first"].alias("first"), w["last"].alias("last"), F.flatten(part(w)).alias("ids"), words(w).alias("words")))
+    j = j.withColumn("windows", made)
+    scored = F.filter(F.flatten(F.transform("windows", lambda w: w["words"])), lambda i: i >= 0)
+    tokens = F.size(pieces)
+    once = (scored == F.when(tokens > 0, F.sequence(F.lit(0), tokens - 1)).otherwise(F.array().cast("array<int>"))) & ~F.exists("windows", lambda w: F.size(w["ids"]) > budget)
+    checked = F.when(once, F.col("windows")).otherwise(F.raise_error(F.lit("a token is not scored exactly once")).cast("array<struct<first:int,last:int,ids:array<int>,words:array<int>>>"))
+    return j.withColumns({"windows": checked, "ledger": ledger}).drop("_kept", "_w")
+
+
+def window_coverage(windowed: DataFrame) -> DataFrame:
+    """One row: documents, windows, tokens, the oversized and unknown among them, and subwords in windows and discarded."""
+    over = F.filter("ledger", lambda t: t["discarded"] > 0)
+    total = lambda f: F.coalesce(F.sum(F.aggregate("ledger", F.lit(0).cast("long"), lambda s, t: s + f(t))), F.lit(0))
+    return windowed.agg(
+        F.count(F.lit(1)).alias("documents"), F.coalesce(F.sum(F.size("windows")), F.lit(0)).alias("windows"), F.coalesce(F.sum(F.size("ledger")), F.lit(0)).alias("tokens"),
+        F.coalesce(F.sum(F.size(over)), F.lit(0)).alias("oversized"), total(lambda t: t["unknown"].cast("long")).alias("unknown"),
+        total(lambda t: t["head"].cast("long") + t["tail"] + t["unknown"].cast("long")).alias("retained_subwords"), total(lambda t: t["discarded"].cast("long")).alias("discarded_subwords"))
+
+
 def match_spans(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     """Full join on the keys after dedup, with tp, fp and fn."""
     g = gold.select(*keys).distinct().withColumn("_g", F.lit(1))
@@ -197,10 +238,10 @@ def attack_scores(attacked: DataFrame, detected: Column, attacks=ATTACKS) -> Dat
     found = lambda s: F.array_contains(F.col("_found"), s)
     lost = F.filter(F.zip_with("spans", "entity_changed", lambda s, c: c & ~found(s)), lambda x: x)
     rows = attacked.withColumn("_found", detected.cast(SPAN)).select("attack", F.size(F.filter("spans", found)).alias("tp"), F.size("spans").alias("gold"), F.size("_found").alias("found"), F.size(F.filter("entity_changed", lambda c: c)).alias("eligible"), F.size(lost).alias("lost"))
-    sums = prf(rows.select("attack", "tp", (F.col("found") - F.col("tp")).alias("fp"), (F.col("gold") - F.col("tp")).alias("fn")), ["attack"])
-    counts = rows.groupBy("attack").agg(F.count(F.lit(1)).alias("records"), F.sum("eligible").alias("eligible"), F.sum("lost").alias("lost"))
+    n = [F.count(F.lit(1)).alias("records"), F.sum("tp").alias("tp"), F.sum(F.col("found") - F.col("tp")).alias("fp"), F.sum(F.col("gold") - F.col("tp")).alias("fn"), F.sum("eligible").alias("eligible"), F.sum("lost").alias("lost")]
+    sums = rows.groupBy("attack").agg(*n).withColumn("f1", F.when(2 * F.col("tp") + F.col("fp") + F.col("fn") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0))
     names = attacked.sparkSession.createDataFrame([(a,) for a in attacks], "attack string")
     #: one row an attack
-    j = names.join(sums.join(counts, "attack"), "attack", "left")
+    j = names.join(F.broadcast(sums), "attack", "left")
     status = F.when(F.col("records").isNull(), "no_applicable_entities").otherwise("scored")
     return j.select("attack", status.alias("status"), "records", "tp", "fp", "fn", "f1", "eligible", "lost", (F.col("lost") / F.col("eligible")).alias("success_rate"), (1 - F.col("f1")).alias("degradation"))

@@ -20,17 +20,23 @@ def lines(spark, sf):
     return representatives(table(spark, sf, "lineitem"), F.struct("l_orderkey", "l_linenumber"), ["l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_discount"])
 
 
-def gold(spark, sf):
-    l = lines(spark, sf)
+def gold(spark, sf, l=None):
+    l = lines(spark, sf) if l is None else l
     return l.select(F.col("l_orderkey").alias("record"), (F.col("l_linenumber") * 10).alias("s"), (F.col("l_linenumber") * 10 + 5 + F.col("l_partkey") % 5).alias("e"), F.col("l_returnflag").alias("type"), F.concat(F.lit("s"), (F.col("l_partkey") % 5).cast("string")).alias("source"))
 
 
-def predicted(spark, sf):
-    l = lines(spark, sf).where("l_suppkey % 7 <> 0")
+def predicted(spark, sf, l=None):
+    l = (lines(spark, sf) if l is None else l).where("l_suppkey % 7 <> 0")
     end = F.col("l_linenumber") * 10 + 5 + F.col("l_partkey") % 5 + F.when(F.col("l_suppkey") % 11 == 0, 1).otherwise(0)
     return l.select(F.col("l_orderkey").alias("record"), (F.col("l_linenumber") * 10).alias("s"), end.alias("e"), F.when(F.col("l_suppkey") % 13 == 0, "X").otherwise(F.col("l_returnflag")).alias("type"), F.concat(F.lit("s"), (F.col("l_partkey") % 5).cast("string")).alias("source"))
 
 
+def sides(spark, sf):
+    """Gold and predicted spans of the same lines."""
+    l = lines(spark, sf)
+    return gold(spark, sf, l), predicted(spark, sf, l)
+
+
 _MATCH = lambda keys: f"m AS (SELECT {', '.join(f'coalesce(g.{k}, p.{k}) AS {k}' for k in keys)}, (g.record IS NOT NULL AND p.record IS NOT NULL)::INT AS tp, (g.record IS NULL)::INT AS fp, (p.record IS NULL)::INT AS fn FROM (SELECT DISTINCT {', '.join(keys)} FROM gold) g FULL JOIN (SELECT DISTINCT {', '.join(keys)} FROM pred) p ON {' AND '.join(f'g.{k} = p.{k}' for k in keys)})"
 _PRF = "sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn, round(coalesce(sum(tp) / nullif(sum(tp) + sum(fp), 0), 0), 9) AS precision, round(coalesce(sum(tp) / nullif(sum(tp) + sum(fn), 0), 0), 9) AS recall, round(coalesce(2 * sum(tp) / nullif(2 * sum(tp) + sum(fp) + sum(fn), 0), 0), 9) AS f1"
 TYPED, UNTYPED = ["record", "s", "e", "type"], ["record", "s", "e"]
@@ -42,27 +48,27 @@ def rounded(df, *cols):
 
 @query("d06_span_match", f"{_BOTH}, {_MATCH(TYPED)} SELECT sum(tp)::BIGINT AS tp, sum(fp)::BIGINT AS fp, sum(fn)::BIGINT AS fn FROM m")
 def d06(spark, sf):
-    return S.match_spans(gold(spark, sf), predicted(spark, sf), TYPED).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return S.match_spans(*sides(spark, sf), TYPED).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
 @query("i04_strict_by_type", f"{_BOTH}, {_MATCH(TYPED)} SELECT type, {_PRF} FROM m GROUP BY type")
 def i04_type(spark, sf):
-    return rounded(S.prf(S.match_spans(gold(spark, sf), predicted(spark, sf), TYPED), ["type"]), "precision", "recall", "f1")
+    return rounded(S.prf(S.match_spans(*sides(spark, sf), TYPED), ["type"]), "precision", "recall", "f1")
 
 
 @query("i04_strict_by_source", f"{_BOTH}, {_MATCH([*TYPED, 'source'])} SELECT source, {_PRF} FROM m GROUP BY source")
 def i04_source(spark, sf):
-    return rounded(S.prf(S.match_spans(gold(spark, sf), predicted(spark, sf), [*TYPED, "source"]), ["source"]), "precision", "recall", "f1")
+    return rounded(S.prf(S.match_spans(*sides(spark, sf), [*TYPED, "source"]), ["source"]), "precision", "recall", "f1")
 
 
 @query("i04_untyped", f"{_BOTH}, {_MATCH(UNTYPED)} SELECT {_PRF} FROM m")
 def i04_untyped(spark, sf):
-    return rounded(S.prf(S.match_spans(gold(spark, sf), predicted(spark, sf), UNTYPED), []), "precision", "recall", "f1")
+    return rounded(S.prf(S.match_spans(*sides(spark, sf), UNTYPED), []), "precision", "recall", "f1")
 
 
 @query("i06_supported_types", f"{_BOTH}, {_MATCH(TYPED)} SELECT count(*) FILTER (WHERE type NOT IN ('A', 'N') AND fp = 0) AS unsupported_gold, sum(tp) FILTER (WHERE type IN ('A', 'N'))::BIGINT AS tp FROM m")
 def i06(spark, sf):
-    m = S.match_spans(gold(spark, sf), predicted(spark, sf), TYPED)
+    m = S.match_spans(*sides(spark, sf), TYPED)
     known = F.col("type").isin("A", "N")
     return m.agg(F.count_if(~known & (F.col("fp") == 0)).alias("unsupported_gold"), F.sum(F.when(known, F.col("tp"))).alias("tp"))
 
