@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilmark.operators.corpus import global_rank, rank_within, seeded_digest
+from veilmark.operators.corpus import _sized, global_rank, rank_within, seeded_digest
 from veilmark.scratch import cut
 
 #: Signatures that a plan is made for on the driver.
@@ -117,35 +117,48 @@ def rarest_first_split(df: DataFrame, group: str, tags: str, ratios: dict[str, f
     ranges = df.sparkSession.createDataFrame([(list(t), a, b, s) for t, a, b, s in plan], "_sig array<string>, _lo long, _hi long, split string")
     placed = rank_within(groups, ["signature"], ["_digest", group])
     on = (F.col("signature") == F.col("_sig")) & (F.col("place") > F.col("_lo")) & (F.col("place") <= F.col("_hi"))
-    #: at most MOST_SIGNATURES times the splits
-    done = placed.join(F.broadcast(ranges), on).select(F.col(group).alias("_g"), "split")
+    #: at most MOST_SIGNATURES times the splits; broadcast if few
+    done = placed.join(_sized(ranges), on).select(F.col(group).alias("_g"), "split")
     return df.drop("split").join(done.hint("merge"), F.col(group) == F.col("_g")).drop("_g")
 
 
+def plan_order(signatures: list[tuple[tuple[str, ...], str]], support: dict[str, int], rare: int) -> list[tuple[tuple[str, ...], bool, int | None]]:
+    """(signature, rare, number) from signatures with the digest of their first group: whether all their groups come first, and
+    which number its first group has among those that cover the tags left, in the order of the tags' support."""
+    few = {t for t, n in support.items() if n <= rare}
+    is_rare = {tags: bool(few.intersection(tags)) for tags, _ in signatures}
+    covered = {t for tags, r in is_rare.items() if r for t in tags}
+    first = {}
+    for tags, by in sorted(signatures, key=lambda s: s[1]):
+        for t in tags:
+            first.setdefault(t, tags)
+    numbers: dict[tuple[str, ...], int] = {}
+    for t in sorted(support, key=lambda t: (support[t], t)):
+        if t not in covered:
+            numbers[first[t]] = len(numbers)
+            covered.update(first[t])
+    return [(tags, is_rare[tags], numbers.get(tags)) for tags, _ in signatures]
+
+
 def nested_order(df: DataFrame, group: str, tags: str, seed: str, rare: int = 10) -> DataFrame:
     """(group, docs, rank, anchor): an order whose every prefix is a sample of all groups by signature.
 
     Groups with a tag that at most ``rare`` documents have come first, all of them; then, for each tag that no group has yet,
-    the first group that has it; these are anchors. The others follow by how far along their signature they are."""
+    the first group that has it; these are anchors. The others follow by how far along their signature they are. The first
+    group with a tag is the first of its signature, so the plan needs one row a signature, refused above ``MOST_SIGNATURES``;
+    groups find their turn in it by their place within the signature."""
     groups = tagged_groups(df, group, tags, seed)
-    support = df.select(F.explode(F.array_distinct(tags)).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n"))
-    #: one row a tag
-    counts = sorted((r["n"], r["tag"]) for r in support.collect())
-    few = [t for n, t in counts if n <= rare]
-    is_rare = F.arrays_overlap("signature", F.array(*map(F.lit, few))) if few else F.lit(False)
-    covered = {r["tag"] for r in groups.where(is_rare).select(F.explode("signature").alias("tag")).distinct().collect()}
-    first = groups.select(F.explode("signature").alias("tag"), "signature", F.struct("_digest", group).alias("by"), group)
-    firsts = {r["tag"]: r for r in first.groupBy("tag").agg(F.min_by(F.struct("signature", group), "by").alias("g")).collect()}
-    cover = []
-    for _, t in counts:
-        if t not in covered:
-            cover.append(firsts[t]["g"][group])
-            covered |= set(firsts[t]["g"]["signature"])
-    number = F.coalesce(*[F.when(F.col(group) == g, F.lit(i)) for i, g in enumerate(cover)]) if cover else F.lit(None).cast("int")
-    turn = F.when(is_rare, 0).when(number.isNotNull(), 1).otherwise(2)
-    placed = rank_within(groups.withColumn("_turn", turn), ["_turn", "signature"], ["_digest", group])
-    along = F.when(F.col("_turn") == 1, number.cast("double")).when(F.col("_turn") == 2, (F.col("place") - 0.5) / F.col("_n")).otherwise(0.0)
-    sizes = placed.groupBy("_turn", "signature").agg(F.count(F.lit(1)).alias("_n"))
-    #: signatures are few
-    ranked = global_rank(placed.join(F.broadcast(sizes), ["_turn", "signature"]).withColumn("_along", along), ["_turn", "_along", "_digest", group])
+    folded = groups.groupBy("signature").agg(F.min(F.struct("_digest", group)).alias("by"), F.count(F.lit(1)).alias("n")).limit(MOST_SIGNATURES + 1).collect()
+    support = df.select(F.explode(F.array_distinct(tags)).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).limit(MOST_SIGNATURES + 1).collect()
+    if max(len(folded), len(support)) > MOST_SIGNATURES:
+        raise ValueError(f"more than {MOST_SIGNATURES} tags or sets of tags")
+    plan = plan_order([(tuple(r["signature"]), tuple(r["by"])) for r in folded], {r["tag"]: r["n"] for r in support}, rare)
+    size = {tuple(r["signature"]): r["n"] for r in folded}
+    table = _sized(df.sparkSession.createDataFrame([(list(t), size[t], r, n) for t, r, n in plan], "_sig array<string>, _n long, _rare boolean, _number int"))
+    placed = rank_within(groups, ["signature"], ["_digest", group]).join(table, F.col("signature") == F.col("_sig"))
+    covers = F.col("_number").isNotNull() & (F.col("place") == 1)
+    turn = F.when(F.col("_rare"), 0).when(covers, 1).otherwise(2)
+    lead = F.when(F.col("_number").isNotNull(), 1).otherwise(0)
+    along = F.when(turn == 1, F.col("_number").cast("double")).when(turn == 2, (F.col("place") - lead - 0.5) / (F.col("_n") - lead)).otherwise(0.0)
+    ranked = global_rank(placed.select(group, "docs", "_digest", turn.alias("_turn"), along.alias("_along")), ["_turn", "_along", "_digest", group])
     return ranked.select(group, "docs", "rank", (F.col("_turn") < 2).alias("anchor"))

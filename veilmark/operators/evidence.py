@@ -7,6 +7,7 @@ from collections.abc import Callable
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -74,10 +75,20 @@ def _compiled() -> list[tuple[str, re.Pattern]]:
     return [(n, re.compile(p, re.I)) for n, p in OFFSET_PATTERNS.items()]
 
 
-@F.pandas_udf(_SPAN)
-def offset_matches(s: pd.Series) -> pd.Series:
+@F.arrow_udf(_SPAN)
+def offset_matches(texts: pa.Array) -> pa.Array:
     """All caseless matches with code-point offsets, by pattern and start."""
-    return s.map(lambda t: [{"name": n, "text": m.group(), "start": m.start(), "end": m.end()} for n, p in _compiled() for m in p.finditer(t or "")])
+    names, found, starts, ends, upto = [], [], [], [], [0]
+    for t in texts.to_pylist():
+        for n, p in _compiled() if t else ():
+            for m in p.finditer(t):
+                names.append(n)
+                found.append(m.group())
+                starts.append(m.start())
+                ends.append(m.end())
+        upto.append(len(names))
+    structs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["name", "text", "start", "end"])
+    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), structs)
 
 
 def baseline_spans(matches: Column, known: dict[str, str]) -> Column:

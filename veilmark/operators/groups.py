@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from veilmark.operators.components import connected_components
 from veilmark.operators.skew import first_of_key, look_up
@@ -66,6 +67,48 @@ def isolation_errors(df: DataFrame, keys: dict[str, Column], split: str) -> Data
     return long.groupBy("kind", "key").agg(F.countDistinct("split").alias("n_splits")).where("n_splits > 1")
 
 
+def leakage(df: DataFrame, keys: dict[str, Column], split: str, examples: int = 5) -> DataFrame:
+    """(kind, split_a, split_b, n, examples) of keys found in both of two splits, the least keys as examples.
+
+    A key's splits, a few names, are gathered in a partial aggregate; of a pair's keys each map task sends on its ``examples``
+    least, so neither a hot key nor a leaking pair of splits is held anywhere. Null keys are none; pairs without any don't come."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("kind"), k.cast("string").alias("key")) for n, k in keys.items()]))
+    long = df.select(F.col(split).alias("split"), pairs.alias("p")).select("split", "p.kind", "p.key").where("key is not null and split is not null")
+    sets = long.groupBy("kind", "key").agg(F.array_sort(F.collect_set("split")).alias("s")).where(F.size("s") > 1)
+    both = sets.select("kind", "key", "s", F.explode("s").alias("split_a")).select("kind", "key", "split_a", F.explode("s").alias("split_b")).where("split_a < split_b")
+    by = ["kind", "split_a", "split_b"]
+    least = both.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("key"))).where(F.col("_r") <= examples)
+    #: a row for each kind and pair of splits
+    shown = least.groupBy(*by).agg(F.array_sort(F.collect_list("key")).alias("examples"))
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(shown), by)
+
+
+def reconcile(raw: DataFrame, cleaned: DataFrame, removed: int, flagged: DataFrame, splits: DataFrame, domain: str, duplicate: str = "is_duplicate", split: str = "split") -> DataFrame:
+    """(check, expected, actual, ok): what each stage must have left of the one before.
+
+    Raw rows are the cleaned ones and those ``removed``; cleaned rows are the unique ones and the duplicates; all splits together
+    are the unique rows; of each split the rows of its domains are its rows, with a null domain in none. Each table is counted once."""
+    n = F.count(F.lit(1))
+    totals = raw.agg(n.alias("raw")).crossJoin(cleaned.agg(n.alias("cleaned"))).crossJoin(flagged.agg(F.count_if(~F.col(duplicate)).alias("unique"), F.count_if(duplicate).alias("duplicates")))  # a row each
+    by = splits.groupBy(split).agg(n.alias("rows"), F.count(domain).alias("of_domains"))
+    totals = totals.crossJoin(by.agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("split")))
+    row = lambda name, expected, actual: F.struct(F.lit(name).alias("check"), expected.alias("expected"), actual.alias("actual"))
+    checks = F.array(
+        row("raw_equals_cleaned_plus_removed", F.col("raw") - F.lit(removed), F.col("cleaned")),
+        row("cleaned_equals_unique_plus_duplicates", F.col("cleaned"), F.col("unique") + F.col("duplicates")),
+        row("splits_equal_unique", F.col("unique"), F.col("split")))
+    each = by.select(F.concat(F.col(split), F.lit("_domains_equal_total")).alias("check"), F.col("rows").alias("expected"), F.col("of_domains").alias("actual"))
+    return totals.select(F.explode(checks).alias("c")).select("c.*").unionByName(each).withColumn("ok", F.col("expected") == F.col("actual"))
+
+
+def source_audit(df: DataFrame, source: str, split: str, budget: int) -> DataFrame:
+    """(source, rows, budget, over_budget, splits, fingerprint) of each source; the fingerprint is that of its rows in any order."""
+    digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u2205")) for c in sorted(df.columns)]))
+    h = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    g = df.groupBy(source).agg(F.count(F.lit(1)).alias("rows"), F.array_join(F.array_sort(F.collect_set(split)), ",").alias("splits"), F.sum(h.cast("decimal(28,0)")).alias("_s"), F.bit_xor(h).alias("_x"))
+    return g.select(source, "rows", F.lit(budget).cast("long").alias("budget"), (F.col("rows") > budget).alias("over_budget"), "splits", F.concat_ws(":", F.col("rows").cast("string"), F.col("_s").cast("string"), F.col("_x").cast("string")).alias("fingerprint"))
+
+
 def augment(train: DataFrame, generated: DataFrame, text_key: str, id_col: str, most: int, ratio: float) -> DataFrame:
     """``train`` and, of ``generated``, what fits under both caps and has no text of train."""
     limit = min(most, int(train.count() * ratio))

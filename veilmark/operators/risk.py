@@ -78,11 +78,11 @@ def evidence_masses(entities: DataFrame, record: str, tiers: dict[str, int], unk
         raise ValueError("weights must be positive")
     lookup = lambda table, default: F.coalesce(*[F.when(F.col("type") == k, F.lit(v)) for k, v in table.items()], F.lit(default))
     e = entities.withColumns({"tier": lookup(tiers, unknown), "w": lookup(weights or {}, 1.0).cast("double")})
-    halves = F.explode(F.array(F.struct(F.shiftleft(F.lit(1), 0).alias("one"), (F.pow(F.lit(2), F.col("tier"))).cast("int").alias("mask"), F.col("confidence").alias("m")), F.struct(F.lit(1).alias("one"), F.lit(FRAME).alias("mask"), (1 - F.col("confidence")).alias("m"))))
-    long = e.select(record, "grp", "w", halves.alias("x"))
-    sums = long.groupBy(record, "grp", F.col("x.mask").alias("mask")).agg(F.sum(F.col("w") * F.col("x.m")).alias("s"))
-    total = e.groupBy(record, "grp").agg(F.sum("w").alias("t"))
-    return sums.join(total.hint("merge"), [record, "grp"]).select(record, "grp", "mask", (F.col("s") / F.col("t")).alias("mass"))
+    # a weight counts with its own part only, so that one aggregate has both the masses and their total
+    halves = F.explode(F.array(F.struct((F.pow(F.lit(2), F.col("tier"))).cast("int").alias("mask"), F.col("confidence").alias("m"), F.col("w").alias("t")), F.struct(F.lit(FRAME).alias("mask"), (1 - F.col("confidence")).alias("m"), F.lit(0.0).alias("t"))))
+    sums = e.select(record, "grp", "w", halves.alias("x")).groupBy(record, "grp", F.col("x.mask").alias("mask")).agg(F.sum(F.col("w") * F.col("x.m")).alias("s"), F.sum("x.t").alias("t"))
+    packed = sums.groupBy(record, "grp").agg(F.collect_list(F.struct("mask", "s")).alias("m"), F.sum("t").alias("t"))
+    return packed.select(record, "grp", "t", F.explode("m").alias("m")).select(record, "grp", "m.mask", (F.col("m.s") / F.col("t")).alias("mass"))
 
 
 def mass_error(mass: Column) -> Column:
@@ -125,6 +125,51 @@ def baseline_scores(entities: DataFrame, record: str) -> DataFrame:
     return g.withColumns({"max_tier": tier(F.col("max_score")), "weighted_tier": tier(F.col("weighted_score"))})
 
 
+#: What may happen to evidence: its confidence moved, within 0 and 1, or every entity given twice.
+SCENARIOS = {"base": (0.0, 1), "less": (-0.1, 1), "more": (0.1, 1), "twice": (0.0, 2)}
+
+
+def method_scores(entities: DataFrame, record: str, groups: tuple[str, ...], scenarios: dict[str, tuple[float, int]] | None = None, limit: float = 1 - 1e-8) -> DataFrame:
+    """(record, scenario, method, score, uncertainty, ignorance, conflict) by ``max``, ``weighted`` and ``ds`` of rows (record, tier, confidence, w, grp).
+
+    ``max`` and ``weighted`` take the tiers' discounted scores; ``ds`` pools each group's masses and combines ``groups`` in order,
+    total ignorance where two conflict by ``limit``. Each scenario moves all confidences and repeats all entities. One shuffle
+    of a row a record and scenario: sums of weights by group and tier, whatever the number of entities."""
+    chosen = scenarios or {"base": (0.0, 1)}
+    moved = F.explode(F.array(*[F.struct(F.lit(n).alias("scenario"), F.lit(shift).alias("shift"), F.lit(times).alias("times")) for n, (shift, times) in chosen.items()]))
+    e = entities.withColumn("_s", moved).select(record, "tier", "grp", (F.col("w") * F.col("_s.times")).alias("w"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("confidence") + F.col("_s.shift"))).alias("c"), F.col("_s.scenario").alias("scenario"))
+    s = F.col("tier") / 3 * F.col("c")
+    sums = [F.max(s).alias("_max"), F.sum("w").alias("_w"), F.sum(s * F.col("w")).alias("_sw"), F.sum((1 - F.col("c")) * F.col("w")).alias("_uw")]
+    for i, g in enumerate(groups):
+        here = F.col("grp") == g
+        sums.append(F.sum(F.when(here, F.col("w"))).alias(f"_t{i}"))
+        sums += [F.sum(F.when(here & (F.col("tier") == t), F.col("w") * F.col("c"))).alias(f"_m{i}_{t}") for t in range(len(TIERS))]
+    rows = e.groupBy(record, "scenario").agg(*sums)
+    none, start = F.lit(None).cast("map<int,double>"), F.struct(F.lit(None).cast("map<int,double>").alias("mass"), F.lit(0.0).alias("conflict"), F.lit(False).alias("failed"))
+    rows = rows.withColumn("_f", start)
+    for i, _ in enumerate(groups):
+        parts = [F.coalesce(F.col(f"_m{i}_{t}") / F.col(f"_t{i}"), F.lit(0.0)) for t in range(len(TIERS))]
+        entries = [F.struct(F.lit(1 << t).alias("k"), p.alias("v")) for t, p in enumerate(parts)]
+        frame = F.struct(F.lit(FRAME).alias("k"), (1 - (parts[0] + parts[1] + parts[2] + parts[3])).alias("v"))
+        own = F.when(F.col(f"_t{i}").isNotNull(), F.map_from_entries(F.filter(F.array(*entries, frame), lambda x: x["v"] > 0))).otherwise(none)
+        rows = rows.withColumn("_own", own)
+        both = F.col("_f.mass").isNotNull() & F.col("_own").isNotNull() & ~F.col("_f.failed")
+        rows = rows.withColumn("_f", F.when(both, combine(F.col("_f.mass"), F.col("_own"), limit)).when(F.col("_f.mass").isNull(), F.struct(F.col("_own").alias("mass"), F.lit(0.0).alias("conflict"), F.lit(False).alias("failed"))).otherwise(F.col("_f")))
+    b = belief_summary(F.col("_f.mass"))
+    unc = F.col("_uw") / F.col("_w")
+    out = lambda m, score, ignorance, conflict: F.struct(F.lit(m).alias("method"), score.alias("score"), ignorance.alias("ignorance"), conflict.alias("conflict"))
+    methods = F.array(out("max", F.col("_max"), unc, F.lit(0.0)), out("weighted", F.col("_sw") / F.col("_w"), unc, F.lit(0.0)), out("ds", b["score"], b["ignorance"], F.col("_f.conflict")))
+    long = rows.select(record, "scenario", unc.alias("uncertainty"), F.explode(methods).alias("m"))
+    return long.select(record, "scenario", "m.method", "m.score", "uncertainty", "m.ignorance", "m.conflict")
+
+
+def sensitivity(scored: DataFrame, record: str, base: str = "base") -> DataFrame:
+    """(method, scenario, records, mean_change, max_change) of scores against ``base``."""
+    wide = scored.groupBy(record, "method").agg(F.max(F.when(F.col("scenario") == base, F.col("score"))).alias("_b"), F.collect_list(F.when(F.col("scenario") != base, F.struct("scenario", "score"))).alias("_o"))
+    change = wide.select("method", "_b", F.explode("_o").alias("o")).select("method", "o.scenario", F.abs(F.col("o.score") - F.col("_b")).alias("d"))
+    return change.groupBy("method", "scenario").agg(F.count(F.lit(1)).alias("records"), F.avg("d").alias("mean_change"), F.max("d").alias("max_change"))
+
+
 def required_protection(score: Column, uncertainty: Column, ignorance: Column, strength: float) -> Column:
     if not 0 <= strength <= 1:
         raise ValueError("strength must be in [0, 1]")

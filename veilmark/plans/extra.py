@@ -51,7 +51,18 @@ def f08(spark, sf):
     return done.select(F.explode("tags").alias("tag"), "split", "g").distinct().groupBy("tag", "split").agg(F.count(F.lit(1)).alias("groups"))
 
 
-@query("f10_nested_order")
+@query("f10_nested_order", f"""WITH RECURSIVE {_TAGS}, sg AS (SELECT g, list_sort(list(tag)) AS sig FROM tt WHERE tag IS NOT NULL GROUP BY g), dn AS (SELECT g, count(*) AS docs FROM tg GROUP BY g),
+sx AS (SELECT sg.g, sig, docs, sha256(concat_ws('|', 'f10', sg.g)) AS d FROM sg JOIN dn ON dn.g = sg.g),
+td AS (SELECT 'lang_' || lang AS tag FROM tg WHERE NOT bare AND lang IS NOT NULL UNION ALL SELECT 'long' FROM tg WHERE NOT bare AND n_chars > 4000 UNION ALL SELECT 'very_long' FROM tg WHERE NOT bare AND n_chars > 40000),
+su AS (SELECT tag, count(*) AS n FROM td GROUP BY tag), fe AS (SELECT coalesce(list(tag), []) AS few FROM su WHERE n <= 10),
+sr AS (SELECT sx.*, list_has_any(sig, few) AS rare FROM sx, fe),
+ft AS (SELECT tag, n, row_number() OVER (ORDER BY n, tag) AS k, arg_min(g, (d, g)) AS g, arg_min(sig, (d, g)) AS sig FROM (SELECT sx.g, sx.sig, sx.d, unnest(sx.sig) AS tag FROM sx) JOIN su USING (tag) GROUP BY tag, n),
+rc AS (SELECT 0::BIGINT AS k, (SELECT coalesce(list_distinct(flatten(list(sig))), []) FROM sr WHERE rare) AS covered, []::VARCHAR[] AS picks
+  UNION ALL SELECT rc.k + 1, CASE WHEN list_contains(covered, tag) THEN covered ELSE list_concat(covered, ft.sig) END, CASE WHEN list_contains(covered, tag) THEN picks ELSE list_append(picks, ft.g) END FROM rc JOIN ft ON ft.k = rc.k + 1),
+pk AS (SELECT picks FROM rc ORDER BY k DESC LIMIT 1),
+tn AS (SELECT sr.*, CASE WHEN rare THEN 0 WHEN list_contains(picks, g) THEN 1 ELSE 2 END AS turn, list_position(picks, g) - 1 AS number FROM sr, pk),
+pl AS (SELECT *, row_number() OVER (PARTITION BY turn, sig ORDER BY d, g) AS place, count(*) OVER (PARTITION BY turn, sig) AS m FROM tn)
+SELECT g AS group_id, docs, row_number() OVER (ORDER BY turn, CASE turn WHEN 0 THEN 0 WHEN 1 THEN number::DOUBLE ELSE (place - 0.5::DOUBLE) / m END, d, g) AS rank, turn < 2 AS anchor FROM pl""")
 def f10(spark, sf):
     return allocation.nested_order(tagged(spark, sf), "g", "tags", "f10").withColumnRenamed("g", "group_id")
 

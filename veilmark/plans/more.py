@@ -234,7 +234,17 @@ def c13(spark, sf):
     return cued(spark, sf).select("record_id", *[v.alias(f"{t}_{n}") for t in _THREATS for n, v in cues.cue_votes(f"threat_{t}").items()])
 
 
-@query("b08_offset_evidence")
+#: Offset patterns for a dialect without look-around and with ASCII words: letters beyond ASCII become ``_`` first, which is as much
+#: of a word and in no class of letters; a phone's first group is what must come before it.
+_BEYOND = r"[\x{AA}\x{B5}\x{BA}\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2C1}\x{370}-\x{373}\x{376}-\x{377}\x{37B}-\x{37D}\x{386}\x{388}-\x{481}\x{48A}-\x{559}\x{5D0}-\x{5EA}\x{620}-\x{64A}\x{904}-\x{939}\x{3041}-\x{3096}\x{30A1}-\x{30FA}\x{4E00}-\x{9FFF}\x{AC00}-\x{D7A3}]"
+_OFFSETS = "o0 AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '" + _BEYOND + "', '_', 'g') AS t FROM documents), " + "om AS (" + " UNION ALL ".join(
+    f"SELECT doc_id, '{n}' AS name, regexp_extract_all(t, {q}) AS m, string_split_regex(t, {q}) AS gaps, {'regexp_extract_all(t, ' + q + ', 1)' if n == 'phone' else '[]::VARCHAR[]'} AS lead FROM o0"
+    for n, q in ((n, "'(?i)" + p.replace("'", "''").replace(r"(?<!\w)", r"(^|\W)") + "'") for n, p in evidence.OFFSET_PATTERNS.items())
+) + """), ou AS (SELECT doc_id, name, m, gaps, coalesce(length(lead[i]), 0) AS skip, i FROM om, unnest(generate_series(1, len(m))) AS g(i)),
+of AS (SELECT doc_id, name, (coalesce(list_sum(list_transform(gaps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) + skip)::INT AS start, length(m[i]) - skip AS size FROM ou)"""
+
+
+@query("b08_offset_evidence", f'WITH {_OFFSETS} SELECT doc_id, name, start, (start + size)::INT AS "end" FROM of')
 def b08(spark, sf):
     m = docs(spark, sf).select("doc_id", F.explode(evidence.offset_matches("text")).alias("m"))
     return m.select("doc_id", "m.name", "m.start", "m.end")
@@ -246,6 +256,11 @@ def b09(spark, sf):
     return docs(spark, sf).select("doc_id", s.alias("spans")).where(F.size("spans") > 0)
 
 
+@query("b09_baseline_rows", f"WITH {_OFFSETS} SELECT doc_id, start, (start + size)::INT AS \"end\", CASE name WHEN 'email' THEN 'EMAIL' ELSE 'PHONE_NUMBER' END AS type, 1.0::DOUBLE AS confidence FROM of WHERE name IN ('email', 'phone')")
+def b09_rows(spark, sf):
+    return b09(spark, sf).select("doc_id", F.explode("spans").alias("s")).select("doc_id", "s.*")
+
+
 @query("b16_token_offsets", r"SELECT doc_id, CASE WHEN text IS NOT NULL THEN len(regexp_extract_all(text, '[^\s\x0B]+')) END::INT AS n, NULL AS error FROM documents")
 def b16(spark, sf):
     d = docs(spark, sf).select("doc_id", F.filter(F.split("text", r"[\s]+"), lambda w: w != "").alias("tokens"), "text")

@@ -23,7 +23,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from veilmark.plans import data, entities, extra, labels, more, rest, scores, spans  # noqa: F401  they register themselves
+    from veilmark.plans import data, entities, extra, labels, more, provenance, rest, scores, sensitivity, spans  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
