@@ -210,18 +210,18 @@ def cued(spark, sf):
     return cues.add_cues(c, patterns=F.transform(evidence.offset_matches("query_text"), lambda m: m["name"]))
 
 
-@query("b15_query_cues", f"WITH {_CUES} SELECT record_id, {', '.join(cues.CUES)}, direct, med AS own_health, fin AS own_money, who AS asks_who, trait AS asks_trait, presence AS asks_presence, secret AS asks_secret, people AS about_people, plain AS plain_question, harmless, light AS light_topic FROM q3")
+@query("b15_query_cues", f"WITH {_CUES} SELECT record_id, {', '.join(cues.CUES)}, direct, subject_words AS subject, who AS reid, trait AS attr, presence AS member, med, fin, secret AS confidential, people AS private, plain AS general, harmless AS explicit_benign, light AS limited FROM q3")
 def b15(spark, sf):
-    names = [*cues.CUES, "direct", "own_health", "own_money", "asks_who", "asks_trait", "asks_presence", "asks_secret", "about_people", "plain_question", "harmless", "light_topic"]
+    names = [*cues.CUES, "direct", *cues.SIGNALS]
     return cued(spark, sf).select("record_id", *[F.col(f"cue_{n}").alias(n) for n in names])
 
 
-@query("c11_cue_sensitivity", f"WITH {_CUES} SELECT record_id, {_V('plain', 0, 'plain_question')}, {_V('light', 1, 'light_topic')}, {_V('med', 2, 'own_health')}, {_V('fin', 2, 'own_money')}, {_V('direct', 2, 'identifying_text')}, {_V('secret OR who OR trait OR presence OR data', 2, 'reaches_for_people')} FROM q3")
+@query("c11_cue_sensitivity", f"WITH {_CUES} SELECT record_id, {_V('plain', 0, 'explicit_general_information')}, {_V('light', 1, 'limited_private_topic')}, {_V('med', 2, 'personal_medical')}, {_V('fin', 2, 'personal_finance')}, {_V('direct', 2, 'direct_structured_identifier')}, {_V('secret OR who OR trait OR presence OR data', 2, 'confidential_request')} FROM q3")
 def c11(spark, sf):
     return cued(spark, sf).select("record_id", *[v.alias(n) for n, v in cues.cue_votes("sensitivity").items()])
 
 
-@query("c12_cue_intent", f"WITH {_CUES} SELECT record_id, {_V('plain', 0, 'plain_question')}, {_V('request AND data AND NOT med AND NOT fin', 1, 'own_data')}, {_V('secret AND NOT who', 1, 'secret')}, {_V('request AND med', 2, 'own_health')}, {_V('request AND fin', 3, 'own_money')}, {_V('who', 4, 'who')} FROM q3")
+@query("c12_cue_intent", f"WITH {_CUES} SELECT record_id, {_V('plain', 0, 'general_request')}, {_V('request AND data AND NOT med AND NOT fin', 1, 'personal_data_request')}, {_V('secret AND NOT who', 1, 'confidential_personal_request')}, {_V('request AND med', 2, 'personal_medical_request')}, {_V('request AND fin', 3, 'personal_financial_request')}, {_V('who', 4, 'identity_request')} FROM q3")
 def c12(spark, sf):
     return cued(spark, sf).select("record_id", *[v.alias(n) for n, v in cues.cue_votes("privacy_relevant_intent").items()])
 
@@ -229,7 +229,7 @@ def c12(spark, sf):
 _THREATS = {"re_identification": "who", "attribute_inference": "trait", "membership_inference": "presence"}
 
 
-@query("c13_cue_threats", f"WITH {_CUES} SELECT record_id, {', '.join(_V(f, 1, f'{t}_asks') + ', ' + _V('harmless', 0, f'{t}_states_harmless') + ', ' + _V('preserving AND NOT who AND NOT trait AND NOT presence', 0, f'{t}_states_protection') for t, f in _THREATS.items())} FROM q3")
+@query("c13_cue_threats", f"WITH {_CUES} SELECT record_id, {', '.join(_V(f, 1, f'{t}_semantic_request') + ', ' + _V('harmless', 0, f'{t}_explicit_benign_information') + ', ' + _V('preserving AND NOT who AND NOT trait AND NOT presence', 0, f'{t}_explicit_privacy_preserving_request') for t, f in _THREATS.items())} FROM q3")
 def c13(spark, sf):
     return cued(spark, sf).select("record_id", *[v.alias(f"{t}_{n}") for t in _THREATS for n, v in cues.cue_votes(f"threat_{t}").items()])
 
