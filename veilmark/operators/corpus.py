@@ -82,12 +82,12 @@ def group_bounds(df: DataFrame, by: list[str], order: list[str], places: dict[st
 
     Keys alone are ranked, over range partitions of (group, order); no window and no task holds a group."""
     ranked = global_rank(df.select(*by, *order), [*by, *order])
-    sizes = cut(ranked.groupBy(*by).agg((F.min("rank") - 1).alias("_before"), F.count(F.lit(1)).alias("n")))
+    sizes = ranked.groupBy(*by).agg((F.min("rank") - 1).alias("_before"), F.count(F.lit(1)).alias("n"))
     #: as many rows as groups times places
     wanted = sizes.select(*by, F.explode(F.array(*[F.struct(F.lit(k).alias("place"), (F.col("_before") + F.least(p, F.col("n"))).alias("rank"), (p > 0).alias("some")) for k, p in places.items()])).alias("w"))
     at = wanted.select(F.col("w.rank").alias("_rank"), "w.place", *[F.col(c).alias(f"_b_{c}") for c in by]).where("w.some")
     found = ranked.join(_sized(at), F.col("rank") == F.col("_rank")).select(*by, "place", F.struct(*order).alias("bound"))
-    return cut(found.groupBy(*by).pivot("place", list(places)).agg(F.first("bound")))
+    return found.groupBy(*by).pivot("place", list(places)).agg(F.first("bound"))
 
 
 #: Rows of a table that may be broadcast, after they were counted.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -54,6 +55,43 @@ def encode_texts(df: DataFrame, load: Callable[[], Callable[[list[str]], list]],
     return df.withColumn(column, F.pandas_udf(run, "array<float>")(filled(text_col)))
 
 
+#: What an annotator says of a text: entities as (text, label), and of each token (token, relation, head, is it punctuation).
+Annotated = tuple[list[tuple[str, str]], list[tuple[str, str, str, bool]]]
+ANNOTATION = "struct<entities: array<struct<text: string, label: string>>, dependencies: array<struct<token: string, relation: string, head: string>>, error: string>"
+
+
+def annotate_texts(df: DataFrame, load: Callable[[], Callable[[list[str]], list]], column: str = "annotation", text_col: str = "normalized_text", batch: int = 64, dependencies: int = 50) -> DataFrame:
+    """``df`` with what a user's model finds in each text: entities and the first ``dependencies`` triples that are no punctuation.
+
+    ``load`` is called once in each task and gives a function of at most ``batch`` texts, which returns an ``Annotated`` for
+    each. Where it fails on a batch, its texts are tried one by one; one that fails still has no entities, no dependencies and
+    the reason in ``error``, and the job goes on. The text alone is sent to Python; missing texts are empty ones."""
+    entity = pa.struct([("text", pa.string()), ("label", pa.string())])
+    triple = pa.struct([("token", pa.string()), ("relation", pa.string()), ("head", pa.string())])
+
+    def safely(annotate, texts: list[str]) -> list:
+        try:
+            out = annotate(texts)
+            if len(out) != len(texts):
+                raise ValueError(f"{len(out)} annotations of {len(texts)} texts")
+            return [(*a, None) for a in out]
+        except Exception as e:  # noqa: BLE001  a user's code
+            if len(texts) == 1:
+                return [([], [], f"{type(e).__name__}: {e}")]
+            return [x for t in texts for x in safely(annotate, [t])]
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        annotate = load()
+        for texts in batches:
+            found = [x for lo in range(0, len(texts), batch) for x in safely(annotate, texts.slice(lo, batch).to_pylist())]
+            entities = pa.array([[{"text": t, "label": k} for t, k in e] for e, _, _ in found], pa.list_(entity))
+            shown = [[{"token": t, "relation": r, "head": h} for t, r, h, mark in d if not mark][:dependencies] for _, d, _ in found]
+            yield pa.StructArray.from_arrays([entities, pa.array(shown, pa.list_(triple)), pa.array([e for *_, e in found], pa.string())], names=["entities", "dependencies", "error"])
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return df.withColumn(column, F.arrow_udf(run, ANNOTATION)(filled(text_col)))
+
+
 def evaluate_policies(cases: DataFrame, policies: DataFrame, evaluator: Callable[..., pd.Series], inputs: list[str], kind: str, out: str = "observation", most: int = 1000) -> DataFrame:
     """Every case under every policy, with what the user's ``evaluator`` says of the columns ``inputs``, batch by batch.
 

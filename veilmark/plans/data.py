@@ -134,9 +134,11 @@ def f06_balanced(spark, sf):
     return corpus.balanced(docs(spark, sf), "lang", "b1", "doc_id").select("doc_id", "lang")
 
 
-@query("f11_budget_prefix", "SELECT doc_id, spent FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS spent FROM documents) WHERE spent <= 100000")
+@query("f11_budget_prefix", "SELECT doc_id, spent FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY doc_id)::BIGINT AS spent FROM documents) WHERE spent <= (SELECT sum(n_chars) * 3 // 10 FROM documents)")
 def f11_budget(spark, sf):
-    return corpus.budget_prefix(docs(spark, sf).select("doc_id", "n_chars"), "doc_id", "n_chars", 100000).select("doc_id", "spent")
+    d = docs(spark, sf).select("doc_id", "n_chars")
+    budget = (d.agg(F.sum("n_chars")).first()[0] or 0) * 3 // 10
+    return corpus.budget_prefix(d, "doc_id", "n_chars", budget).select("doc_id", "spent")
 
 
 @query("f11_anchored_prefix", "SELECT doc_id, spent FROM (SELECT doc_id, sum(n_chars) OVER (ORDER BY CASE WHEN lang = 'es' AND doc_id % 50 = 0 THEN 0 ELSE 1 END, doc_id)::BIGINT AS spent FROM documents) WHERE spent <= (SELECT sum(n_chars) // 2 FROM documents)")

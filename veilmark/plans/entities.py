@@ -99,6 +99,32 @@ def i05_documents(spark, sf):
     return E.document_scores(E.decoded(tagged(spark, sf), "gold", "predicted")).withColumn("false_positive_rate", F.round("false_positive_rate", 9))
 
 
+class _NextWord:
+    """A stand-in for a model: capitalised words are names, and each word depends on the one before; it fails on some texts."""
+
+    def __call__(self, texts: list[str]) -> list:
+        out = []
+        for t in texts:
+            if "\n" in t:
+                raise ValueError("line breaks are not supported")
+            words = [w for w in t.split(" ") if w]
+            out.append(([(w, "NAME") for w in words if "A" <= w[0] <= "Z"], [(w, "next", words[i - 1] if i else "", w in ("-", "--")) for i, w in enumerate(words)]))
+        return out
+
+
+@query("b11_entities_and_dependencies", """WITH w AS (SELECT doc_id, coalesce(text, '') AS t, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') AS w FROM documents),
+d AS (SELECT doc_id, contains(t, chr(10)) AS bad, w, list_filter(generate_series(1, len(w)), lambda i: w[i] NOT IN ('-', '--'))[1:50] AS kept FROM w)
+SELECT doc_id, CASE WHEN bad THEN '' ELSE array_to_string(list_filter(w, lambda x: x[1] >= 'A' AND x[1] <= 'Z'), ' ') END AS names, CASE WHEN bad THEN '' ELSE array_to_string(list_transform(kept, lambda i: w[i] || '<' || CASE WHEN i > 1 THEN w[i - 1] ELSE '' END), ' ') END AS triples,
+  CASE WHEN bad THEN 'ValueError: line breaks are not supported' END AS error FROM d""")
+def b11_dependencies(spark, sf):
+    from veilmark.operators.hooks import annotate_texts
+    from veilmark.plans.fixtures import table
+
+    a = annotate_texts(table(spark, sf, "documents").select("doc_id", "text"), _NextWord, text_col="text").select("doc_id", "annotation.*")
+    triples = F.transform("dependencies", lambda d: F.concat(d["token"], F.lit("<"), d["head"]))
+    return a.select("doc_id", F.array_join(F.transform("entities", lambda e: e["text"]), " ").alias("names"), F.array_join(triples, " ").alias("triples"), "error")
+
+
 BUDGET = 36
 #: Tokens of an order's lines: as many subwords as the quantity says, none for some.
 _PIECES = _LI + f"""tk AS (SELECT l_orderkey AS record, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS token, CASE WHEN l_partkey % 19 = 0 THEN 0 ELSE l_quantity::INT END AS n, l_partkey % 1000 AS p FROM li),

@@ -136,15 +136,15 @@ def m04(spark, sf):
     return made.groupBy("source_dataset", "domain").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("query_text")).alias("chars"))
 
 
-@query("b34_stage_trace", r"""WITH few AS (SELECT doc_id, left(coalesce(text, ''), 200) AS t FROM documents WHERE doc_id % 10 = 0 AND doc_id < 2000 AND regexp_full_match(left(coalesce(text, ''), 200), '[\x00-\x7F]*')),
+@query("b34_stage_trace", r"""WITH few AS (SELECT doc_id, coalesce(text, '') AS t FROM documents WHERE doc_id % 10 = 0 AND doc_id < 2000 AND regexp_full_match(coalesce(text, ''), '(?s)[\x00-\x7F]*')),
 c AS (SELECT doc_id, t, trim(regexp_replace(t, '[\s\x0B\x1C-\x1F]+', ' ', 'g')) AS u FROM few)
 SELECT doc_id, 0 AS step, 'collapse' AS stage, t AS before, u AS after FROM c UNION ALL SELECT doc_id, 1, 'lower', u, lower(u) FROM c
 UNION ALL SELECT doc_id, 2, 'drop_short', lower(u), CASE WHEN length(u) >= 80 THEN lower(u) END FROM c""")
 def b34(spark, sf):
-    """A batch of documents through three stages; heads of texts only, as a trace is to be read."""
+    """A batch of documents through three stages."""
     from veilmark.functions.text import collapsed
 
-    few = docs(spark, sf).where("doc_id % 10 = 0 and doc_id < 2000").select("doc_id", F.substring(filled("text"), 1, 200).alias("t")).where(F.col("t").rlike(r"^\p{ASCII}*$"))
+    few = docs(spark, sf).where("doc_id % 10 = 0 and doc_id < 2000").select("doc_id", filled("text").alias("t")).where(F.col("t").rlike(r"\A\p{ASCII}*\z"))
     stages = {"collapse": lambda d: d.withColumn("t", collapsed("t")), "lower": lambda d: d.withColumn("t", F.lower("t")), "drop_short": lambda d: d.where(F.length("t") >= 80)}
     return hooks.stage_trace(few, "doc_id", "t", stages)
 
