@@ -58,21 +58,38 @@ def _streamed(chunk: int):
     return run
 
 
+def _listed(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, size) of all files below a path or pattern, empty ones too, as the store names them; hidden ones are left out."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = []
+    for status in store.globStatus(at) or ():
+        files = store.listFiles(status.getPath(), True)
+        while files.hasNext():
+            f = files.next()
+            if f.getPath().getName()[0] not in "._":
+                found.append((f.getPath().toUri().toString(), f.getLen()))
+    return found
+
+
 def file_digests(spark: SparkSession, path: str, chunk: int = CHUNK) -> DataFrame:
     """(path, size, sha256) of all files below ``path``: one task a file, which reads ``chunk`` bytes at a time.
 
-    Spark lists the files without reading them. Stores that Arrow cannot open are read by Spark, up to 2 GB a file."""
+    The driver lists names and sizes only. Stores that Arrow cannot open are read by Spark, up to 2 GB a file."""
     from pyarrow import fs
 
-    listed = spark.read.format("binaryFile").load(path).select("path", "length")
-    paths = [r["path"] for r in listed.collect()]  # names of files, as Spark's own listing holds them
+    found = _listed(spark, path)
     try:
-        for p in paths[:1]:
+        for p, _ in found[:1]:
             store, at = fs.FileSystem.from_uri(p)
             store.get_file_info(at)
     except (pa.ArrowException, OSError, ImportError):
-        return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"))
-    rows = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
+        none = spark.createDataFrame([(p, 0, hashlib.sha256().hexdigest()) for p, n in found if n == 0], "path string, size long, sha256 string")
+        if not any(n for _, n in found):
+            return none
+        some = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load([p for p, n in found if n])
+        return some.select("path", F.col("length").alias("size"), F.sha2("content", 256).alias("sha256")).unionByName(none)
+    rows = spark.createDataFrame([(p,) for p, _ in found], "path string").repartition(max(1, len(found)))
     return rows.mapInArrow(_streamed(chunk), "path string, size long, sha256 string")
 
 
