@@ -345,6 +345,47 @@ def test_bpe(spark):
     assert bpe.decode(bpe.encode(clash.limit(0), path, public_tokenizers.PATTERN), path).isEmpty() and bpe.round_trip(clash.limit(0), path, public_tokenizers.PATTERN).isEmpty()
 
 
+def white_space_ranks(ranks, pairs=()):
+    """The vocabulary with tokens for runs of white space, whose left parts are tokens too."""
+    more = dict(ranks)
+    for token in (b"  ", b"\n ", b" \n", b"   ", b"\n\n", b"\n\n ", *pairs):
+        if token not in more:
+            more[token] = max(more.values()) + 1
+    return more
+
+
+def test_bpe_cuts_texts_where_matches_end():
+    """With tokens for white space a cut inside a match would show."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks = white_space_ranks(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")))
+    ref = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encoder = bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    ids = lambda t: np.frombuffer(encoder(t), "<u4").tolist()
+    for t in ("a  ", "x\n ", "  ", " ", "   ", " a", "  a", "a \n", "a  b", "a\n b", "\n\n b ", "a\u3000 ", "\x1c ", "a \x1c"):
+        assert ids(t) == ref.encode_ordinary(t), repr(t)
+    r = random.Random(12)
+    letters = ["a", "the", " ", " ", " ", "\n", "\t", "é", "'s", "1", "\x1c", "\u3000", "."]
+    for _ in range(20_000):
+        t = "".join(r.choice(letters) for _ in range(r.randrange(9)))
+        assert ids(t) == ref.encode_ordinary(t), repr(t)
+
+
+@pytest.mark.parametrize("pattern", [r"\S+|\s+", r"[^ ]+ ?| +", r"\p{L}+ \p{L}+|\s|\S"])
+def test_bpe_under_other_patterns(pattern):
+    """Their matches may hold spaces anywhere."""
+    import public_tokenizers
+    import tiktoken
+
+    ranks = white_space_ranks(bpe.load_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), (b"a ", b"e "))
+    ref = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encoder, r = bpe.Encoder(ranks, pattern), random.Random(13)
+    for _ in range(3000):
+        t = "".join(r.choice(["a", "the", " ", " ", "\n", "é", "1"]) for _ in range(r.randrange(9)))
+        assert np.frombuffer(encoder(t), "<u4").tolist() == ref.encode_ordinary(t), repr(t)
+
+
 def test_transducer_emits_before_the_end():
     import public_tokenizers
 

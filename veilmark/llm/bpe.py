@@ -4,12 +4,11 @@ Encoding. A sequence of tokens is the BPE encoding of its bytes exactly when eve
 out as themselves. So each prefix of a piece has one last token, found by walking a trie of the vocabulary from every
 boundary that can still matter. A state of the transducer is the set of those walks with the tokens on which they still
 differ; tokens that all walks share are emitted. Walks are no longer than the longest token, which bounds the lookahead.
-Transitions that are met again and again are made into states
-and kept, up to a limit; from one that isn't there yet, the rest of the piece is followed through the machine
-as it is, longest arc first.
+Transitions that are met again and again are made into states and kept, up to a limit; from one that isn't there yet, the
+rest of the piece is followed through the machine as it is, longest arc first, to the piece's end.
 
-Decoding. Tokens may end inside a character. The decoder is in the state of the bytes that are pending; for each state and
-token it keeps which bytes are complete and which state follows.
+Decoding. Tokens may end inside a character. The decoder's state is the bytes that are pending; of what it is fed at a time,
+all before the last lead byte is certain, and a UTF-8 machine runs over the rest.
 """
 
 from __future__ import annotations
@@ -33,6 +32,8 @@ from veilmark.llm.worker import claim
 
 _ROOT = 0
 _NEVER = 1 << 62
+# Fixed value: the published pattern under which texts may be cut before spaces.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Times that a transition is met before it is made.
 HOT = 12
 #: What a task remembers, at most: states, whether tokens fit side by side, and pieces (twice, as those not met of late go).
@@ -220,15 +221,16 @@ class Pieces(dict):
 class Encoder:
     """Texts to ids as bytes.
 
-    No match of the pattern goes on past a space that has something else than white space before or after it: a run of white
-    space gives its last character to what follows, and a match has a space at its start only. So texts are cut there and
-    what lies between is looked up whole; a text with white space on both sides of a space is matched as it is."""
+    Each match of the pattern is encoded by itself. Under ``SPACED`` a match has a space at its start or is white space alone,
+    and white space gives its last character to what follows, if anything does. So a match ends before every space but one
+    that has white space before it and white space or the text's end after it. Texts without such a space are cut before
+    spaces and what lies between is looked up whole; others, and all texts under another pattern, are matched as they are."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, limit: int = PIECES):
         #: White_Space is what \s means to the tokenizer's own engine; the regex module would add U+001C to U+001F
         same = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.split = regex.compile(same).findall
-        self.runs = re.compile(r"\s \s").search
+        self.whole = re.compile(r"\s (?:\s|\Z)").search if pattern == SPACED else lambda text: True
         self.transducer = Transducer(ranks)
         self.pieces = Pieces(self.ids, limit)
         self.spaced = Pieces(self.after_blank, limit)
@@ -250,7 +252,7 @@ class Encoder:
         return b"".join(map(self.pieces.__getitem__, self.split(text)))
 
     def __call__(self, text: str) -> bytes:
-        if self.runs(text):
+        if self.whole(text):
             return self.matched(text)
         first, *parts = text.split(" ")
         return self.matched(first) + b"".join(map(self.spaced.__getitem__, parts))
