@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm import brute
+from veilmark.llm.hashing import text_bytes, words
 from veilmark.llm import bpe, embedding_dedup, exact_dedup, line_dedup, mixing, ngram_join, sharding, substring_dedup, toxicity, warc
 
 WORDS = ["alpha", "beta", "Gamma", "delta", "épsilon", "zeta", "eta", "Theta", "iota", "kappa", "λ", "mu"]
@@ -301,14 +302,37 @@ def test_occurrences_are_of_whole_words_within_a_document():
     assert substring_dedup.occurrences(raw, w, np.array([1]), 2).tolist() == want
 
 
-def test_repeats_come_through_the_automata(spark, monkeypatch):
-    docs = [(i, " ".join(f"w{k}" for k in range(60))) for i in range(3)]
-    assert substring_dedup.remove_repeats(frame(spark, docs)).agg(F.sum("n_removed")).first()[0] == 180
+def test_windows_come_from_the_automata_alone(monkeypatch):
+    """What the automata find, and nothing else, makes windows candidates: the places that windows picked are fewer."""
+    r = random.Random(2)
+    prose = lambda k: [f"w{r.randrange(3000)}" for _ in range(k)]
+    passage = prose(10)
+    docs = [" ".join(prose(20) + passage + prose(20)) for _ in range(40)] + [" ".join(prose(60)) for _ in range(5)]
+    table = pa.table({"doc_id": list(range(len(docs))), "text": docs, "_row": list(range(len(docs))), "_shard": pa.array([0] * len(docs), pa.int32())})
+    raw, ends = text_bytes(table.column("text"))
+    w = words(raw, ends)
+    start, at, grams = substring_dedup.picks(w, 12, 4)
+    picked, times = np.unique(grams[np.unique(at)], return_counts=True)
+    confirmed = picked[times > 1]
+    phrases = pa.table({"shard": pa.array([0] * len(confirmed), pa.int32()), "h": confirmed.view(np.int64)})
+    candidates = lambda: sum(abs(n) for n in substring_dedup._windows("text", 12, 4, 8)(table, phrases).column("n").to_pylist() if n > 0)
+    through = candidates()
+    hit = np.flatnonzero(np.isin(grams, confirmed) & (np.searchsorted(w.of_doc, np.arange(len(grams)), side="right") == np.searchsorted(w.of_doc, np.arange(len(grams)) + 3, side="right")))
+    assert through == sum(((hit >= s) & (hit <= s + 8)).any() for s in start.tolist()) > 0
+    own = np.unique(at[np.isin(grams[at], confirmed)])
+    monkeypatch.setattr(substring_dedup, "occurrences", lambda *a: own)  # a look-up of picked places by hash
+    assert candidates() < through
     monkeypatch.setattr(substring_dedup, "occurrences", lambda *a: np.zeros(0, np.int64))
-    run = substring_dedup._windows("text", 35, 8, 8)
-    row = spark.createDataFrame(docs, "doc_id long, text string").select("text", F.xxhash64("text").alias("_row"), F.lit(0).alias("_shard")).toArrow()
-    grams = substring_dedup.ngram_hashes(substring_dedup.words(*substring_dedup.text_bytes(row.column("text"))).hash, 8)
-    assert run(row, pa.table({"shard": pa.array([0] * len(grams), pa.int32()), "h": pa.array(grams.view(np.int64))})).num_rows == 0
+    assert candidates() == 0
+
+
+def test_repeats_among_many_rows_without_an_id(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "SHARD", 2000)
+    r = random.Random(6)
+    text = " ".join(f"w{r.randrange(400)}" for _ in range(50))
+    docs = [(None, text if i % 2 else None) for i in range(3000)] + [(i, " ".join(f"v{r.randrange(400)}" for _ in range(45)) + (" " + text if i % 5 == 0 else "")) for i in range(20)]
+    got = substring_dedup.remove_repeats(frame(spark, docs)).withColumn("sha", F.sha2("kept", 256))
+    assert rows(got, "doc_id", "n_words", "n_removed", "sha") == sorted(brute.repeats(docs), key=str)
 
 
 def test_regular_words_are_told_apart(spark):

@@ -2,11 +2,12 @@
 
 1. Each window of ``window`` words picks its least-hashed phrase of ``phrase`` words, so equal windows pick equal phrases.
    A phrase picked at two places or more, in whatever documents, is confirmed as a part of a recurring passage.
-2. Documents are dealt to shards of about ``SHARD`` bytes of text, and confirmed phrases to the shards that have them. A
+2. Documents are dealt to shards of about ``SHARD`` bytes of text, and confirmed phrases to the shards that picked them. A
    shard's phrases are compiled into one Aho-Corasick automaton, and all documents of the shard are streamed through it. It
-   finds every occurrence by the bytes of the text; nothing else says where phrases are.
-3. Windows whose own phrase is an occurrence can recur; those whose 96-bit hash starts at two places or more do. Both parts of
-   the hash come from independent hashes of the words.
+   finds every occurrence by the bytes of the text, also where no window picked the phrase. Places that were picked serve to
+   read a phrase's text once, and are then forgotten.
+3. Windows that hold an occurrence can recur, and no others can; those whose 96-bit hash starts at two places or more do.
+   Both parts of the hash come from independent hashes of the words.
 4. Words that a recurring window covers go.
 
 Phrases and windows are counted by ranges of their hash. What occurs twice within a task's share is known to recur there and
@@ -26,10 +27,13 @@ from pyspark.sql import functions as F
 
 from veilmark.llm.hashing import Words, ngram_hashes, slices, text_bytes, words
 from veilmark.llm.worker import claim
+from veilmark.scratch import cut
 
 WINDOW, PHRASE = 35, 8
 #: Bytes of text that share an automaton, and that are counted together before entries are sent on.
 SHARD, SHARE = 2 << 20, 16 << 20
+#: Rows with a text and without an id that may share a shard, if they are alike.
+NAMELESS = 1000
 #: Entries that a bucket holds before those of one key are folded.
 HELD = 2_000_000
 _ENTRY = "bucket long, n long, blob binary"
@@ -223,7 +227,8 @@ def _windows(text_col: str, window: int, phrase: int, buckets: int):
         confirmed = np.unique(np.asarray(phrases.column("h")).view(np.uint64))
         own, first = np.unique(grams[at], return_index=True)
         hits = occurrences(raw, w, at[first[np.isin(own, confirmed)]], phrase)
-        start = start[np.isin(at, hits)]
+        upto = np.searchsorted(hits, np.stack([start, start + window - phrase + 1]))
+        start = start[upto[1] > upto[0]]
         doc = np.searchsorted(w.of_doc, start, side="right") - 1
         if not len(start):
             return pa.Table.from_batches([_packed(iter(()))])
@@ -268,15 +273,22 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A window recurs if its words start anywhere else, in the same text or another
     row's, rows that repeat id and text included. A null text has no words. An empty table gives no rows. Columns of these
-    names in ``docs`` are replaced, as are those named _shard or _row. Rows alike in id and text share a shard."""
+    names in ``docs`` are replaced, as are those named _shard or _row. Rows alike in id and text share a shard; empty texts and
+    rows without an id, which may be many alike, are dealt by their place. Where many have none, places are written down first."""
     if not 1 <= phrase <= window:
         raise ValueError("a phrase is a part of a window")
     cols = [c for c in docs.columns if c not in ("n_words", "n_removed", "kept", "_shard", "_row")]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    total, nameless = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0)), F.count_if(F.col(id_col).isNull() & (text != ""))).first()
     shards, buckets = max(1, -(-total // SHARD)), max(8, 1 << math.ceil(math.log2(max(1, total / (4 * SHARD)))))
     row = F.xxhash64(F.col(id_col), text)
-    keyed = docs.select(*cols, row.alias("_row"), F.pmod(row, F.lit(shards)).cast("int").alias("_shard"))
+    apart = text == ""
+    if nameless > NAMELESS:
+        apart |= F.col(id_col).isNull()
+    shard = F.pmod(F.when(apart, F.xxhash64(F.monotonically_increasing_id())).otherwise(row), F.lit(shards)).cast("int")
+    keyed = docs.select(*cols, row.alias("_row"), shard.alias("_shard"))
+    if nameless > NAMELESS:  # both passes must find a row at the same place
+        keyed = cut(keyed)
     deal = lambda df, kind, out: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(kind.recurring(), out)
     found = keyed.select(F.col("_shard").alias("shard"), F.col(text_col).alias("text")).mapInArrow(_phrases(window, phrase, buckets), _ENTRY)
     phrases = deal(found, PHRASES, "shard int, h long")
