@@ -2,8 +2,8 @@
 
 Every document of a source is expected ``target / source size`` times. Along the documents of a source, in an order that
 puts sizes side by side, expected copies add up from one random start; a document is emitted once for each whole number
-that the sum passes. The order is (size class, lot, size, id): lots are hashed so that no window holds more than about
-``LOT_ROWS`` rows of a source, whatever its share, and the sums before each lot come from the lots' totals.
+that the sum passes. The order is (size class, lot, size, id): lots are hashed from id and text so that no window holds more
+than about ``LOT_ROWS`` rows of a source, whatever its share, and the sums before each lot come from the lots' totals.
 """
 
 from __future__ import annotations
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from veilmark.scratch import cut
+
 LOT_ROWS = 50_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -61,15 +63,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         {
             "_source": F.coalesce(F.concat(F.lit("s"), F.col(source_col)), F.lit("n")),
             "_class": F.length(F.bin("size")),
-            "_lot_draw": _draw(F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))),
+            "_lot_draw": _draw(F.lit(str(seed)), F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(text_col).cast("string")),
         }
     )
-    classes = rows.groupBy("_source", "_class").agg(F.first(source_col, ignorenulls=True).alias("source"), F.sum("size").alias("s"), F.count(F.lit(1)).alias("n"))
     total = docs.count()
     n_lots = max(1, -(-total // LOT_ROWS))
     rows = rows.withColumn("_lot", F.floor(F.col("_lot_draw") * n_lots).cast("int"))
-    lots = rows.groupBy("_source", "_class", "_lot").agg(F.count(F.lit(1)).alias("_rows"))
-    sizes = classes.groupBy("_source").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("s").alias("size"))
+    #: a row for each lot of a size class and source; words are counted for these once, and once more for the rows
+    lots = cut(rows.groupBy("_source", "_class", "_lot").agg(F.first(source_col, ignorenulls=True).alias("source"), F.sum("size").alias("_s"), F.count(F.lit(1)).alias("_rows")))
+    sizes = lots.groupBy("_source").agg(F.first("source", ignorenulls=True).alias("source"), F.sum("_s").alias("size"))
+    lots = lots.drop("source", "_s")
     targets = source_targets(sizes, "source", "size", weights, most)
     lots = lots.withColumn("_before", F.sum("_rows").over(Window.partitionBy("_source").orderBy("_class", "_lot")) - F.col("_rows"))
     targets = targets.withColumn("_s", F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))).drop("source")
