@@ -1,8 +1,9 @@
 """Line dedup: which lines of a corpus repeat, as one compressed bitmap for each document that loses any.
 
 Line keys are hashed (128-bit) and range-partitioned by hash and document; each partition streams its sorted rows once,
-holding no more than the rows of the run at hand that is still below the threshold. A key may span partitions: only the
-first and last run of a partition can, so they add two rows a partition to a small table that settles them.
+holding no more than ``HELD`` rows of the run at hand that is still below the threshold. A key may span partitions: only the
+first and last run of a partition can, so they add two rows a partition to a small table that settles them, as do runs that
+were too long to be held, of lines that few documents have very often.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from veilmark.scratch import cut
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _DROP, _PENDING, _RUN = 0, 1, 2
+#: Rows of a run that are held until it is settled, and runs that are broadcast, once counted.
+HELD, FEW = 1000, 10_000
 _FOUND = "kind int, doc long, same long, pos int, h binary, n long, part int, first boolean"
 
 
@@ -53,13 +56,14 @@ class _Runs:
         self.last: tuple = ()  # its last document
         self.rows: list[tuple] = []  # its rows that aren't settled
         self.begun = False  # its first row has gone by
+        self.long = False  # some of its rows are pending already
         self.edge = True  # the run at hand is the partition's first
         self.out: list[tuple] = []
 
     def add(self, key: bytes, doc: int | None, same: int, pos: int) -> None:
         if key != self.key:
             self.end(False)
-            self.key, self.docs, self.last, self.rows, self.begun = key, 0, (), [], False
+            self.key, self.docs, self.last, self.rows, self.begun, self.long = key, 0, (), [], False, False
         if (doc,) != self.last:
             self.docs, self.last = self.docs + 1, (doc,)
         self.rows.append((doc, same, pos, not self.begun))
@@ -70,8 +74,9 @@ class _Runs:
         elif self.docs >= self.min_docs and not self.edge:
             self.out += [(_DROP, d, s, p, None, 0, 0, False) for d, s, p, f in self.rows if not f]
             self.rows = []
-        elif self.keep_first and self.edge and len(self.rows) > 1000:
+        elif len(self.rows) > HELD:
             self.pend()
+            self.long = True
 
     def pend(self) -> None:
         self.out += [(_PENDING, d, s, p, self.key, 0, self.part, f) for d, s, p, f in self.rows]
@@ -80,7 +85,7 @@ class _Runs:
     def end(self, last: bool) -> None:
         """The run at hand is over; ``last``: it may go on in the next partition."""
         if self.key is not None:
-            if self.edge or last:
+            if self.edge or last or self.long:
                 self.pend()
                 self.out.append((_RUN, None, 0, 0, self.key, self.docs, self.part, False))
             self.edge = False
@@ -125,13 +130,13 @@ def keep_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed = lines.withColumn("key", key).where(F.length("key") >= min_chars).select(F.unhex(F.md5("key")).alias("h"), "doc", "same", "pos")
     ranged = keyed.repartitionByRange("h", "doc").sortWithinPartitions("h", "doc", "same", "pos")
     found = cut(ranged.mapInArrow(_stream(min_docs, keep == "first"), _FOUND))
-    #: at most two rows a partition, summed
-    runs = found.where(F.col("kind") == _RUN).groupBy("h").agg(F.sum("n").alias("docs"), F.min("part").alias("begins"))
+    #: at most two rows a partition, and one for each long run
+    runs = cut(found.where(F.col("kind") == _RUN).groupBy("h").agg(F.sum("n").alias("docs"), F.min("part").alias("begins")).where(F.col("docs") >= min_docs))
+    runs = F.broadcast(runs) if runs.count() <= FEW else runs.hint("merge")
     settled = (
         found.where(F.col("kind") == _PENDING)
         .select("h", "doc", "same", "pos", "part", "first")
-        .join(F.broadcast(runs), "h")
-        .where(F.col("docs") >= min_docs)
+        .join(runs, "h")
         .where(F.lit(keep == "none") | ~(F.col("first") & (F.col("part") == F.col("begins"))))
     )
     drops = found.where(F.col("kind") == _DROP).select("doc", "same", "pos").unionByName(settled.select("doc", "same", "pos"))
