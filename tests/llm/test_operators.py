@@ -67,6 +67,18 @@ def test_lines_of_a_key_over_many_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_lines_of_many_rows_without_an_id(spark, monkeypatch, keep):
+    """They count as one document; what they hold of a line is written down, not held."""
+    monkeypatch.setattr(line_dedup, "HELD", 7)
+    docs = [(None, f"often\n{i}\nrare") for i in range(2000)] + [(i, "often\nelse") for i in range(3)]
+    got = line_dedup.dedup_lines(frame(spark, docs), min_docs=4, keep=keep)
+    assert got.agg(F.sum("n_dropped")).first()[0] == (2003 if keep == "none" else got.agg(F.count_if(F.col("n_dropped") == 1)).first()[0])
+    gone = got.where("n_dropped > 0").count()
+    assert gone == 2003 if keep == "none" else gone in range(1, 2003)
+    assert line_dedup.dedup_lines(frame(spark, docs), min_docs=5, keep=keep).agg(F.sum("n_dropped")).first()[0] == 0
+
+
 def test_line_bitmaps_round_trip():
     drop = np.array([0, 3, 17])
     keep = line_dedup.unpack(line_dedup.pack(drop), 30)
@@ -186,6 +198,17 @@ def test_mix(spark):
     assert mixing.emit(mixing.mix(df), ["doc_id"]).count() == sum(r["copies"] for r in got)
 
 
+def test_lots_part_rows_without_an_id(spark, monkeypatch):
+    """No lot holds much more than its share, whatever ids are missing or repeated."""
+    monkeypatch.setattr(mixing, "LOT_ROWS", 200)
+    docs = [(None if i % 2 else 7, " ".join(f"w{i}" for _ in range(3)), "a") for i in range(4000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    draw = mixing._draw(F.lit("1"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64("text").cast("string"))
+    assert max(r["count"] for r in df.groupBy(F.floor(draw * 20)).count().collect()) < 300
+    mixed = mixing.mix(df)
+    assert mixed.count() == 4000 and abs(mixed.agg(F.sum(F.col("copies") * F.col("size"))).first()[0] - 12_000) <= 3
+
+
 def test_similar(spark):
     docs = corpus(200)
     got = ngram_join.similar_groups(frame(spark, docs, extra=True))

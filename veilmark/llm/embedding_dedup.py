@@ -135,28 +135,31 @@ def split_overfull(placed: DataFrame, leaf: int, spill: float, seed: int) -> Dat
 
     A leaf of which a split would leave more than nine in ten on one side stays. Each round splits all overfull leaves once."""
     stay = None
+    #: leaves are looked up by how many rows they have: one that holds a large share of all is in no task as a whole
+    found = lambda rows, leaves, total: join_counted(rows, leaves, ["leaf"], total, "_n", "node")
+    here = F.lit(True).alias("_here")
     while True:
         pairs = placed.select("node", F.explode("leaves").alias("leaf"))
         full = pairs.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > OVERFULL * leaf)
         if stay is not None:
             full = full.join(stay.hint("merge"), "leaf", "left_anti")
         full = cut(full)
-        if full.isEmpty():
+        total = full.agg(F.sum("_n")).first()[0]
+        if not total:
             return placed
-        inside = placed.select("node", "vector", F.explode("leaves").alias("leaf")).join(full.select("leaf").hint("merge"), "leaf")
+        inside = found(placed.select("node", "vector", F.explode("leaves").alias("leaf")), full.select("leaf", "_n", here), total).where("_here")
         gaps = cut(inside.select("node", "leaf", "vector").mapInArrow(_gaps(seed), "node long, leaf long, at double"))
         medians = cut(gaps.groupBy("leaf").agg(F.percentile_approx("at", 0.5, 1000).alias("median"), F.count(F.lit(1)).alias("_n")))
         low, high = F.col("at") - F.col("median") < spill, F.col("at") - F.col("median") >= -spill
-        #: one row a leaf and at most two a vector and leaf: joined by shuffle
-        aside = gaps.join(medians.hint("merge"), "leaf")
-        even = aside.groupBy("leaf").agg(F.max("_n").alias("_n"), F.count_if(low).alias("lows"), F.count_if(high).alias("highs"))
+        aside = found(gaps, medians, total)
+        even = aside.groupBy("leaf").agg(F.count(F.lit(1)).alias("_n"), F.count_if(low).alias("lows"), F.count_if(high).alias("highs"))
         even = cut(even.withColumn("ok", (F.greatest("lows", "highs") <= 0.9 * F.col("_n")) & (F.col("leaf").bitwiseAND(F.lit((1 << _PATH) - 1)) < 1 << _PATH - 1)))
         stay = even.where("not ok").select("leaf") if stay is None else cut(stay.unionByName(even.where("not ok").select("leaf")))
         path = F.col("leaf").bitwiseAND(F.lit((1 << _PATH) - 1))
         child = lambda k: F.col("leaf") + path + k
-        fresh = aside.join(even.where("ok").select("leaf").hint("merge"), "leaf").select("node", F.explode(F.array_compact(F.array(F.when(low, child(0)), F.when(high, child(1))))).alias("leaf"))
-        gone = even.where("ok").select("leaf")
-        kept = pairs.join(gone.hint("merge"), "leaf", "left_anti").select("node", "leaf")
+        gone = even.where("ok").select("leaf", "_n", here)
+        fresh = found(aside, gone, total).where("_here").select("node", F.explode(F.array_compact(F.array(F.when(low, child(0)), F.when(high, child(1))))).alias("leaf"))
+        kept = found(pairs, gone, total).where("_here is null").select("node", "leaf")
         leaves = kept.unionByName(fresh).groupBy("node").agg(F.array_sort(F.collect_list("leaf")).alias("leaves"))
         placed = cut(placed.drop("leaves").join(leaves.hint("merge"), "node"))
 
