@@ -69,7 +69,8 @@ def decision_summary(df: DataFrame) -> DataFrame:
     rows = [("risk_level", v) for v in LEVELS] + [("policy", v) for v in POLICIES.values()] + [("fallback", v) for v in ("true", "false")]
     every = df.sparkSession.createDataFrame(rows, "kind string, value string")
     long = df.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in (("risk_level", F.col("risk_level")), ("policy", F.col("policy")), ("fallback", F.col("fallback_applied").cast("string")))])).alias("x")).select("x.*")
-    return every.join(long.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n")), ["kind", "value"], "left").fillna(0, ["n"])
+    #: a row for each level, policy and answer
+    return every.join(F.broadcast(long.groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))), ["kind", "value"], "left").fillna(0, ["n"])
 
 
 def evidence_masses(entities: DataFrame, record: str, tiers: dict[str, int], unknown: int, weights: dict[str, float] | None = None) -> DataFrame:

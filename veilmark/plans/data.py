@@ -310,7 +310,7 @@ def j11_audit(spark, sf):
 def j12_nested(spark, sf):
     n = corpus.nested_subsets(docs(spark, sf), "doc_id", "n1", [0.25, 0.5])
     small, large = n.where("fraction = 0.25").select("doc_id"), n.where("fraction = 0.5").select("doc_id")
-    return small.join(large, "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("outside"))
+    return small.join(large.hint("merge"), "doc_id", "left_anti").agg(F.count(F.lit(1)).alias("outside"))
 
 
 @query("b22_routing", f"WITH {CL} SELECT coalesce(reason, 'accepted') AS reason, count(*) AS n FROM (SELECT CASE WHEN length(query_text) < 10 THEN 'short' WHEN context_text = '' THEN 'no_context' END AS reason FROM cl) GROUP BY ALL")

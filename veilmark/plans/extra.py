@@ -15,7 +15,7 @@ from veilmark.plans.fixtures import EV, TQ, VOTES, em_cte, records, table, tq, v
 from veilmark.plans.labels import _votes
 from veilmark.plans.registry import query
 from veilmark.plans.scores import _DRAWS, _P10, draws, probs
-from veilmark.scratch import checkpoint_dir, cut
+from veilmark.scratch import checkpoint_dir, cut, drop
 
 RATIOS = {"train": 0.7, "validation": 0.1, "calibration": 0.1, "test": 0.1}
 
@@ -86,7 +86,9 @@ def j10(spark, sf):
         }
     )
     bad.write.parquet(path)
-    return labeling.inconsistent(spark.read.parquet(path), good, "record_id", "votes", "probabilities").select("record_id", "reason")
+    found = cut(labeling.inconsistent(spark.read.parquet(path), good, "record_id", "votes", "probabilities").select("record_id", "reason"))
+    drop(spark, path)
+    return found
 
 
 @query("b13_text_encoder", "SELECT doc_id, length(coalesce(text, ''))::FLOAT AS x, (length(coalesce(text, '')) - length(replace(coalesce(text, ''), 'e', '')))::FLOAT AS y FROM documents")
@@ -253,4 +255,4 @@ def j12_breaks(spark, sf):
     """Of the subset of a quarter, what a half that lost some rows does not hold."""
     n = corpus.nested_subsets(docs(spark, sf), "doc_id", "n1", [0.25, 0.5])
     small, large = n.where("fraction = 0.25").select("doc_id"), n.where("fraction = 0.5 and doc_id % 17 <> 0").select("doc_id")
-    return small.join(large, "doc_id", "left_anti")
+    return small.join(large.hint("merge"), "doc_id", "left_anti")

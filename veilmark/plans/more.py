@@ -295,7 +295,8 @@ def i07(spark, sf):
     w = F.substring(F.col("text"), F.col("x.spans.start") + 1, F.col("x.spans.end") - F.col("x.spans.start"))
     changed = F.col("x.entity_changed")
     n = x.groupBy("attack").agg(F.count_if(changed).alias("changed"), F.count_if(changed & ~w.rlike(f"^(?:{_ATT})$")).alias("missed"))
-    return spark.createDataFrame([(k,) for k in kinds], "attack string").join(n, "attack", "left").fillna(0)
+    #: one row an attack
+    return spark.createDataFrame([(k,) for k in kinds], "attack string").join(F.broadcast(n), "attack", "left").fillna(0)
 
 
 @query("i17_temperature_by_head", f"WITH {temperature_sql({'first': 0, 'second': 10})} SELECT head, round(exp(t), 2) AS temperature, round(nll, 6) AS nll, round((SELECT avg(ln(list_sum(list_transform(l, lambda x: exp(x - top)))) + top - y) FROM hy WHERE hy.head = b2.head), 6) AS nll_before FROM b2")

@@ -14,7 +14,7 @@ from veilmark.plans.fixtures import EV, GAZETTEER, TQ, VOTES, records, table, tq
 from veilmark.plans.registry import query
 from veilmark.plans.scores import _ENT, _P10, _RISK, decisions, entities, probs
 from veilmark.plans.spans import _BOTH, gold, predicted
-from veilmark.scratch import checkpoint_dir
+from veilmark.scratch import checkpoint_dir, cut, drop
 from veilmark.sources import readers
 from veilmark.streaming import incremental
 
@@ -23,12 +23,20 @@ def _folder(spark, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _kept(out, *paths):
+    """``out`` materialised, so that the folders that it was read from can go."""
+    out = cut(out)
+    for path in paths:
+        drop(out.sparkSession, path)
+    return out
+
+
 @query("a01_json_lines", "SELECT count(*) AS n, count(DISTINCT doc_id) AS ids, sum(length(coalesce(text, '')))::BIGINT AS chars FROM documents")
 def a01(spark, sf):
     path = _folder(spark, "jsonl")
     docs(spark, sf).select("doc_id", "text").write.json(path)
     back = readers.read_jsonl(spark, path, "doc_id long, text string")
-    return back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"), F.sum(F.length(filled("text"))).alias("chars"))
+    return _kept(back.agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("ids"), F.sum(F.length(filled("text"))).alias("chars")), path)
 
 
 @query("a06_source_precedence", "SELECT 'real_local' AS source_mode, count(*) AS n FROM documents")
@@ -41,7 +49,7 @@ def a06(spark, sf):
 def a14(spark, sf):
     path = _folder(spark, "splits")
     readers.write_splits(split(spark, sf).select("doc_id", "split"), path)
-    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
+    return _kept(spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n")), path)
 
 
 @query("a15_weak_label_sink", "WITH " + EV + " SELECT t AS dimension, count(*) AS n FROM ev, (VALUES ('intent'), ('sensitivity')) AS x(t) GROUP BY t")
@@ -50,7 +58,7 @@ def a15(spark, sf):
     m = labeling.vote_matrix(records(spark, sf), ["sensitivity", "intent"])
     rows = [F.struct(F.lit(t).alias("dimension"), labeling.majority(F.col(f"votes_{t}"), len(labeling.TAXONOMY[t])).alias("probabilities")) for t in ("sensitivity", "intent")]
     readers.write_splits(m.select("record_id", F.explode(F.array(*rows)).alias("x")).select("record_id", "x.*"), path, by="dimension")
-    return spark.read.parquet(path).groupBy("dimension").agg(F.count(F.lit(1)).alias("n"))
+    return _kept(spark.read.parquet(path).groupBy("dimension").agg(F.count(F.lit(1)).alias("n")), path)
 
 
 @query("b01_missing_text", "SELECT count(*) FILTER (WHERE coalesce(text, '') = '') AS empty FROM documents")
@@ -143,4 +151,4 @@ def l01(spark, sf):
     for part in (0, 1):
         rows.where(F.col("record_id") % 2 == part).write.mode("append").parquet(src)
         incremental.run(spark, src, sink, progress, "record_id long, domain string, query_text string, context_text string", ["sensitivity"], GAZETTEER)
-    return spark.read.parquet(sink).select("record_id", F.array_join(F.transform("votes_sensitivity", lambda v: v.cast("string")), ",").alias("votes"))
+    return _kept(spark.read.parquet(sink).select("record_id", F.array_join(F.transform("votes_sensitivity", lambda v: v.cast("string")), ",").alias("votes")), src, sink, progress)
