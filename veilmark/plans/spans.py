@@ -181,12 +181,56 @@ def b27(spark, sf):
     return x.select(F.col("parent_id").alias("doc_id"), F.substring(F.col("text"), F.col("x.spans.start") + 1, n).alias("obfuscated"), (n - before).alias("grown"))
 
 
+def _joined_by(sep: str) -> str:
+    return f"array_to_string(list_filter(string_split(v, ''), lambda c: c <> ''), {sep})"
+
+
+def _replaced(value: str, pairs) -> str:
+    for old, new in pairs:
+        value = f"replace({value}, '{old}', '{new}')"
+    return value
+
+
+#: What each attack makes of an address ``v``.
+_ATTACKED = {
+    "character_substitution": f"translate(v, '{S.LOOKALIKE[0]}', '{S.LOOKALIKE[1]}')",
+    "separator_insertion": _joined_by("chr(8203)"),
+    "whitespace": _replaced("v", [(" ", "  ")]),
+    "symbol_replacement": f"translate(v, '{S.FULLWIDTH[0]}', '{S.FULLWIDTH[1]}')",
+    "email_obfuscation": _replaced("v", [("@", " [at] "), (".", " [dot] ")]),
+    "phone_formatting": "v",
+    "digit_words": f"trim({_replaced('v', [(str(i), f' {w} ') for i, w in enumerate(S.DIGITS)])})",
+    "case": "translate(v, 'abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz')",
+    "token_splitting": _joined_by("' '"),
+}
+_STARTS = "list_transform(generate_series(1, len({m})), lambda i: (coalesce(list_sum(list_transform({g}[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform({m}[1:i - 1], lambda x: length(x))), 0))::BIGINT)"
+#: Views up to ``nx``: of each document and attack that changes it, the new text ``t``, its addresses ``a``, where they start, which changed.
+_ADDRESSES = f"""ad AS (SELECT doc_id, regexp_extract_all(text, '{_MAIL}') AS m, string_split_regex(text, '{_MAIL}') AS g FROM documents WHERE regexp_matches(text, '{_MAIL}')),
+ax AS ({' UNION ALL '.join(f"SELECT doc_id, '{k}' AS attack, m, g, list_transform(m, lambda v: {e}) AS a FROM ad" for k, e in _ATTACKED.items())}),
+cx AS (SELECT *, list_transform(generate_series(1, len(m)), lambda i: a[i] <> m[i]) AS changed FROM ax),
+nx AS (SELECT *, array_to_string(flatten(list_transform(generate_series(1, len(g)), lambda i: [g[i], coalesce(a[i], '')])), '') AS t, {_STARTS.format(m='a', g='g')} AS starts FROM cx WHERE list_contains(changed, true))"""
+
+
 @query("b27_attack_records")
 def b27_records(spark, sf):
     return S.attack_records(addressed(spark, sf), "doc_id", "text", "spans")
 
 
-@query("i07_attack_scores")
+@query("b27_attacked_addresses", f"WITH {_ADDRESSES} SELECT doc_id, attack, md5(t) AS text, i::INT AS place, starts[i]::INT AS start, (starts[i] + length(a[i]))::INT AS stop, changed[i] AS changed FROM nx, unnest(generate_series(1, len(a))) AS u(i)")
+def b27_addresses(spark, sf):
+    r = b27_records(spark, sf).select(F.col("parent_id").alias("doc_id"), "attack", F.md5("text").alias("text"), F.posexplode(F.arrays_zip("spans", "entity_changed")).alias("place", "x"))
+    return r.select("doc_id", "attack", "text", (F.col("place") + 1).alias("place"), F.col("x.spans.start").alias("start"), F.col("x.spans.end").alias("stop"), F.col("x.entity_changed").alias("changed"))
+
+
+@query("i07_attack_scores", f"""WITH {_ADDRESSES},
+fx AS (SELECT *, regexp_extract_all(t, '{_MAIL}') AS fm, string_split_regex(t, '{_MAIL}') AS fg FROM nx),
+sx AS (SELECT attack, changed, fm, list_transform(generate_series(1, len(a)), lambda i: starts[i] || '-' || (starts[i] + length(a[i]))) AS gold, {_STARTS.format(m='fm', g='fg')} AS fs FROM fx),
+hx AS (SELECT *, list_transform(generate_series(1, len(fm)), lambda i: fs[i] || '-' || (fs[i] + length(fm[i]))) AS found FROM sx),
+rx AS (SELECT attack, len(list_filter(gold, lambda s: list_contains(found, s))) AS tp, len(gold) AS gold, len(found) AS found, len(list_filter(changed, lambda c: c)) AS eligible, len(list_filter(generate_series(1, len(gold)), lambda i: changed[i] AND NOT list_contains(found, gold[i]))) AS lost FROM hx),
+gx AS (SELECT attack, count(*) AS records, sum(tp)::BIGINT AS tp, sum(found - tp)::BIGINT AS fp, sum(gold - tp)::BIGINT AS fn, sum(eligible)::BIGINT AS eligible, sum(lost)::BIGINT AS lost FROM rx GROUP BY attack),
+px AS (SELECT *, coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0) AS f1 FROM gx),
+kx(attack) AS (VALUES {', '.join(f"('{k}')" for k in S.ATTACKS)})
+SELECT kx.attack, CASE WHEN records IS NULL THEN 'no_applicable_entities' ELSE 'scored' END AS status, records, tp, fp, fn, f1, eligible, lost, lost / eligible AS success_rate, 1 - f1 AS degradation FROM kx LEFT JOIN px ON px.attack = kx.attack""")
 def i07_scores(spark, sf):
     #: the pattern both marks and detects the addresses
     return S.attack_scores(b27_records(spark, sf), S.pattern_spans(F.col("text"), _MAIL, "EMAIL"))
