@@ -229,3 +229,10 @@ def test_one_row_of_a_key_is_first(spark, tied):
     assert done.count() == 3001 and sorted(str(r["k"]) for r in firsts) == ["None", "hot", "one"]
     if not tied:
         assert {r["k"]: r["id"] for r in firsts} == {"hot": 1, None: 0, "one": 9000}
+
+
+def test_labels_are_held_against_splits(spark):
+    labels = spark.createDataFrame([(i, "a", [0.5, 0.5] if i else [1.0]) for i in range(8)] + [(100, "a", [0.1, 0.9]), (3, "b", [1.0, 0.0, 0.0])], "record_id long, dimension string, probabilities array<double>")
+    splits = spark.createDataFrame([(i, "train" if i < 6 else "test") for i in range(8)] + [(50, "train")], "record_id long, split string")
+    got = {r["dimension"]: tuple(r)[1:] for r in groups.alignment_audit(labels, splits, {"a": 2, "b": 3}).collect()}
+    assert got == {"a": (9, 1, 2, False, 6, 0, 2, 1, 1), "b": (1, 3, 3, True, 1, 0, 0, 0, 6)}

@@ -101,6 +101,23 @@ def reconcile(raw: DataFrame, cleaned: DataFrame, removed: int, flagged: DataFra
     return totals.select(F.explode(checks).alias("c")).select("c.*").unionByName(each).withColumn("ok", F.col("expected") == F.col("actual"))
 
 
+def alignment_audit(labels: DataFrame, splits: DataFrame, widths: dict[str, int], values: str = "probabilities") -> DataFrame:
+    """(dimension, rows, least_width, greatest_width, width_ok, train, validation, test, unknown, missing): labels against splits.
+
+    ``labels`` (record_id, dimension, values) should have vectors as wide as ``widths`` says and a row for each train record;
+    ``missing`` is how many of these have none, ``unknown`` how many rows are of no split. One join by record, one row a dimension."""
+    s = splits.select(F.col("record_id").alias("_id"), "split").distinct()
+    j = labels.join(s.hint("merge"), F.col("record_id") == F.col("_id"), "left")
+    size = F.size(values)
+    of = lambda name: F.count_if(F.col("split") == name).alias(name)
+    g = j.groupBy("dimension").agg(F.count(F.lit(1)).alias("rows"), F.min(size).alias("least_width"), F.max(size).alias("greatest_width"), of("train"), of("validation"), of("test"), F.count_if(F.col("split").isNull()).alias("unknown"), F.countDistinct(F.when(F.col("split") == "train", F.col("record_id"))).alias("_met"))
+    expected = F.coalesce(*[F.when(F.col("dimension") == d, F.lit(w)) for d, w in widths.items()], F.lit(-1))
+    #: one row
+    train = s.where("split = 'train'").agg(F.countDistinct("_id").alias("_train"))
+    out = g.crossJoin(F.broadcast(train)).withColumn("width_ok", (F.col("least_width") == expected) & (F.col("greatest_width") == expected))
+    return out.select("dimension", "rows", "least_width", "greatest_width", "width_ok", "train", "validation", "test", "unknown", (F.col("_train") - F.col("_met")).alias("missing"))
+
+
 def source_audit(df: DataFrame, source: str, split: str, budget: int) -> DataFrame:
     """(source, rows, budget, over_budget, splits, fingerprint) of each source; the fingerprint is that of its rows in any order."""
     digest = F.md5(F.concat_ws("\u0001", *[F.coalesce(F.col(c).cast("string"), F.lit("\u2205")) for c in sorted(df.columns)]))

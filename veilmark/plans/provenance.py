@@ -212,3 +212,41 @@ def j11_fingerprints(spark, sf):
     d = split(spark, sf).select("doc_id", "lang", F.length("text").alias("n_chars"), "source", "split", "text")
     return groups.source_audit(d, "source", "split", 150)
 
+
+
+# E-20, J-09, M-01
+
+
+@query("e20_alignment", f"""WITH {_SPLIT}, lb AS (SELECT CASE WHEN doc_id % 50 = 0 THEN doc_id + 1000000000 ELSE doc_id END AS record_id, 'quality' AS dimension, 2 AS width FROM labels WHERE quality IS NOT NULL
+  UNION ALL SELECT doc_id, 'toxic', CASE WHEN doc_id % 97 = 0 THEN 3 ELSE 2 END FROM labels WHERE toxic IS NOT NULL),
+j AS (SELECT lb.*, split FROM lb LEFT JOIN (SELECT DISTINCT doc_id, split FROM sp) s ON s.doc_id = record_id)
+SELECT dimension, count(*) AS rows, min(width) AS least_width, max(width) AS greatest_width, min(width) = 2 AND max(width) = 2 AS width_ok, count(*) FILTER (WHERE split = 'train') AS train, count(*) FILTER (WHERE split = 'validation') AS validation,
+  count(*) FILTER (WHERE split = 'test') AS test, count(*) FILTER (WHERE split IS NULL) AS unknown, (SELECT count(DISTINCT doc_id) FROM sp WHERE split = 'train') - count(DISTINCT record_id) FILTER (WHERE split = 'train') AS missing FROM j GROUP BY dimension""")
+def e20_alignment(spark, sf):
+    """Labels of which some have lost their record, and some vectors are too wide."""
+    l = table(spark, sf, "labels")
+    one = lambda c: F.array((1 - F.col(c)).cast("double"), F.col(c).cast("double"))
+    quality = l.where("quality is not null").select(F.when(F.col("doc_id") % 50 == 0, F.col("doc_id") + 1_000_000_000).otherwise(F.col("doc_id")).alias("record_id"), F.lit("quality").alias("dimension"), one("quality").alias("probabilities"))
+    toxic = l.where("toxic is not null").select(F.col("doc_id").alias("record_id"), F.lit("toxic").alias("dimension"), F.when(F.col("doc_id") % 97 == 0, F.concat(one("toxic"), F.array(F.lit(0.0)))).otherwise(one("toxic")).alias("probabilities"))
+    return groups.alignment_audit(quality.unionByName(toxic), split(spark, sf).select(F.col("doc_id").alias("record_id"), "split"), {"quality": 2, "toxic": 2})
+
+
+@query("j09_sealed_split", f"WITH {_SPLIT} SELECT 'development' AS job, 'allowed' AS outcome, count(*) AS n FROM sp WHERE split <> 'test' UNION ALL SELECT 'with_test_rows', 'refused', NULL UNION ALL SELECT 'final_evaluation', 'allowed', count(*) FROM sp WHERE split = 'test'")
+def j09_sealed(spark, sf):
+    s = cut(split(spark, sf).select("doc_id", "split"))
+    rows = []
+    for job, df, sealed in (("development", s.where("split <> 'test'"), "test"), ("with_test_rows", s, "test"), ("final_evaluation", s.where("split = 'test'"), "train")):
+        try:
+            rows.append((job, "allowed", manifest.refuse_sealed(df, sealed=sealed).count()))
+        except ValueError:
+            rows.append((job, "refused", None))
+    return spark.createDataFrame(rows, "job string, outcome string, n long")
+
+
+@query("m01_user_function", "SELECT doc_id, CASE WHEN text IS NULL THEN -1 WHEN contains(text, '@') THEN 1 WHEN length(text) < 200 THEN 0 ELSE -1 END AS has_address, -1 AS out_of_range FROM documents")
+def m01_user(spark, sf):
+    """A user's function is a Column with a name; votes out of range abstain."""
+    from veilmark.operators.labeling import guarded
+
+    mine = {"has_address": F.when(F.contains("text", F.lit("@")), 1).when(F.length("text") < 200, 0), "out_of_range": F.lit(7)}
+    return docs(spark, sf).select("doc_id", *[guarded(v, 2).alias(n) for n, v in mine.items()])
