@@ -48,7 +48,7 @@ def tables(spark, tmp_path_factory):
 @pytest.fixture(scope="module")
 def nothing(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("nothing"))
-    for name, kinds in {"documents": COLUMNS, "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int"}.items():
+    for name, kinds in {"documents": COLUMNS, "labels": "doc_id long, quality int, toxic int", "pages": "page_id long, url string, html string", "embeddings": "vec_id long, embedding array<float>, label int", "conversations": "conv_id long, turn long, role string, text string"}.items():
         spark.createDataFrame([], kinds).write.parquet(f"{at}/{name}.parquet")
     return at
 
