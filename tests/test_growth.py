@@ -36,3 +36,35 @@ def test_decisions_at_exactly_the_threshold(spark, tmp_path):
     got, want = _answers(spark, tmp_path, "k16_decisions_by_method", lineitem=_lines(rows))
     above = sum(max(m) > 7 for m in mixes)
     assert got == want == [("max", above), ("weighted", 0)]
+
+
+def _some_lines(n=400):
+    """Orders with repeated line numbers, some rows of which are alike, and one order with a large share of all."""
+    return [(i % 60 if i % 3 else 7, i % 5, i * 7 % 31, i * 5 % 17, "ANR"[i % 3], float(i % 50), i % 11 / 100) for i in range(n) for _ in range(1 + i % 2)]
+
+
+@pytest.mark.parametrize("name", ["d06_span_match", "i04_strict_by_source", "i06_supported_types", "b17_bio_spans", "b24_prediction_spans", "d07_clean_attacked_pairs", "i04_strict_all_levels", "i05_class_scores", "i05_documents", "b25_coverage", "b25_window_contents"])
+def test_queries_of_lines(spark, tmp_path, name):
+    got, want = _answers(spark, tmp_path, name, lineitem=_lines(_some_lines()))
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert list(g) == pytest.approx(list(w), rel=1e-9)
+
+
+def test_lines_are_read_and_shuffled_once(spark, tmp_path):
+    """Lines were counted, written down, numbered and joined with their least orders."""
+    from veilmark.plans.spans import lines
+
+    spark.createDataFrame(_some_lines(), "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = lines(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("FileScan") == 1 and "Join" not in plan and "ExistingRDD" not in plan
+
+
+def test_spans_with_nulls_match_nothing(spark):
+    from veilmark.operators.spans import match_spans
+
+    kinds = "record long, s int, e int, type string"
+    rows = [(1, 0, 5, "A"), (1, 0, 5, "A"), (2, 0, 5, None), (None, 0, 5, "A"), (3, 1, 2, "B")]
+    m = match_spans(spark.createDataFrame(rows, kinds), spark.createDataFrame([*rows[:4], (4, 1, 2, "B")], kinds), ["record", "s", "e", "type"])
+    assert sorted(m.select("tp", "fp", "fn").collect()) == [(0, 0, 1)] * 3 + [(0, 1, 0)] * 3 + [(1, 0, 0)]
+    assert m._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1

@@ -54,6 +54,13 @@ def representatives(df: DataFrame, key: Column, order: list[str]) -> DataFrame:
     return first_of_key(df, key, [F.col(c) for c in order], "_first").where("_first").drop("_first")
 
 
+def least_rows(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, order) of the least row of each key by ``order``, where no other columns are asked for: rows alike in these are one.
+
+    One shuffle, of a row a key and map task; null keys are a key."""
+    return df.groupBy(*keys).agg(F.min(F.struct(*order)).alias("_least")).select(*keys, "_least.*")
+
+
 def key_overlap(df: DataFrame, key: Column, split: str) -> DataFrame:
     """(split_a, split_b, n): keys found in both splits, from one grouping of the keys."""
     sets = df.groupBy(key.alias("k")).agg(F.array_sort(F.collect_set(split)).alias("s")).where(F.size("s") > 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from veilmark.operators import spans as S
-from veilmark.operators.groups import representatives
+from veilmark.operators.groups import least_rows
 from veilmark.plans.fixtures import table
 from veilmark.plans.registry import query
 
@@ -17,7 +17,7 @@ _BOTH = f"WITH {_GOLD}, {_PRED}"
 
 def lines(spark, sf):
     """One row for each order and line number."""
-    return representatives(table(spark, sf, "lineitem"), F.struct("l_orderkey", "l_linenumber"), ["l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_discount"])
+    return least_rows(table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"], ["l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_discount"])
 
 
 def gold(spark, sf, l=None):
