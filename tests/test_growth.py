@@ -68,3 +68,16 @@ def test_spans_with_nulls_match_nothing(spark):
     m = match_spans(spark.createDataFrame(rows, kinds), spark.createDataFrame([*rows[:4], (4, 1, 2, "B")], kinds), ["record", "s", "e", "type"])
     assert sorted(m.select("tp", "fp", "fn").collect()) == [(0, 0, 1)] * 3 + [(0, 1, 0)] * 3 + [(1, 0, 0)]
     assert m._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_scores_by_method_shuffle_records_once(spark, tmp_path):
+    """Rows were multiplied by scenarios before the shuffle, and shuffled once more by record and method."""
+    from veilmark.operators import risk
+
+    got, want = _answers(spark, tmp_path, "k09_method_scores", lineitem=_lines(_some_lines()))
+    assert got == want
+    e = spark.createDataFrame([(1, 3, 0.9, 2.0, "x"), (1, 1, 0.4, 1.0, "y")], "record long, tier int, confidence double, w double, grp string")
+    rows = risk.method_scores(e, "record", ("x", "y"), risk.SCENARIOS)
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(rows).count("Exchange") == 1 and plan(risk.sensitivity(rows, "record", scenarios=list(risk.SCENARIOS))).count("Exchange") == 2
+    assert sorted(map(tuple, risk.sensitivity(rows, "record").collect())) == sorted(map(tuple, risk.sensitivity(rows, "record", scenarios=list(risk.SCENARIOS)).collect()))

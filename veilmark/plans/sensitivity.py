@@ -40,7 +40,7 @@ def k09_scores(spark, sf):
 
 @query("k09_by_method", f"WITH {_SCORES}, b AS (SELECT record, method, score FROM sc WHERE scenario = 'base') SELECT method, scenario, count(*) AS records, round(avg(abs(sc.score - b.score)), 7) AS mean_change, round(max(abs(sc.score - b.score)), 7) AS max_change FROM sc JOIN b USING (record, method) WHERE scenario <> 'base' GROUP BY method, scenario")
 def k09_methods(spark, sf):
-    s = R.sensitivity(R.method_scores(tiered(spark, sf), "record", _GROUPS, R.SCENARIOS), "record")
+    s = R.sensitivity(R.method_scores(tiered(spark, sf), "record", _GROUPS, R.SCENARIOS), "record", scenarios=list(R.SCENARIOS))
     return s.withColumns({c: F.round(c, 7) for c in ("mean_change", "max_change")})
 
 
