@@ -81,3 +81,27 @@ def test_scores_by_method_shuffle_records_once(spark, tmp_path):
     plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
     assert plan(rows).count("Exchange") == 1 and plan(risk.sensitivity(rows, "record", scenarios=list(risk.SCENARIOS))).count("Exchange") == 2
     assert sorted(map(tuple, risk.sensitivity(rows, "record").collect())) == sorted(map(tuple, risk.sensitivity(rows, "record", scenarios=list(risk.SCENARIOS)).collect()))
+
+
+def test_pinned_files_of_odd_languages(spark, tmp_path):
+    """Languages were one file and one task each, in folders of their own names."""
+    langs = ["", "en", "EN", "a/b", "ü", None]
+    n = 60
+    columns = [("doc_id", "long", list(range(n))), ("text", "string", [f"text {i}" for i in range(n)]), ("lang", "string", [langs[i % 6] for i in range(n)])]
+    got, want = _answers(spark, tmp_path, "a10_pinned_files", documents=columns)
+    assert got == want
+
+
+def test_python_sees_a_slice_of_a_batch(spark):
+    """A batch of ten thousand texts became Python objects at once."""
+    from pyspark.sql import functions as F
+
+    from veilmark.operators import evidence, spans
+
+    df = spark.range(500, numPartitions=1).select(F.concat(F.lit("a@b.example "), F.col("id").cast("string")).alias("t"))
+    sizes = evidence.annotate(df, lambda s: s.map(lambda _: len(s)), "int", "n", text_col="t", batch=50)
+    assert sizes.agg(F.max("n")).first()[0] == 50
+    assert df.select(F.size(evidence.offset_matches("t"))).groupBy().sum().first()[0] == 500
+    rows = [(["ab", "##c", "d"], "abc d"), (["ab", "x"], "ab c"), (["ab"], "ab c"), (None, None), (None, "a"), ([], ""), (["ab"], None)] * 30
+    o = spark.createDataFrame(rows, "w array<string>, t string").select(spans.token_offsets("w", "t").alias("o")).select("o.*").limit(7).collect()
+    assert [tuple(r) for r in o] == [([0, 2, 4], [2, 3, 5], None), (None, None, "token 'x' does not follow"), ([0], [2], "text left over"), ([], [], None), ([], [], "text left over"), ([], [], None), (None, None, "token 'ab' does not follow")]
