@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import Window
 
 # The patterns by name, with the group whose text is a match.
@@ -67,6 +68,8 @@ def add_evidence(df: DataFrame, text_col: str = "normalized_text", gazetteer: di
     return df.withColumns({"regex_matches": pattern_matches(F.col(text_col)), "entities": entities})
 
 
+#: Texts of a batch that are Python objects at once.
+SLICE = 64
 _SPAN = T.ArrayType(T.StructType([T.StructField("name", T.StringType()), T.StructField("text", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
 
 
@@ -77,18 +80,21 @@ def _compiled() -> list[tuple[str, re.Pattern]]:
 
 @F.arrow_udf(_SPAN)
 def offset_matches(texts: pa.Array) -> pa.Array:
-    """All caseless matches with code-point offsets, by pattern and start."""
-    names, found, starts, ends, upto = [], [], [], [], [0]
-    for t in texts.to_pylist():
-        for n, p in _compiled() if t else ():
-            for m in p.finditer(t):
-                names.append(n)
-                found.append(m.group())
-                starts.append(m.start())
-                ends.append(m.end())
-        upto.append(len(names))
-    structs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["name", "text", "start", "end"])
-    return pa.ListArray.from_arrays(pa.array(upto, pa.int32()), structs)
+    """All caseless matches with code-point offsets, by pattern and start. ``SLICE`` texts at a time are Python objects."""
+    parts = []
+    for lo in range(0, len(texts), SLICE):
+        names, found, starts, ends, upto = [], [], [], [], [0]
+        for t in texts.slice(lo, SLICE).to_pylist():
+            for n, p in _compiled() if t else ():
+                for m in p.finditer(t):
+                    names.append(n)
+                    found.append(m.group())
+                    starts.append(m.start())
+                    ends.append(m.end())
+            upto.append(len(names))
+        structs = pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(found, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["name", "text", "start", "end"])
+        parts.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), structs))
+    return pa.concat_arrays(parts) if parts else pa.array([], to_arrow_type(_SPAN))
 
 
 def baseline_spans(matches: Column, known: dict[str, str]) -> Column:
@@ -98,9 +104,18 @@ def baseline_spans(matches: Column, known: dict[str, str]) -> Column:
     return F.transform(kept, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), kind(m).alias("type"), F.lit(1.0).alias("confidence")))
 
 
-def annotate(df: DataFrame, annotator: Callable[[pd.Series], pd.Series], kind: str, column: str, text_col: str = "normalized_text") -> DataFrame:
-    """``df`` with a column made by a user's model, batch by batch; the text alone is sent to it."""
-    return df.withColumn(column, F.pandas_udf(annotator, kind)(F.col(text_col)))
+def annotate(df: DataFrame, annotator: Callable[[pd.Series], pd.Series], kind: str, column: str, text_col: str = "normalized_text", batch: int = SLICE) -> DataFrame:
+    """``df`` with a column made by a user's model, ``batch`` texts at a time; the text alone is sent to it.
+
+    The texts of a batch of Spark's stay in Arrow until their turn comes."""
+    made = to_arrow_type(T._parse_datatype_string(kind))
+
+    def run(texts: pa.Array) -> pa.Array:
+        parts = [pa.array(annotator(texts.slice(lo, batch).to_pandas()), made, from_pandas=True) for lo in range(0, len(texts), batch)]
+        return pa.concat_arrays(parts) if parts else pa.array([], made)
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return df.withColumn(column, F.arrow_udf(run, kind)(F.col(text_col)))
 
 
 def hashing_embedding(df: DataFrame, id_col: str, text_col: str, dims: int = 384) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from array import array
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,23 +14,39 @@ from pyspark.sql import Window
 SPAN = "array<struct<start:int,end:int,type:string>>"
 
 
-@F.pandas_udf(T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType())]))
-def token_offsets(tokens: pd.Series, text: pd.Series) -> pd.DataFrame:
-    """Where each token lies in its text, one after another; ``##`` goes on without a blank. Skipped text is an error."""
+#: Rows of a batch that are Python objects at once.
+SLICE = 64
+
+
+@F.arrow_udf(T.StructType([T.StructField("starts", T.ArrayType(T.IntegerType())), T.StructField("ends", T.ArrayType(T.IntegerType())), T.StructField("error", T.StringType())]))
+def token_offsets(tokens: pa.Array, text: pa.Array) -> pa.Array:
+    """Where each token lies in its text, one after another; ``##`` goes on without a blank. Skipped text is an error.
+
+    A batch stays in Arrow: ``SLICE`` rows at a time become Python objects, offsets are four bytes each."""
+    starts, ends, upto, found, errors = array("i"), array("i"), array("i", [0]), [], []
 
     def one(words, t):
-        at, starts, ends = 0, [], []
-        for w in words if words is not None else []:
+        at, first = 0, len(starts)
+        for w in words or ():
             piece = w[2:] if w.startswith("##") else w
-            i = (t or "").find(piece, at)
+            i = t.find(piece, at)
             if i < 0 or (t[at:i].strip() != ""):
-                return None, None, f"token {w!r} does not follow"
+                del starts[first:], ends[first:]
+                return False, f"token {w!r} does not follow"
             starts.append(i)
             ends.append(i + len(piece))
             at = i + len(piece)
-        return starts, ends, "text left over" if (t or "")[at:].strip() else None
-
-    return pd.DataFrame([one(a, b) for a, b in zip(tokens, text)], columns=["starts", "ends", "error"])
+        return True, "text left over" if t[at:].strip() else None
+
+    for lo in range(0, len(text), SLICE):
+        for words, t in zip(tokens.slice(lo, SLICE).to_pylist(), text.slice(lo, SLICE).to_pylist()):
+            ok, error = one(words, t or "")
+            found.append(ok)
+            errors.append(error)
+            upto.append(len(starts))
+    gone = pa.array([not ok for ok in found], pa.bool_())
+    lists = [pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(x, pa.int32()), mask=gone) for x in (starts, ends)]
+    return pa.StructArray.from_arrays([*lists, pa.array(errors, pa.string())], names=["starts", "ends", "error"])
 
 
 def entity_runs(tokens: DataFrame, record: str, idx: str, label: str, repair: bool = True) -> DataFrame:
