@@ -105,3 +105,14 @@ def test_python_sees_a_slice_of_a_batch(spark):
     rows = [(["ab", "##c", "d"], "abc d"), (["ab", "x"], "ab c"), (["ab"], "ab c"), (None, None), (None, "a"), ([], ""), (["ab"], None)] * 30
     o = spark.createDataFrame(rows, "w array<string>, t string").select(spans.token_offsets("w", "t").alias("o")).select("o.*").limit(7).collect()
     assert [tuple(r) for r in o] == [([0, 2, 4], [2, 3, 5], None), (None, None, "token 'x' does not follow"), ([0], [2], "text left over"), ([], [], None), ([], [], "text left over"), ([], [], None), (None, None, "token 'ab' does not follow")]
+
+
+def test_template_queries_are_dealt(spark, tmp_path, monkeypatch):
+    """All keys were one scan's task, and so was all work on them."""
+    from veilmark.plans import fixtures
+
+    monkeypatch.setattr(fixtures, "KEYS", 10)
+    spark.range(200).selectExpr("id as c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = fixtures.tq(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() == 20 and rows.count() == 200
+    assert "Exchange" not in rows.groupBy("record_id").count()._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "").replace("Exchange hashpartitioning(c_custkey", "")

@@ -13,6 +13,15 @@ from veilmark.scratch import cut
 HOT_PARTS = 1000
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` dealt by the hash of ``key`` to partitions of about ``rows`` rows, at least as many as tasks can run at once.
+
+    For rows that are few megabytes and much work each: a scan would put them into one task. What groups by ``key`` afterwards
+    needs no other shuffle."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, -(-df.count() // rows)), key)
+
+
 def join_counted(rows: DataFrame, lookup: DataFrame, keys: list[str], total: int, weight: str, spread: str) -> DataFrame:
     """Left join ``rows`` with ``lookup``, which has one row a key and in ``weight`` how many of the ``total`` rows have it.
 
