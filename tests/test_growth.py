@@ -116,3 +116,10 @@ def test_template_queries_are_dealt(spark, tmp_path, monkeypatch):
     rows = fixtures.tq(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() == 20 and rows.count() == 200
     assert "Exchange" not in rows.groupBy("record_id").count()._jdf.queryExecution().executedPlan().toString().replace("BroadcastExchange", "").replace("Exchange hashpartitioning(c_custkey", "")
+
+
+def test_windows_are_made_once(spark, tmp_path):
+    """A filter that Spark inferred before exploding made all windows a second time."""
+    spark.createDataFrame(_some_lines(), "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = registry.queries()["b25_window_contents"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Filter" in line and "aggregate(" in line for line in plan.split("\n"))

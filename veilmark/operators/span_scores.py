@@ -64,7 +64,7 @@ def class_scores(decoded_docs: DataFrame, categories: list[str]) -> DataFrame:
     both = F.array_intersect("gold_spans", "predicted_spans")
     kinds = F.array_union(F.transform("gold_spans", lambda s: s["type"]), F.transform("predicted_spans", lambda s: s["type"]))
     counts = F.transform(kinds, lambda k: F.struct(k.alias("type"), _of_type(F.col("gold_spans"), k).alias("g"), _of_type(F.col("predicted_spans"), k).alias("p"), _of_type(F.col("_both"), k).alias("t")))
-    rows = decoded_docs.withColumn("_both", both).select(F.explode(counts).alias("c")).select("c.*")
+    rows = decoded_docs.withColumn("_both", both).select(F.explode_outer(counts).alias("c")).where("c is not null").select("c.*")  # a plain one would be filtered first by a second decoding
     #: a row for each category, whether met or not
     known = decoded_docs.sparkSession.createDataFrame([(k, 0, 0, 0) for k in dict.fromkeys(categories)], "type string, g int, p int, t int")
     sums = [F.sum(c).alias(n) for c, n in (("g", "support"), ("p", "predicted"), ("t", "true_positive"))]

@@ -144,7 +144,7 @@ _PACKED = f"""wd AS (SELECT record, token, size, ids, size AS filled, 0 AS win F
 
 @query("b25_window_contents", f"WITH RECURSIVE {_PIECES}, {_PACKED} SELECT record, win::INT AS win, min(token)::INT AS first, max(token)::INT AS last, string_agg(array_to_string(ids, ' '), ' ' ORDER BY token) AS ids, string_agg(token || repeat(' -1', size - 1), ' ' ORDER BY token) AS words FROM wd GROUP BY record, win")
 def b25_contents(spark, sf):
-    w = S.token_windows(pieces(spark, sf), "pieces", BUDGET, unknown=7).select("record", F.posexplode("windows").alias("win", "w"))
+    w = S.token_windows(pieces(spark, sf), "pieces", BUDGET, unknown=7).select("record", F.posexplode_outer("windows").alias("win", "w")).where("w is not null")  # a plain one would be filtered first by a second making of the windows
     text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
     return w.select("record", "win", "w.first", "w.last", text("w.ids").alias("ids"), text("w.words").alias("words"))
 
@@ -156,7 +156,7 @@ def b25_coverage(spark, sf):
 
 @query("b25_truncations", f"WITH {_PIECES} SELECT record, token::INT AS token, n AS subwords, {(BUDGET + 1) // 2} AS head, {BUDGET // 2} AS tail, n - {BUDGET} AS discarded FROM tk WHERE n > {BUDGET}")
 def b25_truncations(spark, sf):
-    w = S.token_windows(pieces(spark, sf), "pieces", BUDGET, unknown=7).select("record", F.explode("ledger").alias("t")).where("t.discarded > 0")
+    w = S.token_windows(pieces(spark, sf), "pieces", BUDGET, unknown=7).select("record", F.explode_outer("ledger").alias("t")).where("t.discarded > 0")
     return w.select("record", "t.token", "t.subwords", "t.head", "t.tail", "t.discarded")
 
 
