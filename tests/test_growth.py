@@ -6,8 +6,11 @@ import itertools
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from veilmark.operators import components
 from veilmark.plans import registry
+from veilmark.scratch import cut
 
 
 def _answers(spark, tmp_path, name, **tables):
@@ -123,3 +126,35 @@ def test_windows_are_made_once(spark, tmp_path):
     spark.createDataFrame(_some_lines(), "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_returnflag string, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
     plan = registry.queries()["b25_window_contents"](spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
     assert not any("Filter" in line and "aggregate(" in line for line in plan.split("\n"))
+
+
+def test_estimates_stay_short_over_rounds(spark, monkeypatch):
+    """Components whose edges take several rounds: the estimated sizes of their plans were products over all rounds."""
+    monkeypatch.setattr(components, "TASK_EDGES", 20)
+    mixed = F.pmod(F.col("id") * 7919, F.lit(1009)).alias("a"), F.pmod((F.col("id") + 1) * 7919, F.lit(1009)).alias("b")
+    edges = spark.range(1008).where("id % 112 <> 111").select(*mixed).repartition(8)
+    found = components.connected_components(edges)
+    assert len(str(found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < 100
+    want = {}
+    for lo in range(0, 1008, 112):
+        nodes = [i * 7919 % 1009 for i in range(lo, lo + 112)]
+        want |= dict.fromkeys(nodes, min(nodes))
+    assert dict(found.collect()) == want
+
+
+def test_cut_keeps_rows_order_and_dealing(spark):
+    """A checkpoint whose estimate is dropped is still known to be dealt and sorted as it is."""
+    rows = spark.range(64).select("id", (F.col("id") % 5).alias("k"))
+    for _ in range(8):
+        rows = rows.join(spark.range(64).hint("merge"), "id")
+    size = lambda df: df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        done = cut(rows.repartition(4, "k").sortWithinPartitions("k", "id"))
+        assert size(rows) >= 1 << 64 > size(done)
+        assert sorted(map(tuple, done.collect())) == [(i, i % 5) for i in range(64)]
+        counted = done.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+        assert done.alias("x").join(done.alias("y"), F.col("x.id") == F.col("y.id")).count() == 64
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
