@@ -557,3 +557,29 @@ def test_toxicity_learns_and_scores_all_windows(spark):
     assert got[1000] == got[1001] < 0.5
     alone = toxicity.score_texts(pa.array([docs[7][1]]), model)[0]
     assert abs(alone - got[7]) < 1e-4
+
+
+def test_candidates_of_groups_of_all_sizes():
+    """Groups below the limit give all their pairs, near copies once a run of common numbers; larger ones give chains."""
+    sim = ngram_join.Similarity(75)
+    rng = np.random.default_rng(5)
+    common = np.sort(rng.integers(1, 1 << 62, 400, dtype=np.uint64))
+    sets = [np.sort(np.concatenate([np.delete(common, [k]), rng.integers(1, 1 << 62, 3, dtype=np.uint64)])) for k in range(12)]
+    columns = [[], [], [], [], []]
+    for doc, s in enumerate(sets):
+        h = s[: sim.prefix(len(s))]
+        for c, x in zip(columns, (h, np.full(len(h), doc, np.int64), np.full(len(h), len(s), np.int32), np.arange(len(h), dtype=np.int32), np.concatenate([np.zeros(1, np.uint64), h])[: len(h)])):
+            c.append(x)
+    columns = [np.concatenate(c) for c in columns]
+    deal = (columns[0] % np.uint64(16)).astype(np.int64)  # as many buckets as ranges of the hash would be
+    rows = [(u, int((deal == u).sum()), b"".join(c[deal == u].tobytes() for c in columns)) for u in np.unique(deal).tolist()]
+    batch = pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows)], names=["bucket", "n", "blob"])
+    every = {(i, j) for i in range(12) for j in range(i + 1, 12)}
+    for limit, kind in ((12, 0), (4, 1)):
+        found = [tuple(r.values()) for b in ngram_join._candidates(sim, limit)(iter([batch])) for r in b.to_pylist()]
+        assert {k for k, *_ in found} == {kind}
+        if kind == 0:
+            assert {(a, b) for _, a, b in found} == every
+            assert len(found) < 6 * len(every)  # as many as buckets, 16, before
+        else:
+            assert {a for _, a, _ in found} | {b for _, _, b in found} == set(range(12))

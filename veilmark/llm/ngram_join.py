@@ -6,8 +6,8 @@
    document in ``RUN_DOCS / 2`` has is in over two documents of some run. They are marked in a bitset of fixed size; a
    false mark changes the order, not the result.
 3. Prefix entries travel as packed arrays by ranges of the hash. Entries of a marked number are folded to one a task before.
-   Small groups give pairs, which sizes and prefix positions prune; large groups give chains in the order of size, which are
-   cut where the next size is out of reach.
+   Small groups give pairs, which sizes and prefix positions prune, each where a run of common numbers begins in both prefixes;
+   large groups give chains in the order of size, which are cut where the next size is out of reach.
 4. Pairs are bounded from above by the bit counts of the two signatures. What chains and the pairs that are left connect is
    cut into tiles: size bands, as only sets whose sizes are within the threshold can be similar, each dealt into blocks of
    bounded rows and numbers. Tiles of signatures bound all pairs by bit counts, each pair at the width of its shorter
@@ -32,8 +32,11 @@ from veilmark.scratch import cut
 
 RUN_DOCS = 2048
 MARK_BITS = 24
-#: Numbers in more documents than this are handled by tiles; in fewer, by pairs.
-GROUP = 4
+#: Numbers in more documents than one part in ``GROUP_PARTS`` of all are handled by tiles; in fewer, by pairs. The limit is
+#: ``GROUP`` at least and ``MOST_GROUP`` at most, so an entry is in no more pairs than that.
+GROUP, GROUP_PARTS, MOST_GROUP = 16, 4096, 1024
+#: Pairs of a bucket that are made before sizes and places prune them.
+MADE = 1 << 18
 #: Numbers of the sets in a block: of a tile of arrays, 16 MB, and of a tile of signatures, 1 MB; at least one document.
 BLOCK, SIGNED_BLOCK = 2 << 20, 4 << 20
 #: Documents of a block.
@@ -143,7 +146,7 @@ def _profile(n: int):
 
 
 def _entries(n: int, sim: Similarity, marks, buckets: int):
-    """Prefix entries (number, doc, size, place) of a task by bucket, and stars between documents that share a marked number."""
+    """Prefix entries (number, doc, size, place, the number before) of a task by bucket, and stars between documents that share a marked number."""
     shift = np.uint64(64 - int(math.log2(buckets))) if buckets > 1 else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,18 +154,18 @@ def _entries(n: int, sim: Similarity, marks, buckets: int):
         marked = np.frombuffer(marks.value, np.uint8)
         first: dict[tuple, tuple[int, int]] = {}  # of each marked number and band met, the entry that stands for the task's others
 
-        def packed(h, doc, size, place) -> pa.RecordBatch:
+        def packed(h, *values) -> pa.RecordBatch:
             where = (h >> shift).astype(np.int64) if shift is not None else np.zeros(len(h), np.int64)
             order = np.argsort(where, kind="stable")
-            h, doc, size, place, where = h[order], doc[order], size[order], place[order], where[order]
+            where, columns = where[order], [x[order] for x in (h, *values)]
             used, at = np.unique(where, return_index=True)
             ends = np.append(at[1:], len(where))
-            blobs = [h[i:j].tobytes() + doc[i:j].tobytes() + size[i:j].tobytes() + place[i:j].tobytes() for i, j in zip(at, ends)]
+            blobs = [b"".join(x[i:j].tobytes() for x in columns) for i, j in zip(at, ends)]
             return pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(ends - at, pa.int64()), pa.array(blobs, pa.binary())], names=["bucket", "n", "blob"])
 
         for whole in batches:
             for b in slices(whole, "text"):
-                hs, ds, ss, ps = [], [], [], []
+                hs, ds, ss, ps, bs = [], [], [], [], []
                 stars: set[tuple[int, int]] = set()
                 for doc, s in zip(b.column("doc").to_pylist(), sets_of(b.column("text"), n)):
                     if not len(s):
@@ -182,8 +185,9 @@ def _entries(n: int, sim: Similarity, marks, buckets: int):
                     ds.append(np.full(len(h), doc, np.int64))
                     ss.append(np.full(len(h), len(s), np.int32))
                     ps.append(np.arange(len(h), dtype=np.int32))
+                    bs.append(np.concatenate([np.zeros(1, np.uint64), h])[: len(h)])
                 if hs:
-                    yield packed(*map(np.concatenate, (hs, ds, ss, ps)))
+                    yield packed(*map(np.concatenate, (hs, ds, ss, ps, bs)))
                 if stars:
                     pairs = np.array(sorted(stars), np.int64)
                     buckets_of = pairs[:, 1] % buckets
@@ -193,50 +197,53 @@ def _entries(n: int, sim: Similarity, marks, buckets: int):
         if first:
             h = np.array([x for x, _ in first], np.uint64)
             doc, size = (np.array(x) for x in zip(*first.values()))
-            yield packed(h, doc.astype(np.int64), size.astype(np.int32), np.full(len(h), -1, np.int32))
+            yield packed(h, doc.astype(np.int64), size.astype(np.int32), np.full(len(h), -1, np.int32), np.zeros(len(h), np.uint64))
 
     return run
 
 
-def _candidates(sim: Similarity):
+def _candidates(sim: Similarity, group: int):
     """Pairs (kind 0) and edges that only connect (kind 1) from the entries of a bucket; rows come sorted by bucket."""
 
     def found(blobs: list[tuple[int, bytes]]) -> pa.RecordBatch | None:
-        parts, stars = [[], [], [], []], []
+        parts, stars = [[], [], [], [], []], []
         for k, blob in blobs:
             if k < 0:
                 stars.append(np.frombuffer(blob, np.int64).reshape(-1, 2))
                 continue
             lo = 0
-            for i, kind in enumerate((np.uint64, np.int64, np.int32, np.int32)):
+            for i, kind in enumerate((np.uint64, np.int64, np.int32, np.int32, np.uint64)):
                 size = k * np.dtype(kind).itemsize
                 parts[i].append(np.frombuffer(blob[lo : lo + size], kind))
                 lo += size
         pairs = [np.zeros((0, 2), np.int64)]
         if parts[0]:
-            h, doc, size, place = map(np.concatenate, parts)
+            h, doc, size, place, before = map(np.concatenate, parts)
             order = np.lexsort((doc, size, h))
-            h, doc, size, place = h[order], doc[order], size[order].astype(np.int64), place[order].astype(np.int64)
+            h, doc, size, place, before = h[order], doc[order], size[order].astype(np.int64), place[order].astype(np.int64), before[order]
             starts = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             ends = np.append(starts[1:], len(h))
             often = np.minimum.reduceat(place, starts) < 0
             m = ends - starts
             # by size, each entry of a large group with the next; one that stands for others reaches as far as its band's neighbour
-            chained = np.repeat((m > 1) & ((m > GROUP) | often), m)
+            chained = np.repeat((m > 1) & ((m > group) | often), m)
             chained[ends - 1] = False
             at = np.flatnonzero(chained)
             band = sim.band(size)
             at = at[sim.sizes_fit(size[at], size[at + 1]) | (np.repeat(often, m)[at] & (band[at + 1] - band[at] <= 1))]
             stars.append(np.stack([doc[at], doc[at + 1]], axis=1))
-            for k in range(2, GROUP + 1):  # groups of one size at a time
-                at = starts[(m == k) & ~often]
-                if not len(at):
-                    continue
+            small = (m > 1) & (m <= group) & ~often
+            for k in np.unique(m[small]).tolist():  # groups of one size at a time
                 i, j = np.triu_indices(k, 1)
-                a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
-                most = np.minimum(size[a] - place[a], size[b] - place[b])  # if this is their first common number
-                ok = sim.sizes_fit(size[a], size[b]) & sim.enough(most, size[a], size[b]) & (doc[a] != doc[b])
-                pairs.append(np.stack([np.minimum(doc[a[ok]], doc[b[ok]]), np.maximum(doc[a[ok]], doc[b[ok]])], axis=1))
+                whole = starts[small & (m == k)]
+                run = max(1, MADE // len(i))
+                for lo in range(0, len(whole), run):
+                    at = whole[lo : lo + run]
+                    a, b = (at[:, None] + i).ravel(), (at[:, None] + j).ravel()
+                    most = np.minimum(size[a] - place[a], size[b] - place[b])  # if this is their first common number
+                    ok = sim.sizes_fit(size[a], size[b]) & sim.enough(most, size[a], size[b]) & (doc[a] != doc[b])
+                    ok &= (before[a] != before[b]) | (np.minimum(place[a], place[b]) == 0)  # else the number before has found them
+                    pairs.append(np.stack([np.minimum(doc[a[ok]], doc[b[ok]]), np.maximum(doc[a[ok]], doc[b[ok]])], axis=1))
         p = np.unique(np.concatenate(pairs), axis=0)
         s = np.unique(np.concatenate(stars), axis=0) if stars else np.zeros((0, 2), np.int64)
         s = s[s[:, 0] != s[:, 1]]
@@ -402,9 +409,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shared = spark.sparkContext.broadcast(marks.tobytes())  # 2 MB whatever the input
     # 3. candidates
     buckets = 1 << max(3, math.ceil(math.log2(max(1, n_classes / 512))))
+    group = min(MOST_GROUP, max(GROUP, n_classes // GROUP_PARTS))
     entries = once.mapInArrow(_entries(words_in_gram, sim, shared, buckets), "bucket long, n long, blob binary")
     dealt = entries.repartition("bucket").sortWithinPartitions("bucket")
-    found = cut(dealt.mapInArrow(_candidates(sim), "kind int, a long, b long"))
+    found = cut(dealt.mapInArrow(_candidates(sim, group), "kind int, a long, b long"))
     pairs = found.where("kind = 0").select("a", "b").distinct()
     left = heads.select(F.col("doc").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa"))
     right = heads.select(F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb"))
