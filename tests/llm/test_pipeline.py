@@ -48,3 +48,15 @@ def test_stages(spark, tmp_path):
 def test_registered():
     assert Path(corpus_pipeline.__file__).parent == Path(__file__).parents[2]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "ngram_join", "mixing", "bpe"] and corpus_pipeline.ORACLE_SQL is None
+
+
+def test_near_copies_in_many_rounds(spark, monkeypatch):
+    """The third stage's plan keeps short estimates where its edges take several rounds."""
+    from veilmark.operators import components
+
+    monkeypatch.setattr(components, "TASK_EDGES", 4)
+    text = lambda k: " ".join(f"w{k + i}" for i in range(80))  # noqa: E731  each is similar to the next ones
+    docs = spark.createDataFrame([(7 * k % 61, text(k)) for k in range(60)], "doc_id long, text string").repartition(6)
+    kept = corpus_pipeline.drop_near_copies(spark, docs, "")
+    assert kept._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 5000
+    assert [r.doc_id for r in kept.collect()] == [0]
